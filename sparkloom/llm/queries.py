@@ -1,14 +1,18 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import chat, mixing, url_filters
+from . import chat, mixing, secrets, url_filters, warc
 
 QUERIES = {
+    "op1_warc": warc.op1,
     "op2_url_filters": url_filters.op2,
     "op7_mixing": mixing.op7,
+    "op8_secret_scans": secrets.op8,
     "op10_chat_formatting": chat.op10,
 }
 
 SQL = {
+    "op1_warc": warc.OP1_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op8_secret_scans": secrets.OP8_SQL,
     "op10_chat_formatting": chat.OP10_SQL,
 }
