@@ -1,10 +1,12 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import chat, mixing, secrets, url_filters, warc
+from . import chat, language, mixing, secrets, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
     "op2_url_filters": url_filters.op2,
+    "op5_language_id": language.op5,
+    "op6_toxicity": toxicity.op6,
     "op7_mixing": mixing.op7,
     "op8_secret_scans": secrets.op8,
     "op10_chat_formatting": chat.op10,
