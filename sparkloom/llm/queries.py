@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import chat, language, mixing, secrets, toxicity, url_filters, warc
+from . import chat, decontaminate, language, mixing, secrets, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -9,6 +9,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6,
     "op7_mixing": mixing.op7,
     "op8_secret_scans": secrets.op8,
+    "op9_decontamination": decontaminate.op9,
     "op10_chat_formatting": chat.op10,
 }
 
