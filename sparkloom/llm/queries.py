@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import chat, decontaminate, language, mixing, neighbours, secrets, toxicity, url_filters, warc
+from . import chat, decontaminate, language, mixing, neighbours, ngram_join, secrets, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
     "op2_url_filters": url_filters.op2,
+    "op3_ngram_join": ngram_join.op3,
     "op4_neighbours": neighbours.op4,
     "op5_language_id": language.op5,
     "op6_toxicity": toxicity.op6,
