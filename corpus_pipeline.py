@@ -1,2 +1,68 @@
-STAGES=[]; ORACLE_SQL=None
-def run(spark,d): pass
+"""A corpus through five stages; each is written as a table and reread as the next one's documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from sparkloom.llm import decontaminate, language, mixing, ngram_join, secrets
+from sparkloom.llm.shared import written
+
+#: A text whose best language has a smaller share of its words than this has none.
+LEAST_SHARE = 0.3
+
+
+def keep_known_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter and those that no language fits."""
+    found = language.identify(docs, language.train_field(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each group of near copies, once; documents without an id stay."""
+    ids = written(ngram_join.near_duplicates(docs).groupBy("doc_id", "component_id").agg(F.count("*").alias("n")), "kept")
+    ids = ids.where(F.col("doc_id") == F.col("component_id"))
+    out = docs.join(ids.where("n = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    if ids.where("n > 1").limit(1).count():  # ids that repeat
+        rows = docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi")
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), "text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
+        out = out.unionByName(rows.withColumn("_n", first).where("_n = 1").drop("_n"))
+    return out.select(*docs.columns)
+
+
+def drop_benchmark_texts(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that tile enough of a benchmark item."""
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    keys = written(found.select(F.col("text_key").alias("_key")).distinct(), "flagged")
+    return docs.withColumn("_key", F.xxhash64("text")).join(keys, "_key", "left_anti").select(*docs.columns)
+
+
+def redact_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret by a mark; n_chars follows the text."""
+    found = secrets.find_secrets(docs)
+    text = secrets.redact(F.col("text"), F.col("spans"))
+    return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mix_to_weights(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the training mix takes of every document, in training order."""
+    return mixing.curriculum_order(mixing.mix_sources(docs))
+
+
+STAGES = [
+    ("language", keep_known_language),
+    ("near_duplicates", keep_one_of_near_copies),
+    ("decontamination", drop_benchmark_texts),
+    ("secrets", redact_secrets),
+    ("mixing", mix_to_weights),
+]
+
+#: SQL expresses neither the field of the first stage nor the tiling of the third.
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

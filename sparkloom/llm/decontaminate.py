@@ -117,8 +117,8 @@ def seed_filter(seeds: DataFrame) -> np.ndarray:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, k: int = K) -> DataFrame:
     """The pairs of a text of ``docs`` (doc_id, text) and an item of ``benchmark`` (item_id, text) whose
-    tiles of k words or more cover at least ``coverage`` of the item's words: doc_id, text_key,
-    item_id, item_words, covered_words, coverage, n_tiles, longest_tile.
+    tiles of k words or more cover at least ``coverage`` of the item's words: doc_id, text_key (xxhash64 of
+    the text), item_id, item_words, covered_words, coverage, n_tiles, longest_tile.
 
     Words are those between spaces and U+0009-D, A-Z in lower case. Texts are read whole, once; a
     filter of fixed size drops those with fewer than two possible seeds, the rest are stored and joined
@@ -154,16 +154,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, item_id, a, b in zip(*[c.to_pylist() for c in batch.columns[:2]], *batch.columns[2:]):
+            for doc, key, item_id, a, b in zip(*[c.to_pylist() for c in batch.columns[:3]], *batch.columns[3:]):
                 item = word_hashes(b.as_py())
                 t = tiles(word_hashes(a.as_py()), item, k)
                 n = sum(x[2] for x in t)
                 if n and n >= coverage * len(item):
-                    out.append((doc, item_id, len(item), n, n / len(item), len(t), max(x[2] for x in t)))
+                    out.append((doc, key, item_id, len(item), n, n / len(item), len(t), max(x[2] for x in t)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) if i else pa.array(c, pa.int64()) for i, c in enumerate(zip(*out))], names=["doc_id", "item_id", "item_words", "covered_words", "coverage", "n_tiles", "longest_tile"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) if i else pa.array(c, pa.int64()) for i, c in enumerate(zip(*out))], names=["doc_id", "text_key", "item_id", "item_words", "covered_words", "coverage", "n_tiles", "longest_tile"])
 
-    return rows.select("doc_id", "item_id", "text", "item_text").mapInArrow(tile, "doc_id long, item_id long, item_words long, covered_words long, coverage double, n_tiles long, longest_tile long")
+    return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "item_id", "text", "item_text").mapInArrow(tile, "doc_id long, text_key long, item_id long, item_words long, covered_words long, coverage double, n_tiles long, longest_tile long")
 
 
 def op9(spark, sf_dir):
