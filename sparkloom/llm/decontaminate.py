@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _P, shingle_hashes, word_hashes, written
+from .shared import _P, shingle_hashes, sorted_set, word_hashes, written
 
 #: Words of a seed and of the shortest tile; share of an item's words under tiles that flags a text.
 K, COVERAGE = 4, 0.5
@@ -87,10 +87,6 @@ def _scaled(h: np.ndarray, top: int) -> np.ndarray:
     return h * np.uint64(pow(pow(int(_P), -1, 1 << 64), top, 1 << 64))
 
 
-def _grams(text: str | None, k: int) -> np.ndarray:
-    return np.unique(shingle_hashes(word_hashes(text), k))
-
-
 def benchmark_seeds(benchmark: DataFrame, k: int = K) -> DataFrame:
     """(hash, item_id, words): the distinct seeds of every item. Items of fewer than k words have none
     and match nothing."""
@@ -99,7 +95,7 @@ def benchmark_seeds(benchmark: DataFrame, k: int = K) -> DataFrame:
         for batch in batches:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 w = word_hashes(text.as_py())
-                h = np.unique(shingle_hashes(w, k)).view(np.int64)
+                h = sorted_set(shingle_hashes(w, k)).view(np.int64)
                 yield pa.RecordBatch.from_pydict({"hash": pa.array(h), "item_id": pa.array([item] * len(h), pa.int64()), "words": pa.array([len(w)] * len(h), pa.int64())})
 
     return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "hash long, item_id long, words long")
@@ -138,7 +134,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
             keep, lists = [], []
             for i, text in enumerate(batch.column(1)):
                 h = shingle_hashes(word_hashes(text.as_py()), k)
-                h = np.unique(h[known[(h & mask).astype(np.int64)]])
+                h = sorted_set(h[known[(h & mask).astype(np.int64)]])
                 if len(h):
                     keep.append(i)
                     lists.append(h.view(np.int64))

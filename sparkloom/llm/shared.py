@@ -56,10 +56,8 @@ def n_words(col):
 
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_SPACE = bytes(c in (9, 10, 11, 12, 13, 32) for c in range(256))
 _POW = {"n": 0}
 
 
@@ -91,16 +89,19 @@ def word_hashes(text: str | None) -> np.ndarray:
     come from a running sum over the bytes, so no word is made into a Python object."""
     if not text:
         return np.empty(0, np.uint64)
-    b = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    sep = _SPACE[b]
-    edge = np.diff(np.concatenate(([True], sep, [True])).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
+    data = text.encode("utf-8", "surrogatepass").join((b" ", b" ")).translate(_LOWER)
+    sep = np.frombuffer(data.translate(_SPACE), np.uint8)
+    edge = np.flatnonzero(sep[1:] != sep[:-1]) + 1  # a start and an end of each word in turn
+    if not len(edge):
         return np.empty(0, np.uint64)
-    up, down = _powers(len(b) + 1)
-    run = np.empty(len(b) + 1, np.uint64)
+    start, end = edge[0::2], edge[1::2]
+    up, down = _powers(len(data) + 1)
+    run = np.empty(len(data) + 1, np.uint64)
     run[0] = 0
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1], out=run[1:], dtype=np.uint64)
+    b = np.frombuffer(data, np.uint8).astype(np.uint64)
+    b += np.uint64(1)
+    b *= up[:-1]
+    np.cumsum(b, out=run[1:])
     return mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
 
 
@@ -112,12 +113,21 @@ def shingle_hashes(words: np.ndarray, k: int, short: bool = False) -> np.ndarray
         if not short or not n:
             return np.empty(0, np.uint64)
         k = n
-    out = np.zeros(n - k + 1, np.uint64)
-    for i in range(k):
-        out = out * _P + words[i : n - k + 1 + i]
+    out = words[: n - k + 1].copy()
+    for i in range(1, k):
+        out *= _P
+        out += words[i : n - k + 1 + i]
     return mix(out + np.uint64(k))
 
 
+def sorted_set(x: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    x = np.sort(x)
+    if len(x) > 1:
+        x = x[np.concatenate(([True], x[1:] != x[:-1]))]
+    return x
+
+
 # --- connected components ---------------------------------------------------------------
 
 
