@@ -1,0 +1 @@
+"""Empty on purpose: none of the analyses is a streaming one."""
