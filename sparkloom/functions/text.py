@@ -71,7 +71,7 @@ def token_quality_label(c: Column, seen: Column | None = None) -> Column:
     """The first kind that fits, else clean. ``seen`` is the token's surface, if a column has it already."""
     seen = surface(c) if seen is None else seen
     return (
-        F.when(F.coalesce(c, F.lit("")).rlike("^ ?[A-Za-z0-9]+\\z"), "clean")  # most tokens: one cheap test
+        F.when(F.coalesce(c, F.lit("")).rlike(r"^ ?[\p{L}\p{N}&&[^âÃÂ]]+\z"), "clean")  # most tokens: one test
         .when(is_space_like(c), "space")
         .when(seen.rlike(r"^<[^>]+>$"), "special")
         .when(is_mojibake_like(c), "mojibake")

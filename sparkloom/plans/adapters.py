@@ -19,8 +19,14 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores (one small file, say) dealt over all of them; a larger one as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def texts(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "source", "text")
+    return spread(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "source", "text"))
 
 
 def tokens(spark, sf_dir) -> DataFrame:
@@ -32,7 +38,7 @@ def document_activations(spark, sf_dir) -> DataFrame:
     """Four activations for each token, from its length, first character and position."""
     t = tokens(spark, sf_dir)
     n, first = F.length("token_str"), F.ascii(F.ltrim("token_str"))
-    each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(((n * 31 + first * 7 + k * 13) % 61).cast("long").alias("feature_id"), (((F.col("token_pos") * 17 + n * 29 + k * 11) % 97) / 10.0).alias("activation"))))
+    each = F.explode(F.array(*[F.struct(((n * 31 + first * 7 + k * 13) % 61).cast("long").alias("feature_id"), (((F.col("token_pos") * 17 + n * 29 + k * 11) % 97) / 10.0).alias("activation")) for k in range(4)]))
     return t.select("text_id", "source", "token_pos", "token_str", each.alias("e")).select("text_id", "source", "token_pos", "token_str", "e.feature_id", "e.activation").where("activation > 0")
 
 
