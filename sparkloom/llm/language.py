@@ -165,12 +165,18 @@ def fit(texts: list[tuple[str, str]], labels: list[str], epochs: int = 3, rate:
 
 
 def train_field(docs: DataFrame, docs_each: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Field | None:
-    """Fits a field on ``docs`` (doc_id, text, lang): for each language the ``docs_each`` rows of
-    the smallest md5 of their id and text among texts of up to ``chars`` characters - a bounded
-    sample, kept bounded before any exchange. At most 64 languages; none: no field."""
+    """Fits a field on ``docs`` (doc_id, text, lang): for each language up to ``docs_each`` rows
+    picked by hashes of their id and text among texts of up to ``chars`` characters - a bounded
+    sample, bounded before any exchange. At most 64 languages, the most frequent; none: no field."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars))
-    order = F.md5(F.concat_ws("\x00", F.col("doc_id").cast("string"), "text").cast("binary"))
-    rows = rows.select("lang", "text", order.alias("_o")).withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_o"))).where(F.col("_r") <= docs_each)
+    # rows of small hash, about twice as many as wanted, so that the ranking below sees few
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()
+    key = F.concat_ws("\x00", F.col("doc_id").cast("string"), "text")
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2 * docs_each / r["n"]))).otherwise(share)
+    rows = rows.where(F.shiftrightunsigned(F.xxhash64(key), 11) < share * float(1 << 53))
+    rows = rows.select("lang", "text", F.md5(key.cast("binary")).alias("_o")).withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_o"))).where(F.col("_r") <= docs_each)
     sample = sorted(rows.orderBy("_r", "lang").limit(64 * docs_each).collect(), key=lambda r: (r["lang"], r["_r"]))
     labels = sorted({r["lang"] for r in sample})
     return fit([(r["text"], r["lang"]) for r in sample], labels) if labels else None
