@@ -130,7 +130,7 @@ def fit(texts: list[tuple[str, str]], labels: list[str], epochs: int = 3, rate:
                 a, z = first[i], ends[min(i + 16, len(first)) - 1]
                 sizes = (ends - first)[i : i + 16]
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                runs.append((np.concatenate([*grams[:, a:z], word[i : i + 16]]), np.concatenate([owner, owner, owner, np.arange(len(sizes))]), len(sizes), labels.index(label)))
+                runs.append((np.concatenate([*grams[:, a:z], word[i : i + 16]]).astype(np.int32), np.concatenate([owner, owner, owner, np.arange(len(sizes))]).astype(np.int16), len(sizes), labels.index(label)))
     n, seen, seen_moves = len(labels), np.full((1 << _BITS, len(labels)), 1e-6, np.float32), np.full((len(labels),) * 2, 1e-6)
     for _ in range(epochs):
         order = rng.permutation(len(runs))
@@ -142,7 +142,7 @@ def fit(texts: list[tuple[str, str]], labels: list[str], epochs: int = 3, rate:
                 at = 0
                 for f, o, size, label in chain:
                     feats.append(f)
-                    owners.append(o + c * CHAIN + at)
+                    owners.append(o.astype(np.int64) + c * CHAIN + at)
                     gold[c, at : at + size] = label
                     at += size
             feats, owners = np.concatenate(feats), np.concatenate(owners)
