@@ -88,17 +88,17 @@ def _scaled(h: np.ndarray, top: int) -> np.ndarray:
 
 
 def benchmark_seeds(benchmark: DataFrame, k: int = K) -> DataFrame:
-    """(hash, item_id, words): the distinct seeds of every item. Items of fewer than k words have none
-    and match nothing."""
+    """(hash, item, words, times): the distinct seeds of every row of ``benchmark`` (item, text) and how often each
+    occurs in it. Items of fewer than k words have none and match nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 w = word_hashes(text.as_py())
-                h = sorted_set(shingle_hashes(w, k)).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"hash": pa.array(h), "item_id": pa.array([item] * len(h), pa.int64()), "words": pa.array([len(w)] * len(h), pa.int64())})
+                h, times = np.unique(shingle_hashes(w, k), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"hash": pa.array(h.view(np.int64)), "item": pa.array([item] * len(h), pa.int64()), "words": pa.array([len(w)] * len(h), pa.int64()), "times": pa.array(times.astype(np.int64))})
 
-    return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "hash long, item_id long, words long")
+    return benchmark.select("item", "text").mapInArrow(run, "hash long, item long, words long, times long")
 
 
 def seed_filter(seeds: DataFrame) -> np.ndarray:
@@ -117,14 +117,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     the text), item_id, item_words, covered_words, coverage, n_tiles, longest_tile.
 
     Words are those between spaces and U+0009-D, A-Z in lower case. Texts are read whole, once; a
-    filter of fixed size drops those with fewer than two possible seeds, the rest are stored and joined
-    with the items' seeds by hash. A pair goes on if its seeds could cover enough (n seeds cover at
-    most n * k words). Null and empty texts, and items of fewer than k words, match nothing. Repeated
-    rows each give their pairs.
+    filter of fixed size drops those without a possible seed, the rest are stored and joined
+    with the items' seeds by hash. A pair goes on if its seeds could cover enough (seeds that occur n
+    times in the item cover at most n * k of its words). Null and empty texts, and items of fewer than
+    k words, match nothing. Repeated rows each give their pairs; so does every row of the benchmark,
+    also under a repeated or null item_id.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))
-    seeds = written(benchmark_seeds(benchmark, k), "seeds")
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))
+    items = written(items, "items")  # each row keeps its key
+    seeds = written(benchmark_seeds(items.withColumnRenamed("item_text", "text"), k), "seeds")
     bits = spark.sparkContext.broadcast(seed_filter(seeds))
     mask = np.uint64((1 << _FILTER_BITS) - 1)
 
@@ -144,8 +146,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hits, "doc_id long, text string, hashes array<long>")
     found = written(found.withColumn("row", F.monotonically_increasing_id()), "seeded")
-    pairs = found.select("row", F.explode("hashes").alias("hash")).join(seeds, "hash").groupBy("row", "item_id").agg(F.count("*").alias("n"), F.max("words").alias("words")).where(F.col("n") * k >= F.col("words") * coverage)
-    rows = pairs.select("row", "item_id").join(items, "item_id").join(found.select("row", "doc_id", "text"), "row")
+    pairs = found.select("row", F.explode("hashes").alias("hash")).join(seeds, "hash").groupBy("row", "item").agg(F.sum("times").alias("n"), F.max("words").alias("words")).where(F.col("n") * k >= F.col("words") * coverage)
+    rows = pairs.select("row", "item").join(items, "item").join(found.select("row", "doc_id", "text"), "row")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +159,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
                 if n and n >= coverage * len(item):
                     out.append((doc, key, item_id, len(item), n, n / len(item), len(t), max(x[2] for x in t)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) if i else pa.array(c, pa.int64()) for i, c in enumerate(zip(*out))], names=["doc_id", "text_key", "item_id", "item_words", "covered_words", "coverage", "n_tiles", "longest_tile"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if i == 5 else pa.int64()) for i, c in enumerate(zip(*out))], names=["doc_id", "text_key", "item_id", "item_words", "covered_words", "coverage", "n_tiles", "longest_tile"])
 
     return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "item_id", "text", "item_text").mapInArrow(tile, "doc_id long, text_key long, item_id long, item_words long, covered_words long, coverage double, n_tiles long, longest_tile long")
 

@@ -375,6 +375,16 @@ def test_contaminated_passages(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_contaminated_by_repeating_repeated_and_nameless_items(spark):
+    rng = random.Random(10)
+    v = [f"w{i}" for i in range(3000)]
+    refrain, short, long, bare = " ".join(rng.sample(v, 10) * 20), " ".join(rng.sample(v, 20)), " ".join(rng.sample(v, 300)), " ".join(rng.sample(v, 30))
+    docs = spark.createDataFrame([(1, refrain), (2, short), (3, bare), (4, " ".join(rng.sample(v, 200)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, refrain), (11, short), (11, f"{short} {long}"), (None, bare)], "item_id long, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert sorted((r["doc_id"], str(r["item_id"]), r["item_words"], r["covered_words"]) for r in got) == [(1, "10", 200, 200), (2, "11", 20, 20), (3, "None", 30, 30)]
+
+
 # --- 10 chat -----------------------------------------------------------------------------
 
 CHAT_TEXTS = ["", "</s>[INST] ok [/INST]", "\\", "<\\s>", "a\\b<|x|>", "<<SYS>><</SYS>>", "[INST", "<|>", "é🙂\n\n", "[/INST] </s", "x" * 700]
