@@ -45,7 +45,7 @@ def redact_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_to_weights(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the training mix takes of every document, in training order."""
+    """What the training mix takes of every document, with its copies."""
     return mixing.curriculum_order(mixing.mix_sources(docs))
 
 
@@ -65,4 +65,4 @@ def run(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return mixing.ordered_copies(STAGES[-1][1](spark, docs, sf_dir))  # a row a copy, in training order

@@ -2,7 +2,7 @@
 
 Every source has a weight schedule over training time t in [0, 1]. Its integral says how many
 words the source gets (its target) and, inverted, at which t each of its words is due. A
-document copy takes the position of its middle word; the mix is range-sorted by position.
+document copy takes the position of its middle word; the copies are range-sorted by position.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def source_targets(totals: DataFrame, share: float = 1.5, cap: float = 2.0, weig
 
 
 def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = (3, 1, 2), ramp: tuple[tuple[float, float], ...] = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5)), slices: int = SLICES) -> DataFrame:
-    """Adds size, source_size, target, taken and position to ``docs`` (doc_id, text, source; all
+    """Adds size, source_size, target, taken, position and copies to ``docs`` (doc_id, text, source; all
     other columns go).
 
     Rows of a source are read in the order of md5(doc_id), doc_id, size. The target is spent
@@ -51,6 +51,8 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights:
     document gives at most ``cap`` times its size. ``ramp`` has, for each source in turn, the
     weight at t = 0 and t = 1 (linear between, mean 1): the demand up to t is
     target * (a t + (b - a) t^2 / 2), and the position of a copy solves it for its middle word.
+    ``copies`` has (copy, words, position) of every copy: copy k starts k passes after the first, and
+    only the last may give less than the whole document. ``taken`` is the sum of their words;
     ``position`` is that of the first copy, null if nothing is taken.
 
     Null or empty texts have size 0 and take 0; a null source is a source of its own; repeated
@@ -73,9 +75,16 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights:
     j = d.join(starts, d["source"].eqNullSafe(starts["source"]) & (d["_slice"] == starts["_slice"])).select("doc_id", d["source"], "size", "source_size", "target", (F.col("_at") + F.col("_before")).alias("_at"), "_from", "_to")
     due = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(due / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    left = F.greatest(F.lit(0), F.least(F.col("size"), due - passes * F.col("source_size") - F.col("_at")))
-    j = j.withColumn("taken", (F.col("size") * passes + left).cast("long"))
-    return j.select("doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, due_time((F.col("_at") + F.least("size", "taken") / 2) / F.col("target"), F.col("_from"), F.col("_to"))).alias("position"))
+    j = j.withColumns({"_passes": passes, "_left": F.greatest(F.lit(0), F.least(F.col("size"), due - passes * F.col("source_size") - F.col("_at"))).cast("long")})
+
+    def copy(k):
+        words = F.when(k < F.col("_passes"), F.col("size")).otherwise(F.col("_left"))
+        part = (k * F.col("source_size") + F.col("_at") + words / 2) / F.col("target")
+        return F.struct(k.alias("copy"), words.alias("words"), F.when(words > 0, due_time(part, F.col("_from"), F.col("_to"))).alias("position"))
+
+    j = j.withColumn("copies", F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_passes")), copy), lambda c: c["words"] > 0))
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"])
+    return j.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.get("copies", F.lit(0))["position"].alias("position"), "copies")
 
 
 def due_time(part, start, end):
@@ -86,9 +95,21 @@ def due_time(part, start, end):
 
 
 def curriculum_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The mix in training order: ranges of positions, each sorted; rows that take nothing first."""
-    keys = ("position", "doc_id")
-    return (mixed.repartitionByRange(partitions, *keys) if partitions else mixed.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+    """The documents in the order of their first copies: ranges of positions, each sorted; rows that
+    take nothing first. The training order is that of all copies: ordered_copies()."""
+    return _by_position(mixed, ("position", "doc_id"), partitions)
+
+
+def ordered_copies(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The mix in training order, a row for each copy: ``taken`` is its words, ``position`` its own, ``copy``
+    its number from 0. Documents that give nothing come first, once, with a null copy and position."""
+    rows = mixed.select("doc_id", "source", "size", "source_size", "target", F.explode_outer("copies").alias("_c"))
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", F.col("_c.copy").alias("copy"), F.coalesce("_c.words", F.lit(0)).cast("long").alias("taken"), F.col("_c.position").alias("position"))
+    return _by_position(rows, ("position", "doc_id", "copy"), partitions)
+
+
+def _by_position(rows: DataFrame, keys: tuple[str, ...], partitions: int | None) -> DataFrame:
+    return (rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys)
 
 
 def op7(spark, sf_dir):

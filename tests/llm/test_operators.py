@@ -299,6 +299,30 @@ def test_mixing_targets_and_limits(spark):
     assert ordered == sorted(ordered)
 
 
+def test_every_copy_has_its_place(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 30)), "a", "x") for i in range(60)] + [(i, " ".join(["w"] * 20), "b", "x") for i in range(100, 400)] + [(500, None, "a", "x")]
+    mixed = mixing.mix_sources(docs_of(spark, rows))
+    whole = {r["doc_id"]: r for r in mixed.collect()}
+    copies = [r for r in mixing.ordered_copies(mixed, 1).collect() if r["taken"]]
+    assert [r["position"] for r in copies] == sorted(r["position"] for r in copies) and len({(r["doc_id"], r["copy"]) for r in copies}) == len(copies)
+    by = collections.Counter()
+    for r in copies:
+        by[r["doc_id"]] += r["taken"]
+        assert 0 < r["taken"] <= r["size"]
+    assert all(by[i] == r["taken"] for i, r in whole.items())
+    a = sorted((r for r in copies if r["source"] == "a"), key=lambda r: r["position"])
+    size, target = a[0]["source_size"], a[0]["target"]
+    assert target == 2 * size and all(r["taken"] == r["size"] for r in a) and len(a) == 120
+    # weight 1.5 falling to 0.5: the demand up to t is target * (1.5 t - t^2 / 2), in step with the words laid out
+    at = 0
+    for r in a:
+        t = r["position"]
+        assert target * (1.5 * t - t * t / 2) == pytest.approx(at + r["taken"] / 2)
+        at += r["taken"]
+    assert at == target and a[-1]["position"] > 0.95
+
+
 # --- 8 secrets ---------------------------------------------------------------------------
 
 
