@@ -131,20 +131,23 @@ def sorted_set(x: np.ndarray) -> np.ndarray:
 # --- connected components ---------------------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b); nodes without an
-    edge are not listed. Each round joins neighbours to the smallest label met so far
-    and follows labels of labels; rounds end when no label changes. Every round is a written
-    table, so a lost executor costs one round at most. Only a count reaches the driver."""
+    edge are not listed. Each round a node and the node that is its label take the smallest label of
+    a label met among the node's neighbours, so labels hook onto labels and paths halve. Labels only
+    fall, and rounds go on until none changes; a path of n nodes takes about log2(n). Every round
+    is a written table, so a lost executor costs one round at most. Only a count reaches the driver."""
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
     label = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "label")
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        step = label.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("c1"))
-        jump = label.select(F.col("node").alias("c1"), F.col("component").alias("c2"))
-        new = written(step.join(jump, "c1", "left").select("node", "old", F.least("c1", F.coalesce("c2", "c1")).alias("component")), "label")
+    while True:
+        jump = label.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        step = label.join(jump, "component").select("node", "component", "up")
+        near = both.join(step.select(F.col("node").alias("b"), "up"), "b").groupBy(F.col("a").alias("node")).agg(F.min("up").alias("m"))
+        met = near.join(label, "node").select("node", "component", "m")
+        roots = met.groupBy(F.col("component").alias("node")).agg(F.min("m").alias("hook"))
+        new = step.join(met.select("node", "m"), "node").join(roots, "node", "left")
+        new = written(new.select("node", F.col("component").alias("old"), F.least("up", "m", "hook").alias("component")), "label")  # least() passes over nulls
         changed = new.where("old <> component").limit(1).count()
         label = new.select("node", "component")
         if not changed:
             return label
-    raise RuntimeError("components did not settle")

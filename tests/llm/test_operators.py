@@ -53,6 +53,15 @@ def test_components_chain_and_hub(spark):
     assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_long_paths_in_random_order(spark):
+    rng = random.Random(6)
+    a, b = rng.sample(range(-(10**12), 10**12), 400), rng.sample(range(10**13, 10**14), 120)
+    edges = [*zip(a, a[1:]), *zip(b, b[1:])]
+    rng.shuffle(edges)
+    got = {r["node"]: r["component"] for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(a, min(a)), **dict.fromkeys(b, min(b))}
+
+
 # --- 1 WARC ------------------------------------------------------------------------------
 
 
