@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import crc_mod
+from .shared import crc_mod, written
 
 #: Documents for each language that the field is fitted on, and their most characters.
 TRAIN_DOCS, TRAIN_CHARS = 300, 20_000
+#: With more languages than this, each has fewer documents, so the sample stays as large.
+FULL_LANGUAGES = 64
 #: Words of a chain; a text is a series of chains.
 CHAIN = 64
 _BITS = 18
@@ -165,19 +167,23 @@ def fit(texts: list[tuple[str, str]], labels: list[str], epochs: int = 3, rate:
 
 
 def train_field(docs: DataFrame, docs_each: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Field | None:
-    """Fits a field on ``docs`` (doc_id, text, lang): for each language up to ``docs_each`` rows
+    """Fits a field on ``docs`` (doc_id, text, lang): for every language up to ``docs_each`` distinct rows
     picked by hashes of their id and text among texts of up to ``chars`` characters - a bounded
-    sample, bounded before any exchange. At most 64 languages, the most frequent; none: no field."""
+    sample, bounded before texts are exchanged. Beyond FULL_LANGUAGES languages ``docs_each`` shrinks, down to
+    one; the field takes 1 MB a language (twice that while it is fitted). No language: no field."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars))
-    # rows of small hash, about twice as many as wanted, so that the ranking below sees few
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()
     key = F.concat_ws("\x00", F.col("doc_id").cast("string"), "text")
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2 * docs_each / r["n"]))).otherwise(share)
-    rows = rows.where(F.shiftrightunsigned(F.xxhash64(key), 11) < share * float(1 << 53))
-    rows = rows.select("lang", "text", F.md5(key.cast("binary")).alias("_o")).withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_o"))).where(F.col("_r") <= docs_each)
-    sample = sorted(rows.orderBy("_r", "lang").limit(64 * docs_each).collect(), key=lambda r: (r["lang"], r["_r"]))
+    rows = rows.select("lang", "text", key.alias("_key"), F.xxhash64(key).alias("_h"))
+    # equal rows share a hash, so distinct ones are counted
+    counts = written(rows.select("lang", "_h").distinct().groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    docs_each = max(1, min(docs_each, FULL_LANGUAGES * docs_each // max(1, counts.count())))
+    # rows of small hash, about twice as many as wanted, so that the ranking below sees few; with 40 more
+    # a language comes short with odds under 1e-16, however few are wanted
+    share = F.least(F.lit(1.0), F.lit(2.0 * docs_each + 40) / F.col("n"))
+    rows = rows.join(F.broadcast(counts), "lang").where(F.shiftrightunsigned("_h", 11) <= share * float(1 << 53))
+    rows = rows.groupBy("lang", "_h", F.md5(F.col("_key").cast("binary")).alias("_o")).agg(F.first("text").alias("text"))
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_o"))).where(F.col("_r") <= docs_each).select("lang", "text", "_r")
+    sample = sorted(rows.collect(), key=lambda r: (r["lang"], r["_r"]))  # docs_each a language
     labels = sorted({r["lang"] for r in sample})
     return fit([(r["text"], r["lang"]) for r in sample], labels) if labels else None
 

@@ -232,6 +232,25 @@ def test_language_of_words_and_texts(spark, data):
     assert {r["lang_pred"] for r in language.identify(docs.limit(3), language.train_field(docs.limit(0))).collect()} == {"und"}
 
 
+def test_every_language_is_fitted(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for i in range(70):  # a language of two letters each, of 6 texts or, for the last five, of 2
+        a, b = letters[i % 26], letters[(i * 7 + 1 + i // 26) % 26]
+        rng = random.Random(i)
+        rows += [(100 * i + j, " ".join("".join(rng.choices([a, b, chr(0x4E00 + i)], k=5)) for _ in range(12)), "s", f"l{i:02}") for j in range(6 if i < 65 else 2)]
+    field = language.train_field(docs_of(spark, rows), docs_each=2)
+    assert field.labels == [f"l{i:02}" for i in range(70)]
+    got = language.identify(docs_of(spark, rows).where("lang >= 'l65'"), field).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+
+
+def test_a_language_of_repeated_rows_keeps_its_label(spark):
+    texts = [(i, f"{w} kala vesi {w} talo", "s", w) for i, w in enumerate(f"r{chr(97 + j)}" for j in range(12))]
+    rows = docs_of(spark, texts).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(400)))).drop("_n").unionByName(docs_of(spark, [(90, "el perro come", "s", "es")]))
+    assert language.train_field(rows, docs_each=3).labels == sorted(["es", *(r[3] for r in texts)])
+
+
 def test_forward_backward_against_enumeration():
     import itertools
 
