@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The index holds a bounded sample of labelled texts over the terms that tell the classes apart. For a
+The index holds a bounded sample of labelled texts over all their terms, weighted by how well they tell
+the classes apart. For a
 query, the largest weight of each term in each block of examples bounds what the block can
-reach; blocks are scored in the order of their bounds until none can still enter the nearest.
+reach; the best blocks are scored first, then those that can still enter the nearest.
 """
 
 from __future__ import annotations
@@ -17,10 +18,8 @@ from pyspark.sql import functions as F
 
 from .shared import crc_mod
 
-#: Labelled rows of each class that the index holds at most, their most characters, and its most terms.
-EXAMPLES, EXAMPLE_CHARS, TERMS = 4000, 20_000, 2000
-#: Least chi-squared statistic (one degree of freedom) of a term, and least examples with it.
-CHI2, LEAST = 30.0, 5
+#: Labelled rows of each class that the index holds at most, and their most characters.
+EXAMPLES, EXAMPLE_CHARS = 4000, 20_000
 NEAREST, BLOCK = 25, 64
 
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -30,26 +29,42 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_TABLE).split()
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] of them), then those of start[1], and so on."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
 class Index:
-    """Examples as unit TF-IDF vectors over ``terms``, in blocks; ``bounds`` (terms, blocks) has each
-    term's largest weight. Examples without a term are in none of the blocks."""
+    """Examples as unit TF-IDF vectors over ``terms``, as postings by term and place. A term's postings
+    in a block of BLOCK places are a run, with its largest weight. Examples without a term are in
+    none of the blocks. ``scale`` multiplies the weight of each term."""
 
-    def __init__(self, terms: list[bytes], examples: list[tuple[int, int, dict[int, int]]], weights: dict[int, float]):
+    def __init__(self, terms: list[bytes], examples: list[tuple[int, int, dict[int, int]]], weights: dict[int, float], scale: np.ndarray | None = None):
         """examples: (id, label, term -> count); weights: how many rows an example of a class stands for."""
         self.terms = {t: i for i, t in enumerate(terms)}
         n = max(1, len(examples))
-        df = Counter(t for _, _, c in examples for t in c)
-        self.idf = np.array([np.log((1 + n) / (1 + df[i])) + 1 for i in range(len(terms))])
+        df = np.zeros(len(terms), np.int64)
+        for e in examples:
+            df[list(e[2])] += 1
+        self.idf = (np.log((1 + n) / (1 + df)) + 1) * (1.0 if scale is None else scale)
         have = [e for e in examples if e[2]]
-        have.sort(key=lambda e: (sorted(e[2]), e[0]))  # alike examples share blocks, so bounds are tight
+        have.sort(key=lambda e: (sorted(e[2], key=lambda t: -self.idf[t])[:8], e[0]))  # alike examples share blocks, so bounds are tight
         self.ids = np.array([e[0] for e in have], np.int64)
         self.labels = np.array([e[1] for e in have], np.float64)
         self.weight = np.array([weights[e[1]] for e in have])
-        self.size = -(-len(have) // BLOCK)
-        self.matrix = np.zeros((len(terms), self.size * BLOCK))
-        for j, e in enumerate(have):
-            self.matrix[list(e[2]), j] = self.vector(e[2])[list(e[2])]
-        self.bounds = self.matrix.reshape(len(terms), self.size, BLOCK).max(axis=2) if self.size else np.zeros((len(terms), 0))
+        vectors = [self.weigh(e[2]) for e in have]
+        t, w = (np.concatenate([v[i] for v in vectors]) if have else np.empty(0, (np.int64, float)[i]) for i in (0, 1))
+        place = np.repeat(np.arange(len(have)), [len(v[0]) for v in vectors])
+        del vectors
+        order = np.argsort(t, kind="stable")
+        t, self.place, self.value = t[order], place[order].astype(np.int32), w[order]
+        run = t * (len(have) // BLOCK + 1) + self.place // BLOCK
+        self.run_at = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1]))) if len(t) else np.empty(0, np.int64)
+        self.run_size = np.diff(np.append(self.run_at, len(t)))
+        self.run_block = self.place[self.run_at] // BLOCK
+        self.run_most = np.maximum.reduceat(self.value, self.run_at) if len(t) else np.empty(0)
+        self.first_run = np.searchsorted(t[self.run_at], np.arange(len(terms) + 1))
         bare = [e for e in examples if not e[2]]
         every = sum(weights[e[1]] for e in examples)
         self.prior = sum(weights[e[1]] for e in examples if e[1]) / every if every else 0.5
@@ -59,29 +74,49 @@ class Index:
         votes = [(self.vote(e[2], skip=j)[0], e[1], weights[e[1]]) for j, e in enumerate(have)]
         self.steps = isotonic(votes)
 
+    @property
+    def matrix(self) -> np.ndarray:
+        """The vectors as a dense array (terms, places)."""
+        out = np.zeros((len(self.terms), -(-len(self.ids) // BLOCK) * BLOCK))
+        size = np.add.reduceat(np.append(self.run_size, 0), self.first_run[:-1]) * (np.diff(self.first_run) > 0) if len(self.terms) else []
+        out[np.repeat(np.arange(len(self.terms)), size), self.place] = self.value
+        return out
+
+    def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        t = np.fromiter(counts, np.int64, len(counts))
+        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[t]
+        return t, w / (np.sqrt((w**2).sum()) or 1.0)
+
     def vector(self, counts: dict[int, int]) -> np.ndarray:
         v = np.zeros(len(self.idf))
-        for t, c in counts.items():
-            v[t] = (1 + np.log(c)) * self.idf[t]
-        return v / np.sqrt((v**2).sum())
+        t, w = self.weigh(counts)
+        v[t] = w
+        return v
 
     def nearest(self, counts: dict[int, int], k: int = NEAREST, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples, exactly; ties go to the earlier place. Only
         examples that share a term are listed."""
-        q = self.vector(counts)
-        t = np.flatnonzero(q)
-        bound = q[t] @ self.bounds[t]
+        t, q = self.weigh(counts)
+        size = self.first_run[t + 1] - self.first_run[t]
+        runs, q = _ranges(self.first_run[t], size), np.repeat(q, size)
+        block = self.run_block[runs]
+        bound = np.bincount(block, q * self.run_most[runs], -(-len(self.ids) // BLOCK))
         order = np.argsort(-bound, kind="stable")
-        place, near, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for i in range(0, len(order), 8):
-            blocks = order[i : i + 8]
-            blocks = blocks[bound[blocks] > 0 if len(near) < k else bound[blocks] >= least - 1e-12]
-            if not len(blocks):
-                break
-            at = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            s = q[t] @ self.matrix[np.ix_(t, at)]
-            ok = (s > 0) & (at != skip)
-            place, near = np.concatenate([place, at[ok]]), np.concatenate([near, s[ok]])
+        place, near, least, done = np.empty(0, np.int64), np.empty(0), 0.0, 0
+        for more in (8, len(order)):  # the most promising blocks, then all that can still matter
+            pick = order[done : done + more]
+            pick = pick[bound[pick] > 0 if len(near) < k else bound[pick] >= least - 1e-12]
+            done += more
+            wanted = np.zeros(len(bound), bool)
+            wanted[pick] = True
+            mine = wanted[block]
+            r = runs[mine]
+            at = _ranges(self.run_at[r], self.run_size[r])
+            s = np.bincount(self.place[at], self.value[at] * np.repeat(q[mine], self.run_size[r]), len(self.ids))
+            if 0 <= skip < len(s):
+                s[skip] = 0.0
+            hit = np.flatnonzero(s)
+            place, near = np.concatenate([place, hit]), np.concatenate([near, s[hit]])
             top = np.lexsort((place, -np.round(near, 12)))[:k]
             place, near = place[top], near[top]
             least = near[-1] if len(near) == k else 0.0
@@ -120,10 +155,11 @@ def isotonic(votes: list[tuple[float, int, float]]) -> tuple[np.ndarray, np.ndar
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def train_index(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES, chars: int = EXAMPLE_CHARS, max_terms: int = TERMS) -> Index:
+def train_index(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES, chars: int = EXAMPLE_CHARS) -> Index:
     """An index of ``docs`` (doc_id, text) labelled by ``labels`` (doc_id, toxic): of each class the
     ``each`` ids of smallest md5, texts of up to ``chars`` characters. A doc labelled twice is toxic
-    if any of its labels is. Terms are kept by a chi-squared test over the sample."""
+    if any of its labels is. All terms of the sample are kept; each weight is scaled by the root of the
+    term's chi-squared statistic over the sample."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).limit(16).collect()}
     order = Window.partitionBy("toxic").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
@@ -138,25 +174,26 @@ def train_index(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES, chars:
 
     from .shared import written
 
-    rows = written(sample.mapInArrow(terms, "doc_id long, toxic long, term binary, n long"), "terms")
-    by = {r["toxic"]: r["n"] for r in rows.where("term IS NULL").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = by.get(1, 0), by.get(0, 0)
-    a, c = F.col("a").cast("double"), F.col("c").cast("double")
-    n = float(max(1, n1 + n0))
-    chi = n * (a * (n0 - c) - c * (n1 - a)) ** 2 / (float(max(1, n1)) * float(max(1, n0)) * (a + c) * (n - a - c))
-    counts = rows.where("term IS NOT NULL").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("c"))
-    kept = counts.where((F.col("a") + F.col("c") >= LEAST) & (F.col("a") + F.col("c") < n)).select("term", chi.alias("chi")).where(F.col("chi") >= CHI2)
-    vocab = sorted(bytes(r["term"]) for r in kept.orderBy(F.col("chi").desc(), "term").limit(max_terms).collect())
-    at = {t: i for i, t in enumerate(vocab)}
-    wanted = rows.where("term IS NULL").union(rows.where(F.col("term").isin(*[bytearray(t) for t in vocab]))) if vocab else rows.where("term IS NULL")
+    rows = written(sample.mapInArrow(terms, "doc_id long, toxic long, term binary, n long"), "terms").toArrow()  # of the bounded sample
     examples: dict[int, tuple[int, int, dict[int, int]]] = {}
-    for r in wanted.collect():  # at most a row for each example and kept term
-        e = examples.setdefault(r["doc_id"], (r["doc_id"], r["toxic"], {}))
-        if r["term"] is not None:
-            e[2][at[bytes(r["term"])]] = r["n"]
+    term = rows.column("term").combine_chunks().dictionary_encode()
+    vocab = term.dictionary.to_pylist()
+    for doc, toxic, t, c in zip(*[x.to_numpy(zero_copy_only=False).tolist() for x in (rows.column("doc_id"), rows.column("toxic"), term.indices.fill_null(-1), rows.column("n"))]):
+        e = examples.setdefault(doc, (doc, toxic, {}))
+        if t >= 0:
+            e[2][t] = c
+    del rows, term
+    n1 = sum(e[1] for e in examples.values())
+    n0 = len(examples) - n1
+    by = np.zeros((2, len(vocab)))
+    for _, toxic, counts in examples.values():
+        by[toxic, list(counts)] += 1
+    # how well each term tells the classes apart; a half is added to each count
+    c, a, n = by[0] + 0.5, by[1] + 0.5, n0 + n1 + 2.0
+    chi = n * (a * (n0 + 1 - c) - c * (n1 + 1 - a)) ** 2 / ((n1 + 1) * (n0 + 1) * (a + c) * (n - a - c))
     ones = sum(v for k, v in totals.items() if k > 0)
     rest = sum(v for k, v in totals.items() if k <= 0)
-    return Index(vocab, sorted(examples.values(), key=lambda e: e[0]), {1: ones / max(1, n1), 0: rest / max(1, n0)})
+    return Index(vocab, sorted(examples.values(), key=lambda e: e[0]), {1: ones / max(1, n1), 0: rest / max(1, n0)}, np.sqrt(chi) + 1e-3)
 
 
 def score_toxicity(docs: DataFrame, index: Index) -> DataFrame:

@@ -302,6 +302,15 @@ def test_toxicity_on_planted_words(spark):
     assert toxicity.score_toxicity(docs, empty).where("score < 0 or score > 1").count() == 0
 
 
+def test_rare_toxic_words_of_few_examples_count(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(50)], k=40) + (["vile" if i % 8 else "awful"] if i % 4 == 0 else [])), "s", "en") for i in range(28)]
+    index = toxicity.train_index(docs_of(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i, *_ in rows], "doc_id long, toxic int"))
+    assert {w for _, t, *_ in rows for w in t.split()} == {t.decode() for t in index.terms}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs_of(spark, [(1, "so w1 vile w2", "s", "en"), (2, "w3 w1 awful", "s", "en"), (3, "w3 w1 w2", "s", "en")]), index).collect()}
+    assert min(got[1], got[2]) > got[3]
+
+
 # --- 7 mixing ----------------------------------------------------------------------------
 
 
