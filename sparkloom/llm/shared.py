@@ -15,9 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where it is
-    unset (single-machine tests), one of our own."""
+    unset and all tasks run on this machine, one of our own; on a cluster it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -29,15 +31,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and outlives any executor.
-    Its folder goes with the shared folder."""
+    Its folder goes with drop() or with the shared folder."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for t in tables:
+        p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def crc_mod(col: str, m: int):
@@ -132,14 +138,16 @@ def sorted_set(x: np.ndarray) -> np.ndarray:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable over ``edges`` (a, b); nodes without an
+    """(node, component): the smallest node reachable over ``edges`` (a, b), as a written table; nodes without an
     edge are not listed. Each round a node and the node that is its label take the smallest label of
     a label met among the node's neighbours, so labels hook onto labels and paths halve. Labels only
     fall, and rounds go on until none changes; a path of n nodes takes about log2(n). Every round
-    is a written table, so a lost executor costs one round at most. Only a count reaches the driver."""
+    is a written table, so a lost executor costs one round at most; a round's table goes as the next
+    one stands. Only a count reaches the driver."""
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
-    label = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "label")
+    table = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "label")
     while True:
+        label = table.select("node", "component")
         jump = label.select(F.col("node").alias("component"), F.col("component").alias("up"))
         step = label.join(jump, "component").select("node", "component", "up")
         near = both.join(step.select(F.col("node").alias("b"), "up"), "b").groupBy(F.col("a").alias("node")).agg(F.min("up").alias("m"))
@@ -148,6 +156,8 @@ def components(edges: DataFrame) -> DataFrame:
         new = step.join(met.select("node", "m"), "node").join(roots, "node", "left")
         new = written(new.select("node", F.col("component").alias("old"), F.least("up", "m", "hook").alias("component")), "label")  # least() passes over nulls
         changed = new.where("old <> component").limit(1).count()
-        label = new.select("node", "component")
+        drop(table)
+        table = new
         if not changed:
-            return label
+            drop(both)
+            return table.select("node", "component")

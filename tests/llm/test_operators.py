@@ -171,6 +171,26 @@ def test_ngram_join_repeats_and_nulls(spark):
     assert ngram_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_ngram_join_of_a_chain_and_of_groups_beyond_a_bin(spark, monkeypatch):
+    rng = random.Random(3)
+    run = [f"c{rng.randrange(10**6)}" for _ in range(200 + 30)]
+    rows = [(i, " ".join(run[i : i + 30])) for i in rng.sample(range(200), 200)]  # each like the next only
+    base = [f"w{i}" for i in range(80)]
+    for i in range(1000, 1300):  # near copies, some too far from the base to link
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 4])):
+            w[rng.randrange(80)] = rng.choice(["x", "y", f"z{i}"])
+        rows.append((i, " ".join(w)))
+    want = brute_components(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for side, weight, hot in ((1024, 2_000_000, 8), (32, 2_000_000, 1), (1024, 4000, 0)):
+        monkeypatch.setattr(ngram_join, "SIDE", side)
+        monkeypatch.setattr(ngram_join, "WEIGHT", weight)
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(df).collect()}
+        assert got == want
+
+
 def test_tree_search_is_complete():
     rng = np.random.default_rng(0)
     sizes = rng.integers(20, 200, 300)
