@@ -2,7 +2,7 @@
 
 Word features are byte n-grams with the word's edges (so prefixes and suffixes are among
 them) and the word itself (a hashed lexicon); label transitions are learned from training
-sequences that switch between languages; forward-backward gives each word's label probabilities.
+sequences that switch between languages; forward-backward over the whole text gives each word's label probabilities.
 """
 
 from __future__ import annotations
@@ -14,16 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import crc_mod, written
+from .shared import crc_mod, drop, fresh, written
 
 #: Documents for each language that the field is fitted on, and their most characters.
 TRAIN_DOCS, TRAIN_CHARS = 300, 20_000
 #: With more languages than this, each has fewer documents, so the sample stays as large.
 FULL_LANGUAGES = 64
-#: Words of a chain; a text is a series of chains.
+#: Words of a link; a text is a chain of links.
 CHAIN = 64
 _BITS = 18
-_PIECE = 1 << 20  # bytes of text whose features are computed at once
+_PIECE = 1 << 17  # bytes of text whose features are computed at once
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -61,15 +61,17 @@ class Field:
         self.weights = np.zeros((1 << _BITS, len(labels)), np.float32)
         self.transitions = np.zeros((len(labels), len(labels)))
 
-    def emissions(self, data: bytes) -> np.ndarray:
-        """(words, labels): each word's summed feature weights."""
+    def emissions(self, data: bytes, places: bool = False):
+        """(words, labels): each word's summed feature weights; with ``places`` also where each word starts in ``data``."""
         grams, first, word = word_features(data)
         if not len(first):
-            return np.empty((0, len(self.labels)))
+            none = np.empty((0, len(self.labels)))
+            return (none, np.empty(0, np.int64)) if places else none
         each = self.weights[grams[0]]
         each += self.weights[grams[1]]
         each += self.weights[grams[2]]
-        return np.add.reduceat(each, first, axis=0).astype(np.float64) + self.weights[word]
+        out = np.add.reduceat(each, first, axis=0).astype(np.float64) + self.weights[word]
+        return (out, np.flatnonzero(_LETTER[np.frombuffer(data, np.uint8)])[first]) if places else out
 
     def posteriors(self, emissions: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Label probabilities (chains, CHAIN, labels) by forward-backward, and expected transitions
@@ -92,31 +94,116 @@ class Field:
         right = (e[:, 1:] * back[:, 1:] / scale[:, 1:, None]) * alive[:, 1:, None]
         return p, np.einsum("stj,stk->jk", ahead[:, :-1], right) * move
 
-    def label_mass(self, text: str) -> tuple[np.ndarray, int]:
-        """Summed label probabilities of the words of a whole text, and their number."""
-        data = text.lower().encode("utf-8", "replace")
-        mass, words, at = np.zeros(len(self.labels)), 0, 0
-        while at < len(data):
-            end = at + _PIECE
-            if end < len(data):  # long texts are cut between words
-                end = max(data.rfind(b" ", at, end), data.rfind(b"\n", at, end), at) + 1
-                end = at + _PIECE if end == at + 1 else end
-            em = self.emissions(data[at:end])
-            at = end
-            if len(em):
-                p, _ = self.posteriors(*_chains(em))
-                mass += p.sum(axis=(0, 1))
-                words += len(em)
+    def marginals(self, emissions: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Label probabilities (words, labels) of several texts, the rows of ``emissions`` in turn, each of so many
+        ``words``, by forward-backward over whole texts. Texts are cut into links of CHAIN words that
+        are walked side by side: first each link's product of steps, then the messages that enter
+        links from either side, one link of every text at a time, then the words inside."""
+        n = emissions.shape[1]
+        links = -(-words // CHAIN)
+        first = np.cumsum(links) - links  # the first link of each text
+        owner = np.repeat(np.arange(len(words)), links)
+        place = np.arange(len(emissions)) + np.repeat(first * CHAIN - (np.cumsum(words) - words), words)
+        e = np.ones((len(owner) * CHAIN, n))
+        e[place] = np.exp(emissions - emissions.max(axis=1, keepdims=True))
+        e = e.reshape(len(owner), CHAIN, n)
+        sizes = np.full(len(owner), CHAIN)
+        sizes[first + links - 1] = words - (links - 1) * CHAIN
+        alive = np.arange(CHAIN)[None, :] < sizes[:, None]
+        move = np.exp(self.transitions - self.transitions.max())
+        start, end = np.full((len(owner), n), 1.0 / n), np.full((len(owner), n), 1.0 / n)
+        if (links > 1).any():
+            through = np.broadcast_to(np.eye(n), (len(owner), n, n)).copy()
+            for i in range(CHAIN):
+                step = (through @ move) * e[:, i, None, :]
+                step /= step.sum(axis=(1, 2), keepdims=True)
+                through = np.where(alive[:, i, None, None], step, through)
+            for j in range(1, links.max()):
+                at = first[links > j] + j
+                before = self._leaving(e[at - 1], move) if j == 1 else np.einsum("sj,sjk->sk", start[at - 1], through[at - 1])
+                start[at] = before / before.sum(axis=1, keepdims=True)
+            for j in range(links.max() - 1, 0, -1):
+                at = first[links > j] + j  # messages go from link j to link j - 1
+                after = np.einsum("sjk,sk->sj", through[at], end[at])
+                end[at - 1] = after / after.sum(axis=1, keepdims=True)
+        ahead, back = np.empty_like(e), np.empty_like(e)
+        opens = np.zeros(len(owner), bool)
+        opens[first] = True
+        a = np.where(opens[:, None], 1.0, start @ move) * e[:, 0]
+        for i in range(CHAIN):
+            if i:
+                a = (a @ move) * e[:, i]
+            a = a / a.sum(axis=1, keepdims=True)
+            ahead[:, i] = a
+        # from the last word of a link on, the message is that of the next link
+        b = end.copy()
+        for i in range(CHAIN - 1, -1, -1):
+            back[:, i] = b
+            if i:
+                step = (b * e[:, i]) @ move.T
+                b = np.where(alive[:, i, None], step / step.sum(axis=1, keepdims=True), b)
+        p = (ahead * back).reshape(-1, n)[place]
+        return p / p.sum(axis=1, keepdims=True)
+
+    @staticmethod
+    def _leaving(e: np.ndarray, move: np.ndarray) -> np.ndarray:
+        """The message that leaves full first links."""
+        a = e[:, 0]
+        for i in range(1, CHAIN):
+            a = (a @ move) * e[:, i]
+            a = a / a.sum(axis=1, keepdims=True)
+        return a
+
+    def label_masses(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Summed label probabilities of the words of each whole text (texts, labels), and their numbers. The texts are
+        looked at together, so callers deal them out by _PIECE bytes; a longer one's features come in pieces."""
+        rows, words = [], np.zeros(len(texts), np.int64)
+        held, owners = [], []  # whole short texts whose features are computed at once
+
+        def emit():
+            if held:
+                em, counts = self._several(held)
+                rows.append(em)
+                words[owners] += counts
+                held.clear()
+                owners.clear()
+
+        for i, text in enumerate(texts):
+            data = text.lower().encode("utf-8", "replace")
+            if len(data) <= _PIECE:
+                held.append(data)
+                owners.append(i)
+                continue
+            emit()
+            for piece in _pieces(data):
+                em = self.emissions(piece)
+                rows.append(em)
+                words[i] += len(em)
+        emit()
+        em, mass = np.concatenate(rows) if rows else np.empty((0, len(self.labels))), np.zeros((len(texts), len(self.labels)))
+        some = np.flatnonzero(words)
+        if len(some):
+            p = self.marginals(em, words[some])
+            mass[some] = np.add.reduceat(p, np.cumsum(words[some]) - words[some], axis=0)
         return mass, words
 
+    def _several(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The emissions of the words of ``texts`` and how many each has."""
+        em, starts = self.emissions(b"  ".join(texts), True)  # features reach two bytes ahead
+        at = np.cumsum([0] + [len(t) + 2 for t in texts])
+        return em, np.diff(np.searchsorted(starts, at))
+
 
-def _chains(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = -(-len(rows) // CHAIN)
-    out = np.zeros((n * CHAIN, rows.shape[1]))
-    out[: len(rows)] = rows
-    lengths = np.full(n, CHAIN)
-    lengths[-1] = len(rows) - (n - 1) * CHAIN
-    return out.reshape(n, CHAIN, -1), lengths
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """A long text cut between words (a word longer than a piece is cut)."""
+    at = 0
+    while at < len(data):
+        end = at + _PIECE
+        if end < len(data):
+            cut = max(data.rfind(b" ", at, end), data.rfind(b"\n", at, end))
+            end = cut + 1 if cut > at else end
+        yield data[at:end]
+        at = end
 
 
 def fit(texts: list[tuple[str, str]], labels: list[str], epochs: int = 3, rate: float = 0.3, seed: int = 5) -> Field:
@@ -168,11 +255,13 @@ def fit(texts: list[tuple[str, str]], labels: list[str], epochs: int = 3, rate:
 
 def train_field(docs: DataFrame, docs_each: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Field | None:
     """Fits a field on ``docs`` (doc_id, text, lang): for every language up to ``docs_each`` distinct rows
-    picked by hashes of their id and text among texts of up to ``chars`` characters - a bounded
-    sample, bounded before texts are exchanged. Beyond FULL_LANGUAGES languages ``docs_each`` shrinks, down to
+    picked by hashes of their id and text - a bounded sample, bounded before texts are exchanged. Of texts longer than
+    ``chars`` characters each piece of so many is a row. Beyond FULL_LANGUAGES languages ``docs_each`` shrinks, down to
     one; the field takes 1 MB a language (twice that while it is fitted). No language: no field."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars))
-    key = F.concat_ws("\x00", F.col("doc_id").cast("string"), "text")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.select("lang", "doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.length("text") - 1) / chars).cast("int"))).alias("_p"))
+    rows = rows.select("lang", "doc_id", F.col("text").substr(F.col("_p") * chars + 1, F.lit(chars)).alias("text"), "_p")
+    key = F.concat_ws("\x00", F.col("doc_id").cast("string"), F.col("_p").cast("string"), "text")
     rows = rows.select("lang", "text", key.alias("_key"), F.xxhash64(key).alias("_h"))
     # equal rows share a hash, so distinct ones are counted
     counts = written(rows.select("lang", "_h").distinct().groupBy("lang").agg(F.count("*").alias("n")), "languages")
@@ -184,6 +273,7 @@ def train_field(docs: DataFrame, docs_each: int = TRAIN_DOCS, chars: int = TRAIN
     rows = rows.groupBy("lang", "_h", F.md5(F.col("_key").cast("binary")).alias("_o")).agg(F.first("text").alias("text"))
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_o"))).where(F.col("_r") <= docs_each).select("lang", "text", "_r")
     sample = sorted(rows.collect(), key=lambda r: (r["lang"], r["_r"]))  # docs_each a language
+    drop(counts)
     labels = sorted({r["lang"] for r in sample})
     return fit([(r["text"], r["lang"]) for r in sample], labels) if labels else None
 
@@ -195,26 +285,43 @@ def has_letter(text) -> F.Column:
 def identify(docs: DataFrame, field: Field | None) -> DataFrame:
     """Adds lang_pred and score to ``docs`` (columns of these names are replaced): the label with
     the largest share of the words' summed probabilities, and this share. ``und`` and 0 for a
-    null text, one without letters, or no field. Rows are scored one by one, repeated ones alike."""
+    null text, one without letters, or no field. Rows are scored each for itself, repeated ones alike; very long texts are
+    one chain like any other; an empty table gives no rows."""
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(field)
     names = docs.columns
     at = names.index("text")
-    schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "_letters": F.lit(True)}).schema
+    letter = fresh(docs, "letters")
+    schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), letter: F.lit(True)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
         for batch in batches:
-            langs, scores = [], []
-            letters = batch.column(batch.num_columns - 1).to_pylist()
-            for text, ok in zip(batch.column(at), letters):
-                mass, n = field.label_mass(text.as_py()) if field and ok else (None, 0)
-                best = int(np.argmax(mass)) if n else 0
-                langs.append(field.labels[best] if n else "und")
-                scores.append(min(1.0, float(mass[best] / n)) if n else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), batch.columns[-1]], names=[*names, "lang_pred", "score", "_letters"])
-
-    return docs.withColumn("_letters", has_letter(F.col("text"))).mapInArrow(run, schema).drop("_letters")
+            texts, letters = batch.column(at), batch.column(batch.num_columns - 1).to_pylist()
+            langs, scores = ["und"] * len(letters), [0.0] * len(letters)
+            for group in _dealt(texts, letters if field else []):
+                mass, n = field.label_masses([texts[i].as_py() for i in group])
+                best = mass.argmax(axis=1)
+                for i, b, m, words in zip(group, best.tolist(), mass.max(axis=1).tolist(), n.tolist()):
+                    if words:
+                        langs[i], scores[i] = field.labels[b], min(1.0, m / words)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), batch.columns[-1]], names=[*names, "lang_pred", "score", letter])
+
+    return docs.withColumn(letter, has_letter(F.col("text"))).mapInArrow(run, schema).drop(letter)
+
+
+def _dealt(texts, letters: list[bool]) -> Iterator[list[int]]:
+    """The places of texts with letters, in groups of about _PIECE bytes."""
+    group, size = [], 0
+    for i, ok in enumerate(letters):
+        if ok:
+            group.append(i)
+            size += len(texts[i].as_buffer())
+            if size >= _PIECE:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
 
 
 def label_words(field: Field, text: str) -> list[tuple[str, float]]:
@@ -222,7 +329,7 @@ def label_words(field: Field, text: str) -> list[tuple[str, float]]:
     em = field.emissions(text.lower().encode("utf-8", "replace"))
     if not len(em):
         return []
-    p = field.posteriors(*_chains(em))[0].reshape(-1, len(field.labels))[: len(em)]
+    p = field.marginals(em, np.array([len(em)]))
     return [(field.labels[i], float(p[j, i])) for j, i in enumerate(p.argmax(axis=1))]
 
 

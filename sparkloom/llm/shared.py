@@ -46,6 +46,14 @@ def drop(*tables: DataFrame) -> None:
         p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have (names are compared without case)."""
+    have, name = {c.lower() for c in df.columns}, f"_{name}"
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def crc_mod(col: str, m: int):
     """crc32 of the id as text, modulo m (null id: null)."""
     return F.crc32(F.col(col).cast("string")) % m

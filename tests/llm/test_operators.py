@@ -291,6 +291,47 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(p[0, :4], want / z) and np.allclose(moves, pairs / z) and not p[0, 4:].any()
 
 
+def test_marginals_run_over_whole_texts():
+    rng = np.random.default_rng(2)
+    f = language.Field(["a", "b", "c"])
+    f.transitions = rng.normal(size=(3, 3)) * 2
+    words = np.array([1, 64, 65, 300, 7, 128])
+    em = rng.normal(size=(words.sum(), 3)) * 2
+    got, at, move = f.marginals(em, words), 0, np.exp(f.transitions)
+    for n in words:
+        e = np.exp(em[at : at + n])
+        ahead, back = [e[0]], [np.ones(3)]
+        for i in range(1, n):
+            a = (ahead[-1] @ move) * e[i]
+            ahead.append(a / a.sum())
+        for i in range(n - 1, 0, -1):
+            b = move @ (e[i] * back[0])
+            back.insert(0, b / b.sum())
+        p = np.array(ahead) * np.array(back)
+        assert np.allclose(got[at : at + n], p / p.sum(axis=1, keepdims=True))
+        at += n
+
+
+def test_texts_are_scored_each_for_itself(monkeypatch):
+    rng = random.Random(3)
+    f = language.Field(["a", "b"])
+    f.weights[:] = np.random.default_rng(1).normal(size=f.weights.shape)
+    texts = [" ".join("".join(rng.choices("abcé1.", k=rng.randrange(1, 9))) for _ in range(n)) for n in (1, 5, 90, 0, 700, 3)] + ["...", ""]
+    mass, n = f.label_masses(texts)
+    for t, m, k in zip(texts, mass, n):
+        alone, words_ = f.label_masses([t])
+        assert np.allclose(alone[0], m) and words_[0] == k == round(m.sum())
+    monkeypatch.setattr(language, "_PIECE", 600)  # a word at a cut sees less of its neighbour
+    assert f.label_masses(texts)[1].tolist() == n.tolist()
+
+
+def test_a_language_of_long_texts_only_is_fitted(spark):
+    field = language.train_field(docs_of(spark, [(1, "kala vesi talo " * 400, "s", "fi"), (2, "el perro come", "s", "es")]), docs_each=5, chars=500)
+    assert field.labels == ["es", "fi"]
+    got = language.identify(docs_of(spark, [(1, "kala vesi", "s", None), (2, "perro " * 90_000, "s", None)]).withColumn("_letters", F.lit(1)), field)
+    assert {r["doc_id"]: (r["lang_pred"], r["_letters"]) for r in got.collect()} == {1: ("fi", 1), 2: ("es", 1)}
+
+
 # --- 6 toxicity --------------------------------------------------------------------------
 
 
