@@ -147,7 +147,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hits, "doc_id long, text string, hashes array<long>")
     found = written(found.withColumn("row", F.monotonically_increasing_id()), "seeded")
     pairs = found.select("row", F.explode("hashes").alias("hash")).join(seeds, "hash").groupBy("row", "item").agg(F.sum("times").alias("n"), F.max("words").alias("words")).where(F.col("n") * k >= F.col("words") * coverage)
-    rows = pairs.select("row", "item").join(items, "item").join(found.select("row", "doc_id", "text"), "row")
+    pairs = written(pairs.select("row", "item"), "pairs")  # its size is known, so Spark moves texts only where pairs are too many to send
+    rows = pairs.join(items, "item").join(found.select("row", "doc_id", "text"), "row")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
