@@ -37,7 +37,7 @@ def _open(path: str, write: bool = False):
 
 
 def _publish(part: str, final: str) -> None:
-    """Makes a finished file visible under its name; another attempt's file is replaced."""
+    """Makes a finished file visible under its name, which names the attempt, so no other attempt has it."""
     where, a = fs.FileSystem.from_uri(part)
     where.move(a, fs.FileSystem.from_uri(final)[1])
 
@@ -111,12 +111,14 @@ class _Inflated(io.RawIOBase):
 def with_record_types(pages: DataFrame) -> DataFrame:
     """Adds payload_digest, payload_bytes and refers_to to pages (page_id, url, html). Payloads of
     REVISIT_BYTES or more that occur more than once: the row with the largest page_id keeps the
-    payload, the others refer to it. Only digests that occur again meet their rows in the join."""
+    payload, the others refer to it. Smaller payloads don't move; the digests that occur again are a table whose
+    size Spark knows when it picks the join."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select("page_id", "url", "html", F.sha1(payload.cast("binary")).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
-    big = p.where(F.col("payload_bytes") >= REVISIT_BYTES)
-    again = big.groupBy("payload_digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 AND _first IS NOT NULL")
-    j = p.join(again.select(F.col("payload_digest").alias("_d"), "_first"), (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") >= REVISIT_BYTES), "left")
+    big = F.col("payload_bytes") >= REVISIT_BYTES
+    again = p.where(big).groupBy("payload_digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 AND _first IS NOT NULL")
+    again = written(again.select(F.col("payload_digest").alias("_d"), "_first"), "digests")
+    j = p.where(big).join(again, F.col("payload_digest") == F.col("_d"), "left").drop("_d").unionByName(p.where(~big).withColumn("_first", F.lit(None).cast("long")))
     refers = F.when(F.col("_first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("_first"))), F.col("_first"))
     return j.select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "payload_digest", "payload_bytes", refers.alias("refers_to"))
 
@@ -133,7 +135,7 @@ def write_monolithic(records: DataFrame, folder: str) -> DataFrame:
         def close():
             out.write(z.flush())
             out.close()
-            final = f"{folder}/{part}-{len(names):04d}.warc.gz"
+            final = f"{folder}/{part}-{attempt}-{len(names):04d}.warc.gz"
             _publish(temp, final)
             names.append((final, done))
 
@@ -165,14 +167,15 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """Rewrites the archives (path) into ``folder`` with a gzip member for each record, and returns the
     index: path, offset, length, record_id, record_type, digest. The same lines are beside each
     file as <file>.idx, tab-separated. Each archive is inflated once, as a stream, and
-    one record is in memory at a time; archives are dealt one to a task."""
+    one record is in memory at a time; there are as many tasks as archives. A file's name begins with its attempt's, and the
+    index names only files of attempts that ended well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, attempt = _attempt()
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 name = path.rsplit("/", 1)[1]
-                final, temp, lines, at = f"{folder}/{name}", f"{folder}/_{attempt}-{name}", [], 0
+                final, temp, lines, at = f"{folder}/{attempt}-{name}", f"{folder}/_{attempt}-{name}", [], 0
                 with _open(path) as raw, _open(temp, True) as out:
                     for headers, payload in read_records(io.BufferedReader(_Inflated(raw), _CHUNK)):
                         z = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -189,7 +192,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 for i in range(0, len(lines), 4096):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines[i : i + 4096]), _INDEX.types)], schema=_INDEX)
 
-    spread = archives.select("path").repartition(F.col("path"))
+    spread = archives.select("path").repartition(max(1, archives.count()), "path")
     return written(spread.mapInArrow(run, "path string, offset long, length long, record_id string, record_type string, digest string"), "index")
 
 
@@ -202,8 +205,8 @@ def _number(urn: str | None) -> int | None:
 
 
 def read_by_index(index: DataFrame) -> DataFrame:
-    """Reads records back at the offsets of ``index``; a response's payload must have the
-    size and digest that its headers say."""
+    """Reads records back at the offsets of ``index``, in the order of each archive, in as many tasks as a shuffle has; a
+    response's payload must have the size and digest that its headers say."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, file = None, None
@@ -226,7 +229,9 @@ def read_by_index(index: DataFrame) -> DataFrame:
         if file:
             file.close()
 
-    return index.select("path", "offset", "length").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = index.select("path", "offset", "length").repartitionByRange(tasks, "path", "offset").sortWithinPartitions("path", "offset")
+    return spread.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def op1(spark, sf_dir):
