@@ -83,15 +83,21 @@ def fit_codebooks(x: np.ndarray, m: int = CODEBOOKS, k: int = WORDS, rounds: int
     return books
 
 
+def width_of(vectors: DataFrame) -> int | None:
+    """The most common length of ``vectors`` (vec_id, v), of all rows; ties to the smaller. None for an empty table."""
+    found = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    return found[0]["d"] if found else None
+
+
 def train_codebooks(vectors: DataFrame, sample: int = SAMPLE, m: int = CODEBOOKS) -> np.ndarray | None:
-    """Codebooks fitted on up to ``sample`` rows picked by hashes of their id; none for an empty table."""
+    """Codebooks fitted on up to ``sample`` rows of the most common length picked by hashes of their id; none for an empty table."""
+    vectors = vectors.where(F.size("v") == width_of(vectors))
     share = min(1.0, 1.2 * sample / max(1, vectors.count()))
     some = vectors.where(F.shiftrightunsigned(F.xxhash64("vec_id"), 11) < share * float(1 << 53))
     rows = some.orderBy(F.md5(F.col("vec_id").cast("string").cast("binary")), "vec_id").limit(sample).select("v").toArrow()
     if not rows.num_rows:
         return None
-    v = [r for r in rows.column("v").to_pylist()]
-    return fit_codebooks(np.array([r for r in v if len(r) == len(v[0])]), m)
+    return fit_codebooks(rows.column("v").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1), m)
 
 
 def _table(ids, vectors) -> pa.RecordBatch:
@@ -122,10 +128,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, shortlist: int =
     original vectors in double precision); nearest first, ties to the smaller vec_id.
 
     ``vectors`` and ``queries`` are tables as of usable(). Every vector is indexed; the rows with the
-    query's own id are no candidates. Vectors whose length is not the most common sample length
-    take no part. Of queries that repeat an id, the one with the smallest components counts;
-    repeated rows among the vectors each rank. Query blocks meet code blocks, each pair
-    leaving ``shortlist`` rows for a query; these meet their vectors by id.
+    query's own id are no candidates. Vectors whose length is not the most common one
+    take no part (with ``books`` given: not that of the codewords). Of queries that repeat an id, the one with the smallest components counts;
+    repeated rows among the vectors each rank. Query blocks meet code blocks in stretches of one query block, each
+    leaving ``shortlist`` rows for a query, so the rows grow with the queries and the tasks that codes are read in; they
+    meet their vectors by id.
     """
     spark = vectors.sparkSession
     if books is None:
@@ -151,26 +158,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, shortlist: int =
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = shared.value
         m = books.shape[0]
+        asked, qids, best = None, None, []  # the query block at hand, and (ids, scores) of the best of each query so far
+
+        def done() -> pa.RecordBatch:
+            sizes = [len(i) for i, _ in best]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, sizes)), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([s for _, s in best]))], names=["query_id", "vec_id", "near"])
+
         for batch in batches:
-            for ids, data, qids, qdata in zip(*[c.to_pylist() for c in batch.columns]):
-                ids, qids = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
-                rows = np.frombuffer(data, np.uint8).reshape(len(ids), m + 4)
+            for qraw, qdata, ids, data in zip(*batch.columns):
+                if asked is None or not asked.equals(qraw):
+                    if best:
+                        yield done()
+                    asked, qids = qraw, np.frombuffer(qraw.as_buffer(), np.int64)
+                    table = 2 * np.einsum("qd,mkd->mqk", np.frombuffer(qdata.as_buffer()).reshape(len(qids), d), books).astype(np.float32)
+                    best = [(np.empty(0, np.int64), np.empty(0, np.float32))] * len(qids)
+                ids = np.frombuffer(ids.as_buffer(), np.int64)
+                rows = np.frombuffer(data.as_buffer(), np.uint8).reshape(len(ids), m + 4)
                 c, norms = rows[:, :m].T.astype(np.int64), np.ascontiguousarray(rows[:, m:]).view(np.float32)[:, 0]
-                table = np.einsum("qd,mkd->mqk", np.frombuffer(qdata).reshape(len(qids), d), books).astype(np.float32)
-                out = []
                 for q in range(len(qids)):
                     s = norms.copy()
                     for j in range(m):
-                        s -= 2 * table[j, q][c[j]]
+                        s -= table[j, q][c[j]]
                     s[ids == qids[q]] = np.inf
                     n = min(shortlist, len(s))
-                    best = np.argpartition(s, n - 1)[:n]
-                    best = best[np.isfinite(s[best])]
-                    out.append((np.full(len(best), qids[q]), ids[best], s[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["query_id", "vec_id", "near"])
+                    top = np.argpartition(s, n - 1)[:n]
+                    top = top[np.isfinite(s[top])]
+                    i, s = np.concatenate([best[q][0], ids[top]]), np.concatenate([best[q][1], s[top]])
+                    keep = np.argpartition(s, shortlist - 1)[:shortlist] if len(s) > shortlist else slice(None)
+                    best[q] = i[keep], s[keep]
+        if best:
+            yield done()
 
     # blocks of the stated queries against blocks of all rows: no pair of rows is made here
-    near = codes.crossJoin(asked).select("ids", "data", "qids", "qdata").mapInArrow(score, "query_id long, vec_id long, near float")
+    near = asked.crossJoin(codes).select("qids", "qdata", "ids", "data").mapInArrow(score, "query_id long, vec_id long, near float")
     w = Window.partitionBy("query_id").orderBy("near", "vec_id")
     near = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= shortlist).select("query_id", "vec_id").distinct()
     pairs = near.join(vectors, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
