@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import crc_mod
+from .shared import crc_mod, written
 
 #: Labelled rows of each class that the index holds at most, and their most characters.
 EXAMPLES, EXAMPLE_CHARS = 4000, 20_000
@@ -161,9 +161,14 @@ def train_index(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES, chars:
     if any of its labels is. All terms of the sample are kept; each weight is scaled by the root of the
     term's chi-squared statistic over the sample."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).limit(16).collect()}
-    order = Window.partitionBy("toxic").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    picked = known.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each).select("doc_id", "toxic")
+    counts = written(known.groupBy("toxic").agg(F.count("*").alias("n")), "classes")
+    totals = {r["toxic"]: r["n"] for r in counts.limit(16).collect()}
+    # ids of small md5, about twice as many as wanted, so that the ranking sees few
+    md5 = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * each + 40) / F.col("n"))
+    few = known.join(F.broadcast(counts), "toxic").where(F.conv(F.substring(md5, 1, 8), 16, 10).cast("long") <= share * float(1 << 32))
+    order = Window.partitionBy("toxic").orderBy(md5, "doc_id")
+    picked = few.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each).select("doc_id", "toxic")
     sample = docs.where(F.col("text").isNotNull() & (F.length("text") <= chars)).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +177,6 @@ def train_index(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES, chars:
                 c = Counter(words_of(text))
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc] * (len(c) + 1), pa.int64()), "toxic": pa.array([int(label > 0)] * (len(c) + 1), pa.int64()), "term": pa.array([None, *c], pa.binary()), "n": pa.array([0, *c.values()], pa.int64())})
 
-    from .shared import written
-
     rows = written(sample.mapInArrow(terms, "doc_id long, toxic long, term binary, n long"), "terms").toArrow()  # of the bounded sample
     examples: dict[int, tuple[int, int, dict[int, int]]] = {}
     term = rows.column("term").combine_chunks().dictionary_encode()
@@ -199,7 +202,8 @@ def train_index(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES, chars:
 def score_toxicity(docs: DataFrame, index: Index) -> DataFrame:
     """Adds score, predicted and evidence (ids of up to three nearest examples) to ``docs`` (text
     among its columns; columns of these names are replaced). A text without a known term, an empty
-    or null one too, scores the share of label 1 among examples without one."""
+    or null one too, scores the share of label 1 among examples without one. Very long texts count whole; repeated rows
+    score alike; of examples that are as near, the earlier in the index count; an empty table gives no rows."""
     docs = docs.drop("score", "predicted", "evidence")
     shared = docs.sparkSession.sparkContext.broadcast(index)
     names = docs.columns
