@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 
 
 def url_host(url):
-    """Host of a URL: lower case, without user, port and final dot; null if there is none."""
-    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    """Host of a URL: lower case, without user, port and final dot, an IPv6 address in its brackets; null if there is none."""
+    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1))
     host = F.regexp_replace(host, r"\.+$", "")
     return F.when(host == "", F.lit(None)).otherwise(host)
 
 
 def host_suffixes(host):
-    """The host and every parent domain of two labels or more, longest first."""
+    """The host and every parent domain of two labels or more, longest first. Addresses have no parents."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
+    return F.when(host.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\["), F.array(host)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels)))))
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     """Judges ``captures`` (id, url, fetched_at) by the list entries active at fetch time.
 
     Returns for every capture: id, host, fetched_at (date), blocked, category, pattern,
-    valid_from of the most specific active pattern (ties: smaller category). Captures match an
+    valid_from of the most specific active pattern (ties: smaller category, a null one first). Captures match an
     entry through their host or any parent domain. Intervals are cut into buckets of
     ``bucket_days``, so a capture meets only the intervals of its pattern and bucket: the join
     has equal keys and a key of a popular domain is split by the adaptive skew join.
@@ -59,7 +59,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     asked = c.where(F.col("host").isNotNull() & F.col("fetched_at").isNotNull()).select("host", "fetched_at").distinct()
     probes = asked.select("host", "fetched_at", F.floor(day(F.col("fetched_at")) / bucket_days).alias("bucket"), F.explode(host_suffixes(F.col("host"))).alias("pattern"))
     hit = probes.join(spans, ["pattern", "bucket"]).where((F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))))
-    best = F.min(F.struct((-F.length("pattern")).alias("n"), F.coalesce("category", F.lit("")).alias("category"), "pattern", "valid_from"))
+    best = F.min(F.struct((-F.length("pattern")).alias("n"), F.col("category"), "pattern", "valid_from"))
     verdict = hit.groupBy("host", "fetched_at").agg(best.alias("b")).select("host", "fetched_at", F.col("b.category").alias("category"), F.col("b.pattern").alias("pattern"), F.col("b.valid_from").alias("valid_from"))
     out = c.join(verdict, ["host", "fetched_at"], "left")
     return out.select(F.col("_id").alias(id_col), "host", "fetched_at", F.col("pattern").isNotNull().alias("blocked"), "category", "pattern", "valid_from")
