@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import fresh
 
 #: The kinds, in the order that breaks ties of start. Strong: pattern, group whose length counts, least length.
 STRONG = {
@@ -104,19 +104,21 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Every row of ``docs``, its columns kept, with base_spans and spans: arrays of struct<start, kind,
     end>, sorted, in code points, kind an index of KINDS.
 
-    A null text has none. Repeated rows each get theirs. Only texts with an identifier and
-    something weak are dealt out by key; the rest need no exchange but the one that joins
-    the findings. Input columns named base_spans, spans, _key or _weak are replaced.
+    A null or empty text has none; very long texts are scanned whole. Repeated rows each get theirs, an empty table gives no
+    rows. Only texts with an identifier and something weak are dealt out by key; the rest need no exchange but the one
+    that joins the findings. Input columns named base_spans or spans are replaced, all others stay.
     """
-    docs = docs.drop("base_spans", "spans", "_key", "_weak")
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
-    scanned = docs.withColumns({"_key": key, "base_spans": F.array_sort(strong_spans(F.col(text_col))), "_weak": weak_spans(F.col(text_col))})
-    kinds = F.transform(F.concat("base_spans", "_weak"), lambda s: s["kind"])
-    linkable = (F.size("_weak") > 0) & F.exists(kinds, lambda k: k.isin(KINDS.index("access"), KINDS.index("ident")))
-    parts = scanned.where(linkable).select(F.col("_key").alias("key"), F.explode(F.concat("base_spans", "_weak")).alias("s")).select("key", "s.*").distinct()
-    extra = link_weak(parts, reach).groupBy("key").agg(F.collect_set(F.struct("start", "kind", "end")).alias("_extra"))
-    out = scanned.join(extra, scanned["_key"] == extra["key"], "left").drop("key", "_key", "_weak")
-    return out.withColumn("spans", F.array_sort(F.concat("base_spans", F.coalesce("_extra", F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)"))))).drop("_extra")
+    docs = docs.drop("base_spans", "spans")
+    key, weak, more = fresh(docs, "key"), fresh(docs, "weak"), fresh(docs, "extra")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    scanned = docs.withColumns({key: F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text), "base_spans": F.array_sort(strong_spans(text)), weak: weak_spans(text)})
+    both = F.concat("base_spans", weak)
+    linkable = (F.size(weak) > 0) & F.exists(both, lambda s: s["kind"].isin(KINDS.index("access"), KINDS.index("ident")))
+    parts = scanned.where(linkable).select(F.col(key).alias("key"), F.explode(both).alias("s")).select("key", "s.*").distinct()
+    extra = link_weak(parts, reach).groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("start", "kind", "end")).alias(more))
+    none = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)")
+    out = scanned.join(extra, key, "left").withColumn("spans", F.array_sort(F.concat("base_spans", F.coalesce(more, none))))
+    return out.select(*docs.columns, "base_spans", "spans")
 
 
 def spans_text(spans: Column) -> Column:
