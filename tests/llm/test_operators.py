@@ -80,7 +80,7 @@ def test_warc_round_trip_and_members(spark, tmp_path):
         for line in (tmp_path / "w/n" / (f.name + ".idx")).read_text().splitlines():
             offset, length = map(int, line.split("\t")[:2])
             assert gzip.decompress(data[offset : offset + length]).startswith(b"WARC/1.1\r\n")
-        whole = gzip.decompress((tmp_path / "w/m" / f.name).read_bytes())
+        whole = gzip.decompress((tmp_path / "w/m" / f.name.split("-", 1)[1]).read_bytes())
         assert [p for _, p in warc.read_records(io.BytesIO(whole))] == [p for _, p in warc.read_records(io.BytesIO(gzip.decompress(data)))]
 
 
@@ -92,6 +92,13 @@ def test_warc_empty_and_broken(spark, tmp_path):
         list(warc.read_records(io.BufferedReader(warc._Inflated(io.BytesIO(cut)))))
 
 
+def test_warc_of_a_very_large_record(spark, tmp_path):
+    big = "0123456789abcdef" * (1 << 18)
+    pages = spark.createDataFrame([(1, "u", big), (2, "u", big), (3, "v", big + "x")], "page_id long, url string, html string")
+    got = warc.read_by_index(warc.normalise(warc.write_monolithic(warc.with_record_types(pages), f"file://{tmp_path}/m"), f"file://{tmp_path}/n")).collect()
+    assert sorted((r["page_id"], r["record_type"], r["payload_bytes"]) for r in got) == [(1, "revisit", 1 << 22), (2, "response", 1 << 22), (3, "response", (1 << 22) + 1)]
+
+
 # --- 2 URL filters -----------------------------------------------------------------------
 
 
@@ -120,6 +127,13 @@ def test_url_filters_against_brute_force(spark):
     assert url_filters.filter_captures(c.limit(0), e).count() == 0 and url_filters.filter_captures(c, e.limit(0)).where("blocked").count() == 0
 
 
+def test_addresses_null_categories_and_repeated_captures(spark):
+    c = spark.createDataFrame([(1, "http://10.0.3.4/"), (1, "http://10.0.3.4/"), (2, "http://[::1]:8/x"), (3, "http://a.b.c/")], "page_id long, url string").withColumn("fetched_at", F.to_date(F.lit("2023-05-01")))
+    e = spark.createDataFrame([("3.4", "p"), ("[::1]", None), ("[::1]", "p"), ("b.c", None)], "pattern string, category string").withColumns({"listed_at": F.to_date(F.lit("2023-01-01")), "action": F.lit("add")})
+    got = sorted(((r["page_id"], r["host"], r["blocked"], r["pattern"], r["category"]) for r in url_filters.filter_captures(c, e).collect()))
+    assert got == [(1, "10.0.3.4", False, None, None)] * 2 + [(2, "[::1]", True, "[::1]", None), (3, "a.b.c", True, "b.c", None)]
+
+
 # --- 3 n-gram join -----------------------------------------------------------------------
 
 
@@ -234,6 +248,14 @@ def test_neighbours_recall_and_exclusions(spark):
     assert neighbours.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_one_odd_vector_and_long_ones(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)] + [(1000 + i, rng.normal(size=5000).tolist()) for i in range(3)] + [(2000, [1.0])]
+    v = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = neighbours.search(v, v.where(F.col("vec_id") % 100 == 0)).collect()
+    assert neighbours.width_of(v) == 8 and sorted({r["query_id"] for r in got}) == [0, 100, 200] and len(got) == 30
+
+
 # --- 5 language --------------------------------------------------------------------------
 
 
@@ -372,6 +394,14 @@ def test_rare_toxic_words_of_few_examples_count(spark):
     assert min(got[1], got[2]) > got[3]
 
 
+def test_toxicity_of_ties_repeats_and_long_texts(spark):
+    rows = [(i, "vile words here" if i % 2 else "kind words here", "s", "en") for i in range(40)]
+    index = toxicity.train_index(docs_of(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"), each=12)
+    got = toxicity.score_toxicity(docs_of(spark, [(1, "so vile", "s", "en")] * 3 + [(2, "kind " * 90_000, "s", "en")]).withColumn("evidence", F.lit("clash")), index).collect()
+    assert len(index.ids) == 24 and len({(r["score"], tuple(r["evidence"])) for r in got if r["doc_id"] == 1}) == 1
+    assert {(r["doc_id"], r["predicted"]) for r in got} == {(1, 1), (2, 0)}
+
+
 # --- 7 mixing ----------------------------------------------------------------------------
 
 
@@ -453,6 +483,14 @@ def test_weak_candidates_need_company(spark):
     assert "x9x9" not in red[i] and red[0] is None and red[3] == "one"
 
 
+def test_callers_columns_stay(spark):
+    df = spark.createDataFrame([(1, "user: bob " + "x9" * 12, 7, "w", 3)], "doc_id long, text string, key long, _weak string, _key int")
+    got = secrets.find_secrets(df)
+    assert got.columns == ["doc_id", "text", "key", "_weak", "_key", "base_spans", "spans"]
+    r = got.collect()[0]
+    assert (r["key"], r["_weak"], r["_key"]) == (7, "w", 3) and len(r["spans"]) == 2
+
+
 # --- 9 decontamination -------------------------------------------------------------------
 
 
@@ -507,6 +545,27 @@ def test_contaminated_by_repeating_repeated_and_nameless_items(spark):
     assert sorted((r["doc_id"], str(r["item_id"]), r["item_words"], r["covered_words"]) for r in got) == [(1, "10", 200, 200), (2, "11", 20, 20), (3, "None", 30, 30)]
 
 
+def test_contaminated_against_brute_force(spark):
+    rng = random.Random(12)
+    docs, items = [], []
+    for i in range(40):
+        v = [f"w{j}" for j in range(rng.choice([3, 12, 200]))]
+        items.append((i, " ".join(rng.choices(v, k=rng.randrange(1, 25)))))
+    for i in range(60):
+        w = rng.choices([f"w{j}" for j in range(rng.choice([3, 12, 200]))], k=rng.randrange(0, 40))
+        item = rng.choice(items)[1].split()
+        docs.append((i, " ".join(w + item[: rng.randrange(len(item) + 1)] + w[:3] + item[-3:])))
+    docs.append((60, " ".join(["w1"] * 3000)))
+    want = set()
+    for d, t in docs[:60]:
+        for j, x in items:
+            n = sum(z for _, _, z in brute_tiles(t.split(), x.split(), 4))
+            if n and n >= 0.5 * len(x.split()):
+                want.add((d, j, n))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["covered_words"]) for r in got if r["doc_id"] < 60} == want and len(want) > 30
+
+
 # --- 10 chat -----------------------------------------------------------------------------
 
 CHAT_TEXTS = ["", "</s>[INST] ok [/INST]", "\\", "<\\s>", "a\\b<|x|>", "<<SYS>><</SYS>>", "[INST", "<|>", "é🙂\n\n", "[/INST] </s", "x" * 700]
