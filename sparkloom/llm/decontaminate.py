@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _P, shingle_hashes, sorted_set, word_hashes, written
+from .shared import _P, drop, shingle_hashes, sorted_set, split_by_keys, word_hashes, written
 
 #: Words of a seed and of the shortest tile; share of an item's words under tiles that flags a text.
 K, COVERAGE = 4, 0.5
@@ -147,8 +147,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hits, "doc_id long, text string, hashes array<long>")
     found = written(found.withColumn("row", F.monotonically_increasing_id()), "seeded")
     pairs = found.select("row", F.explode("hashes").alias("hash")).join(seeds, "hash").groupBy("row", "item").agg(F.sum("times").alias("n"), F.max("words").alias("words")).where(F.col("n") * k >= F.col("words") * coverage)
-    pairs = written(pairs.select("row", "item"), "pairs")  # its size is known, so Spark moves texts only where pairs are too many to send
-    rows = pairs.join(items, "item").join(found.select("row", "doc_id", "text"), "row")
+    pairs = written(pairs.select("row", "item"), "pairs")
+    near, _ = split_by_keys(found.select("row", "doc_id", "text"), "row", pairs.select("row"))  # only these texts move
+    rows = pairs.join(items, "item").join(near, "row")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +163,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if i == 5 else pa.int64()) for i, c in enumerate(zip(*out))], names=["doc_id", "text_key", "item_id", "item_words", "covered_words", "coverage", "n_tiles", "longest_tile"])
 
-    return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "item_id", "text", "item_text").mapInArrow(tile, "doc_id long, text_key long, item_id long, item_words long, covered_words long, coverage double, n_tiles long, longest_tile long")
+    out = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "item_id", "text", "item_text").mapInArrow(tile, "doc_id long, text_key long, item_id long, item_words long, covered_words long, coverage double, n_tiles long, longest_tile long")
+    out = written(out, "found")
+    drop(items, seeds, found, pairs)
+    return out
 
 
 def op9(spark, sf_dir):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh
+from .shared import fresh, split_by_keys, written
 
 #: The kinds, in the order that breaks ties of start. Strong: pattern, group whose length counts, least length.
 STRONG = {
@@ -105,20 +105,23 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     end>, sorted, in code points, kind an index of KINDS.
 
     A null or empty text has none; very long texts are scanned whole. Repeated rows each get theirs, an empty table gives no
-    rows. Only texts with an identifier and something weak are dealt out by key; the rest need no exchange but the one
-    that joins the findings. Input columns named base_spans or spans are replaced, all others stay.
+    rows. Only texts with an identifier and something weak are dealt out by key, and only those with weak findings move. Input columns named base_spans or spans are replaced, all others stay.
     """
     docs = docs.drop("base_spans", "spans")
     key, weak, more = fresh(docs, "key"), fresh(docs, "weak"), fresh(docs, "extra")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    scanned = docs.withColumns({key: F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text), "base_spans": F.array_sort(strong_spans(text)), weak: weak_spans(text)})
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text))
+    scanned = keyed.withColumns({"base_spans": strong_spans(text), weak: weak_spans(text)})
     both = F.concat("base_spans", weak)
     linkable = (F.size(weak) > 0) & F.exists(both, lambda s: s["kind"].isin(KINDS.index("access"), KINDS.index("ident")))
     parts = scanned.where(linkable).select(F.col(key).alias("key"), F.explode(both).alias("s")).select("key", "s.*").distinct()
-    extra = link_weak(parts, reach).groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("start", "kind", "end")).alias(more))
-    none = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)")
-    out = scanned.join(extra, key, "left").withColumn("spans", F.array_sort(F.concat("base_spans", F.coalesce(more, none))))
-    return out.select(*docs.columns, "base_spans", "spans")
+    extra = written(link_weak(parts, reach).groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("start", "kind", "end")).alias(more)), "linked")
+    some, rest = split_by_keys(keyed, key, extra.select(key))  # rows without weak findings don't move
+    base = {"base_spans": F.array_sort(strong_spans(text))}
+    some = some.join(extra, key, "left").withColumns(base).withColumn("spans", F.array_sort(F.concat("base_spans", F.coalesce(more, F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)")))))
+    rest = rest.withColumns(base).withColumn("spans", F.col("base_spans"))
+    names = [*docs.columns, "base_spans", "spans"]
+    return some.select(*names).unionByName(rest.select(*names))
 
 
 def spans_text(spans: Column) -> Column:

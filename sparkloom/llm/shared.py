@@ -54,6 +54,23 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bits of the filter of split_by_keys(), as a table of at most 2**16 words that is sent to all tasks (about 20 MB when full).
+_FILTER_BITS = 22
+
+
+def split_by_keys(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose column ``key`` may be in the only column of ``keys``, and rows where it surely is not. A bitmap of
+    fixed size tells, so a join behind it moves few rows and decides; with many keys the first part grows, no result changes."""
+    word, bits = fresh(df, "word"), fresh(df, "bits")
+    at = lambda h: (F.shiftrightunsigned(h, 64 - _FILTER_BITS + 6), (F.shiftrightunsigned(h, 64 - _FILTER_BITS) % 64).cast("int"))
+    w, b = at(F.xxhash64(keys.columns[0]))
+    words = written(keys.select(w.alias(word), b.alias("b")).groupBy(word).agg(F.collect_set("b").alias(bits)), "filter")  # up to 64 bits a word
+    w, b = at(F.xxhash64(key))
+    marked = df.withColumn(word, w).join(F.broadcast(words), word, "left")
+    hit = F.coalesce(F.array_contains(bits, b), F.lit(False))
+    return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)
+
+
 def crc_mod(col: str, m: int):
     """crc32 of the id as text, modulo m (null id: null)."""
     return F.crc32(F.col(col).cast("string")) % m
@@ -168,4 +185,6 @@ def components(edges: DataFrame) -> DataFrame:
         table = new
         if not changed:
             drop(both)
-            return table.select("node", "component")
+            label = table.select("node", "component")
+            label.stored_at = table.stored_at
+            return label
