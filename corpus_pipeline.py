@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, language, mixing, ngram_join, secrets
-from sparkloom.llm.shared import drop, fresh, written
+from sparkloom.llm.shared import drop, fresh, split_by_keys, written
 
 #: A text whose best language has a smaller share of its words than this has none.
 LEAST_SHARE = 0.3
@@ -32,14 +32,16 @@ def keep_one_of_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near copies, once: of rows that repeat this id, the one that
     is smallest in text (a null one last) and then in the other columns. Null and empty texts are near nothing and
     stay; so do all rows without an id."""
-    near = ngram_join.near_duplicates(docs).where("doc_id = component_id")
-    ids = written(near.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(ids.where("n = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    if ids.where("n > 1").limit(1).count():  # ids that repeat
-        rows, nth = docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi"), fresh(docs, "nth")
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), "text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
-        out = out.unionByName(rows.withColumn(nth, first).where(F.col(nth) == 1).drop(nth))
-    return out.select(*docs.columns)
+    near = ngram_join.near_duplicates(docs)
+    n, keep, nth = fresh(docs, "n"), fresh(docs, "keep"), fresh(docs, "nth")
+    ids = near.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias(n), F.first(F.col("doc_id") == F.col("component_id")).alias(keep))
+    ids = written(ids.where((F.col(n) > 1) | ~F.col(keep)), "judged")  # all other rows stay, so they don't move
+    some, rest = split_by_keys(docs, "doc_id", ids.select("doc_id"))
+    some = some.join(ids, "doc_id", "left").where(F.coalesce(keep, F.lit(True)))
+    once, again = some.where(F.coalesce(n, F.lit(1)) == 1), some.where(F.col(n) > 1)  # ids that repeat
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), "text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
+    again = again.withColumn(nth, first).where(F.col(nth) == 1)
+    return rest.unionByName(once.select(*docs.columns)).unionByName(again.select(*docs.columns))
 
 
 def drop_benchmark_texts(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
