@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.artifacts import shared_dir
+
 from ..functions.numeric import is_finite
 from .stats import context_by_position
 
@@ -117,9 +119,7 @@ def _kept(params: DataFrame) -> DataFrame:
     """The rows, with their lineage cut through the checkpoint folder."""
     spark = params.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkloom-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return params.checkpoint(eager=True)
 
 

@@ -28,8 +28,9 @@ def feature_stats(acts: DataFrame, meta: DataFrame, exact: bool = True, check: b
     if check and not totals.first()["n_total_tokens"]:
         raise ValueError("no tokens are left after the row filters")
     a = nan_to_null(F.col("activation"))
-    pct = (lambda q: F.percentile(a, q)) if exact else (lambda q: F.percentile_approx(a, q, 10_000))
-    base = acts.groupBy("feature_id").agg(F.count("*").alias("n_token_activations"), F.avg(a).alias("mean_activation"), F.max(a).alias("max_activation"), pct(0.5).alias("p50_activation"), pct(0.95).alias("p95_activation"), pct(0.99).alias("p99_activation"))
+    qs = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
+    base = acts.groupBy("feature_id").agg(F.count("*").alias("n_token_activations"), F.avg(a).alias("mean_activation"), F.max(a).alias("max_activation"), (F.percentile(a, qs) if exact else F.percentile_approx(a, qs, 10_000)).alias("_p"))
+    base = base.select("*", *[F.get("_p", F.lit(i)).alias(f"p{q}_activation") for i, q in enumerate((50, 95, 99))])
     texts = acts.select("feature_id", "text_id").distinct().groupBy("feature_id").agg(F.count("text_id").alias("n_texts"))
     out = base.join(texts, "feature_id").crossJoin(F.broadcast(totals))  # totals: one row
     out = out.select("feature_id", "n_token_activations", "n_texts", "mean_activation", "max_activation", "p50_activation", "p95_activation", "p99_activation", (F.col("n_token_activations") / F.col("n_total_tokens")).alias("token_frequency"), (F.col("n_texts") / F.col("n_total_texts")).alias("text_frequency"))

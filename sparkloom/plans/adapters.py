@@ -34,9 +34,9 @@ def tokens(spark, sf_dir) -> DataFrame:
     return explode_tokens(texts(spark, sf_dir), max_seq_len=None)
 
 
-def document_activations(spark, sf_dir) -> DataFrame:
-    """Four activations for each token, from its length, first character and position."""
-    t = tokens(spark, sf_dir)
+def document_activations(spark, sf_dir, t: DataFrame | None = None) -> DataFrame:
+    """Four activations for each token (of ``t``, or of all documents), from its length, first character and position."""
+    t = tokens(spark, sf_dir) if t is None else t
     n, first = F.length("token_str"), F.ascii(F.ltrim("token_str"))
     each = F.explode(F.array(*[F.struct(((n * 31 + first * 7 + k * 13) % 61).cast("long").alias("feature_id"), (((F.col("token_pos") * 17 + n * 29 + k * 11) % 97) / 10.0).alias("activation")) for k in range(4)]))
     return t.select("text_id", "source", "token_pos", "token_str", each.alias("e")).select("text_id", "source", "token_pos", "token_str", "e.feature_id", "e.activation").where("activation > 0")

@@ -15,9 +15,9 @@ RESEARCH = ("collect", "features", "coactivation", "geometry", "geometry-vs-coac
 PRESETS = {"core": CORE, "atlas": ATLAS, "research": RESEARCH}
 
 
-def filtered_acts(run: Run, cfg: RunConfig) -> DataFrame:
-    """The filtered fact table, written once for all steps."""
-    if not run.has("filtered_activations"):
+def filtered_acts(run: Run, cfg: RunConfig, anew: bool = False) -> DataFrame:
+    """The filtered fact table: step_features writes it anew from the activations and filters at hand, later steps read it."""
+    if anew or not run.has("filtered_activations"):
         run.write("filtered_activations", filters.apply_row_filters(run.sae_activations(), cfg.rows))
     return run.table("filtered_activations")
 
@@ -29,13 +29,16 @@ def step_collect(run: Run, cfg: RunConfig) -> None:
     if run.has("dense_activations"):
         dense = ingest.drop_nonfinite_texts(run.table("dense_activations"))
         info = dict(cfg.run_info)
-        topk = info.get("activation_mode", "topk") == "topk"
+        mode = info.get("activation_mode", "topk")
+        if mode not in ("topk", "positive"):
+            raise ValueError(f"activation_mode is topk or positive, not {mode}")
+        topk = mode == "topk"
         run.write(f"sae_activations_{'topk' if topk else 'positive'}", ingest.sparsify_topk(dense, int(info.get("top_k", 64))) if topk else ingest.sparsify_positive(dense))
         run.write("token_activation_summary", ingest.token_activation_summary(dense))
 
 
 def step_features(run: Run, cfg: RunConfig) -> None:
-    acts, meta = filtered_acts(run, cfg), run.token_metadata()
+    acts, meta = filtered_acts(run, cfg, anew=True), run.token_metadata()
     s = run.write("feature_stats", stats.feature_stats(acts, meta))
     kept = run.write("filtered_features", filters.apply_feature_filters(s, cfg.features))
     top = run.write("top_feature_examples", stats.top_examples(acts, meta, cfg.analysis.top_examples, cfg.analysis.context_window))

@@ -25,12 +25,16 @@ def _filtered(s, d):
     return filters.apply_row_filters(A.document_activations(s, d))
 
 
-def _loose(s, d):
-    return filters.apply_row_filters(A.document_activations(s, d), A.LOOSE)
+def _facts(s, d, rows=None):
+    """The tokens and the filtered facts as tables: documents are read and tokenised once, facts are classified once."""
+    t = artifacts.stored(A.tokens(s, d), "tokens")
+    acts = A.document_activations(s, d, t)
+    return t, artifacts.stored(filters.apply_row_filters(acts, rows) if rows else filters.apply_row_filters(acts), "facts")
 
 
 def _stats(s, d):
-    return stats.feature_stats(_filtered(s, d), A.tokens(s, d), check=False)
+    t, acts = _facts(s, d)
+    return stats.feature_stats(acts, t, check=False)
 
 
 def _kept(s, d):
@@ -38,11 +42,13 @@ def _kept(s, d):
 
 
 def _pairs(s, d):
-    return cooccurrence.same_token_pairs(_filtered(s, d), _kept(s, d), max_pairs=None)
+    t, acts = _facts(s, d)
+    kept = artifacts.stored(filters.apply_feature_filters(stats.feature_stats(acts, t, check=False)), "kept")
+    return artifacts.stored(cooccurrence.same_token_pairs(acts, kept, max_pairs=None), "pairs")
 
 
 def _neighbors(s, d):
-    return geometry.decoder_neighbors(A.directions(s, d))
+    return artifacts.stored(geometry.decoder_neighbors(A.directions(s, d)), "neighbors")
 
 
 # --- filters and token quality -----------------------------------------------------------
@@ -88,7 +94,8 @@ def token_sources(s, d):
 
 
 def top_examples(s, d):
-    return stats.top_examples(_filtered(s, d), A.tokens(s, d))
+    t, acts = _facts(s, d)
+    return stats.top_examples(acts, t)
 
 
 def position_context(s, d):
@@ -190,19 +197,19 @@ def alignment_summary(s, d):
 
 
 def feature_inspection(s, d):
-    return rounded(inspection.feature_summaries_frame(inspection.summarize_features(_loose(s, d))).drop("top_tokens_json", "top_positions_json", "top_sources_json"))
+    return rounded(inspection.feature_summaries_frame(inspection.summarize_features(_facts(s, d, A.LOOSE)[1])).drop("top_tokens_json", "top_positions_json", "top_sources_json"))
 
 
 def inspection_report(s, d):
     """The inspection with its lists and examples as nested rows."""
-    acts = _loose(s, d)
-    top = stats.top_examples(acts, A.tokens(s, d), 5)
+    t, acts = _facts(s, d, A.LOOSE)
+    top = stats.top_examples(acts, t, 5)
     return inspection.inspection_payload(inspection.summarize_features(acts, examples=top))
 
 
 def pair_inspection(s, d):
-    acts = _loose(s, d)
-    pairs = cooccurrence.same_token_pairs(acts, acts.select("feature_id"), max_pairs=None)
+    _, acts = _facts(s, d, A.LOOSE)
+    pairs = artifacts.stored(cooccurrence.same_token_pairs(acts, acts.select("feature_id"), max_pairs=None), "pairs")
     return rounded(inspection.pair_summaries_frame(inspection.summarize_pairs(acts, pairs, inspection.summarize_features(acts))).drop("shared_top_tokens_json"))
 
 
@@ -211,10 +218,10 @@ def activation_bands(s, d):
 
 
 def _evidence(s, d):
-    acts = _loose(s, d)
-    kept = filters.apply_feature_filters(stats.feature_stats(acts, A.tokens(s, d), check=False))
-    pairs = cooccurrence.same_token_pairs(acts, kept, max_pairs=None)
-    neighbors = geometry.decoder_neighbors(A.directions(s, d), kept)
+    t, acts = _facts(s, d, A.LOOSE)
+    kept = artifacts.stored(filters.apply_feature_filters(stats.feature_stats(acts, t, check=False)), "kept")
+    pairs = artifacts.stored(cooccurrence.same_token_pairs(acts, kept, max_pairs=None), "pairs")
+    neighbors = artifacts.stored(geometry.decoder_neighbors(A.directions(s, d), kept), "neighbors")
     look = inspection.feature_summaries_frame(inspection.summarize_features(acts, kept))
     return kept, pairs, neighbors, look
 
@@ -248,8 +255,8 @@ def feature_cards_full(s, d):
 
 
 def projection_metadata(s, d):
-    acts = _loose(s, d)
-    st = stats.feature_stats(acts, A.tokens(s, d), check=False)
+    t, acts = _facts(s, d, A.LOOSE)
+    st = stats.feature_stats(acts, t, check=False)
     return cards.projection_metadata(st, inspection.feature_summaries_frame(inspection.summarize_features(acts))).select("feature_id", "primary_label", "inspection_labels", F.round("artifact_score", 6).alias("artifact_score"))
 
 
@@ -301,7 +308,7 @@ def scatter_points(s, d):
 
 
 def ranked_artifacts(s, d):
-    acts = _loose(s, d)
+    _, acts = _facts(s, d, A.LOOSE)
     f = inspection.feature_summaries_frame(inspection.summarize_features(acts))
     return rounded(report.ranked(f, "artifact_score", 20, "feature_id").select("feature_id", "artifact_score", "inspection_labels"))
 

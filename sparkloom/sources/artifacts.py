@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +41,31 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.parquet(staged)
     p, s = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, staged))
     files = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(p, True)
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{staged}.old")
+    had = files.exists(p) and files.rename(p, old)
     if not files.rename(s, p):
-        raise OSError(f"cannot move {staged} to {path}")
+        raise OSError(f"cannot move {staged} to {path}" + (f"; what it replaces is at {old}" if had else ""))
+    if had:
+        files.delete(old, True)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and all tasks run
+    on this machine, one of our own; on a cluster it must be set."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, for plans that read it more than once."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -70,7 +94,7 @@ def read_directions(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 class Run:
-    """Lazy tables of a run folder: run.table(name), or run.<name>()."""
+    """Lazy tables of a run folder: run.table(name), or run.<name>() for the names in SCHEMAS."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -93,8 +117,8 @@ class Run:
         return self.table("sae_activations_topk" if self.has("sae_activations_topk") else "sae_activations_positive")
 
     def __getattr__(self, name: str):
-        if name.startswith("_"):
-            raise AttributeError(name)
+        if name not in SCHEMAS:
+            raise AttributeError(f"no artifact is named {name}")
         return lambda: self.table(name)
 
 

@@ -13,7 +13,7 @@ ACTS = "feature_id long, text_id long, token_pos long, source string, token_str
 
 
 def test_labels(spark):
-    want = {" ": "space", "\n": "space", "'": "quote", "...": "punctuation", "★": "symbol", "<bos>": "special", " hello": "clean", "▁hello": "clean", "": "space", "â€™": "mojibake", "\x01": "control", "▁": "symbol", "+.": "symbol", "abc": "clean", "é": "clean"}
+    want = {"\t": "space", "   ": "space", "”": "quote", "``": "quote", "?!": "punctuation", "—": "punctuation", "€5": "mojibake", "≠": "symbol", "<pad>": "special", "< >": "special", " river": "clean", "Ġriver": "clean", "": "space", "Ãœ": "mojibake", "\x07": "control", "▁": "symbol", "=:": "symbol", "7th": "clean", "ø": "clean"}
     df = spark.createDataFrame([(k,) for k in want], "token_str string")
     got = {r["token_str"]: r["token_quality_label"] for r in text.attach_token_quality(df).collect()}
     assert got == want
@@ -45,9 +45,9 @@ def test_clean_text(spark):
 
 
 def test_row_filter_default(spark):
-    df = spark.createDataFrame([(1, 0, 0, "x", "<bos>", 1.0), (1, 0, 1, "x", " hello", 2.0), (2, 0, 2, "x", ".", 3.0), (3, 0, 3, "x", "★", 4.0)], ACTS)
-    got = filters.apply_row_filters(df).collect()
-    assert [r["token_str"] for r in got] == [" hello"] and got[0]["token_quality_label"] == "clean"
+    rows = [(9, 4, 0, "log", " stone", 0.5), (9, 4, 3, "log", " stone", 0.5), (8, 4, 4, "web", " —", 7.0), (8, 5, 1, "web", "<pad>", 2.5), (7, 5, 2, "web", "≠", 1.5), (7, 6, 8, "log", "moss", 0.25), (7, 6, 9, "log", "\n", 6.0)]
+    got = filters.apply_row_filters(spark.createDataFrame(rows, ACTS)).orderBy("text_id").collect()
+    assert [(r["token_str"], r["token_pos"], r["token_quality_label"]) for r in got] == [(" stone", 3, "clean"), ("moss", 8, "clean")]
 
 
 def test_exclusions_keep_nulls(spark):
@@ -58,13 +58,13 @@ def test_exclusions_keep_nulls(spark):
 
 
 def test_text_sources(spark):
-    df = spark.createDataFrame([("pile-10k", "a"), ("pile-10k", "b"), ("wikimedia-en", "c")], "source string, text string")
-    assert [tuple(r) for r in stats.summarize_text_sources(df).collect()] == [("pile-10k", 2, 2 / 3), ("wikimedia-en", 1, 1 / 3)]
+    df = spark.createDataFrame([("tea", None), ("oak", "x"), ("oak", "x"), ("tea", "y"), ("oak", "z"), ("fir", "")], "source string, text string")
+    assert [tuple(r) for r in stats.summarize_text_sources(df).collect()] == [("oak", 3, 0.5), ("tea", 2, 1 / 3), ("fir", 1, 1 / 6)]
 
 
 def test_token_sources(spark):
-    df = spark.createDataFrame([("pile-10k", 0, 1), ("pile-10k", 0, 2), ("wikimedia-en", 1, 3)], "source string, text_id long, token_id long")
-    assert [tuple(r) for r in stats.summarize_token_sources(df).collect()] == [("pile-10k", 1, 2, 2 / 3), ("wikimedia-en", 1, 1, 1 / 3)]
+    df = spark.createDataFrame([("oak", t, i) for t in (5, 6) for i in range(3)] + [("tea", 7, 40), ("tea", 7, 40)], "source string, text_id long, token_id long")
+    assert [tuple(r) for r in stats.summarize_token_sources(df).collect()] == [("oak", 2, 6, 0.75), ("tea", 1, 2, 0.25)]
 
 
 def test_tokens_and_topk(spark):
