@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 The index holds a bounded sample of labelled texts over all their terms, weighted by how well they tell
-the classes apart. For a
-query, the largest weight of each term in each block of examples bounds what the block can
-reach; the best blocks are scored first, then those that can still enter the nearest.
+the classes apart; alike examples share blocks. For a query, the short lists are added up, and the largest
+weight of each long list in each block bounds what a block can still reach; the best blocks are scored
+first, then those that can still enter the nearest.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from .shared import crc_mod, written
 
 #: Labelled rows of each class that the index holds at most, and their most characters.
 EXAMPLES, EXAMPLE_CHARS = 4000, 20_000
-NEAREST, BLOCK = 25, 64
+NEAREST, BLOCK, LONG = 25, 64, 4
+#: Examples that the order of the places gathers the others around.
+LEADERS = 32
 
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -35,42 +37,82 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
+#: How often a text has each term: a dict, or distinct terms and their counts as arrays.
+Counts = dict[int, int] | tuple[np.ndarray, np.ndarray]
+
+
+def _arrays(counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(counts, dict):
+        return np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts))
+    return counts
+
+
+def _gathered(term: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, terms: int) -> np.ndarray:
+    """An order of the n examples in which alike ones are close, so that blocks' bounds are tight: each goes to the
+    nearest of LEADERS of them, and leaders follow one another by nearness. The postings need no order."""
+    if n <= LEADERS:
+        return np.arange(n)
+    lead = np.linspace(0, n - 1, LEADERS).astype(np.int64)
+    near = np.empty((n, LEADERS))
+    for i, one in enumerate(lead):
+        dense, mine = np.zeros(terms), place == one
+        dense[term[mine]] = value[mine]
+        near[:, i] = np.bincount(place, value * dense[term], n)
+    rank, now = np.full(LEADERS, -1), 0
+    for i in range(LEADERS):
+        rank[now] = i
+        now = int(np.where(rank < 0, near[lead[now]], -1.0).argmax())
+    best = near.argmax(1)
+    return np.lexsort((-near[np.arange(n), best], rank[best]))
+
+
 class Index:
-    """Examples as unit TF-IDF vectors over ``terms``, as postings by term and place. A term's postings
-    in a block of BLOCK places are a run, with its largest weight. Examples without a term are in
-    none of the blocks. ``scale`` multiplies the weight of each term."""
+    """Examples as unit TF-IDF vectors over ``terms``, as postings by term and place. Long lists (a place in LONG or
+    more) also have the largest weight in each block of BLOCK places; short ones are cheaper to add up than to bound.
+    Examples without a term are in none of the blocks. ``scale`` multiplies the weight of each term."""
 
-    def __init__(self, terms: list[bytes], examples: list[tuple[int, int, dict[int, int]]], weights: dict[int, float], scale: np.ndarray | None = None):
-        """examples: (id, label, term -> count); weights: how many rows an example of a class stands for."""
+    def __init__(self, terms: list[bytes], examples: list[tuple], weights: dict[int, float], scale: np.ndarray | None = None):
+        """examples: (id, label, counts), counts as for weigh(); weights: how many rows an example of a class stands for."""
         self.terms = {t: i for i, t in enumerate(terms)}
         n = max(1, len(examples))
         df = np.zeros(len(terms), np.int64)
         for e in examples:
-            df[list(e[2])] += 1
+            df[_arrays(e[2])[0]] += 1
         self.idf = (np.log((1 + n) / (1 + df)) + 1) * (1.0 if scale is None else scale)
-        have = [e for e in examples if e[2]]
-        have.sort(key=lambda e: (sorted(e[2], key=lambda t: -self.idf[t])[:8], e[0]))  # alike examples share blocks, so bounds are tight
-        self.ids = np.array([e[0] for e in have], np.int64)
-        self.labels = np.array([e[1] for e in have], np.float64)
-        self.weight = np.array([weights[e[1]] for e in have])
+        have = [e for e in examples if len(_arrays(e[2])[0])]
+        have.sort(key=lambda e: e[0])
         vectors = [self.weigh(e[2]) for e in have]
         t, w = (np.concatenate([v[i] for v in vectors]) if have else np.empty(0, (np.int64, float)[i]) for i in (0, 1))
         place = np.repeat(np.arange(len(have)), [len(v[0]) for v in vectors])
         del vectors
-        order = np.argsort(t, kind="stable")
-        t, self.place, self.value = t[order], place[order].astype(np.int32), w[order]
-        run = t * (len(have) // BLOCK + 1) + self.place // BLOCK
-        self.run_at = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1]))) if len(t) else np.empty(0, np.int64)
-        self.run_size = np.diff(np.append(self.run_at, len(t)))
-        self.run_block = self.place[self.run_at] // BLOCK
-        self.run_most = np.maximum.reduceat(self.value, self.run_at) if len(t) else np.empty(0)
-        self.first_run = np.searchsorted(t[self.run_at], np.arange(len(terms) + 1))
-        bare = [e for e in examples if not e[2]]
+        alike = _gathered(t, place, w, len(have), len(terms))
+        have = [have[i] for i in alike]
+        moved = np.empty(len(have), np.int64)
+        moved[alike] = np.arange(len(have))
+        place = moved[place]
+        self.ids = np.array([e[0] for e in have], np.int64)
+        self.labels = np.array([e[1] for e in have], np.float64)
+        self.weight = np.array([weights[e[1]] for e in have])
+        order = np.lexsort((place, t))
+        t, self.place, self.value = t[order], place[order], w[order]
+        self.first = np.searchsorted(t, np.arange(len(terms) + 1))
+        size, blocks = np.diff(self.first), -(-len(have) // BLOCK)
+        lists = np.flatnonzero(size * LONG >= max(1, len(have)))
+        self.row = np.full(len(terms), -1)
+        self.row[lists] = np.arange(len(lists))
+        # of each long list: where its part of each block begins, and its largest weight there
+        self.block_at = np.stack([self.first[i] + np.searchsorted(self.place[self.first[i] : self.first[i + 1]], np.arange(blocks + 1) * BLOCK) for i in lists]) if len(lists) else np.empty((0, blocks + 1), np.int64)
+        self.most = np.zeros((len(lists), blocks))
+        part = np.diff(self.block_at, axis=1)
+        if part.any():
+            self.most[part > 0] = np.maximum.reduceat(np.append(self.value, 0.0)[_ranges(self.first[lists], size[lists])], np.cumsum(part.ravel()[part.ravel() > 0]) - part.ravel()[part.ravel() > 0])
+        bare = [e for e in examples if not len(_arrays(e[2])[0])]
         every = sum(weights[e[1]] for e in examples)
         self.prior = sum(weights[e[1]] for e in examples if e[1]) / every if every else 0.5
         rest = sum(weights[e[1]] for e in bare)
         self.bare = (sum(weights[e[1]] for e in bare if e[1]) + self.prior) / (rest + 1)
         self.steps = None
+        del t, w, place, order
         votes = [(self.vote(e[2], skip=j)[0], e[1], weights[e[1]]) for j, e in enumerate(have)]
         self.steps = isotonic(votes)
 
@@ -78,51 +120,57 @@ class Index:
     def matrix(self) -> np.ndarray:
         """The vectors as a dense array (terms, places)."""
         out = np.zeros((len(self.terms), -(-len(self.ids) // BLOCK) * BLOCK))
-        size = np.add.reduceat(np.append(self.run_size, 0), self.first_run[:-1]) * (np.diff(self.first_run) > 0) if len(self.terms) else []
-        out[np.repeat(np.arange(len(self.terms)), size), self.place] = self.value
+        out[np.repeat(np.arange(len(self.terms)), np.diff(self.first)), self.place] = self.value
         return out
 
-    def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.fromiter(counts, np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[t]
+    def weigh(self, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+        t, n = _arrays(counts)
+        w = (1 + np.log(n)) * self.idf[t]
         return t, w / (np.sqrt((w**2).sum()) or 1.0)
 
-    def vector(self, counts: dict[int, int]) -> np.ndarray:
+    def vector(self, counts: Counts) -> np.ndarray:
         v = np.zeros(len(self.idf))
         t, w = self.weigh(counts)
         v[t] = w
         return v
 
-    def nearest(self, counts: dict[int, int], k: int = NEAREST, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, counts: Counts, k: int = NEAREST, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples, exactly; ties go to the earlier place. Only
         examples that share a term are listed."""
         t, q = self.weigh(counts)
-        size = self.first_run[t + 1] - self.first_run[t]
-        runs, q = _ranges(self.first_run[t], size), np.repeat(q, size)
-        block = self.run_block[runs]
-        bound = np.bincount(block, q * self.run_most[runs], -(-len(self.ids) // BLOCK))
+        row = self.row[t]
+        short, row, long_q = row < 0, row[row >= 0], q[row >= 0]
+        t, q = t[short], q[short]
+        ends = list(zip(self.first[t].tolist(), self.first[t + 1].tolist()))
+        value = np.concatenate([self.value[a:b] for a, b in ends]) if ends else np.empty(0)
+        places = np.concatenate([self.place[a:b] for a, b in ends]) if ends else np.empty(0, np.int64)
+        blocks = self.most.shape[1]
+        # what short lists give to each place, as blocks; long lists add at most what their maxima do
+        part = np.bincount(places, value * np.repeat(q, self.first[t + 1] - self.first[t]), blocks * BLOCK).reshape(blocks, BLOCK)
+        bound = part.max(1, initial=0.0) + long_q @ self.most[row]
         order = np.argsort(-bound, kind="stable")
+        starts, sizes = self.block_at[row, :-1], np.diff(self.block_at[row], axis=1)
         place, near, least, done = np.empty(0, np.int64), np.empty(0), 0.0, 0
         for more in (8, len(order)):  # the most promising blocks, then all that can still matter
             pick = order[done : done + more]
-            pick = pick[bound[pick] > 0 if len(near) < k else bound[pick] >= least - 1e-12]
+            pick = np.sort(pick[bound[pick] > 0 if len(near) < k else bound[pick] >= least - 1e-12])
             done += more
-            wanted = np.zeros(len(bound), bool)
-            wanted[pick] = True
-            mine = wanted[block]
-            r = runs[mine]
-            at = _ranges(self.run_at[r], self.run_size[r])
-            s = np.bincount(self.place[at], self.value[at] * np.repeat(q[mine], self.run_size[r]), len(self.ids))
-            if 0 <= skip < len(s):
-                s[skip] = 0.0
+            of = sizes[:, pick]
+            at = _ranges(starts[:, pick].ravel(), of.ravel())
+            s = np.bincount(self.place[at], self.value[at] * np.repeat(long_q, of.sum(1)), blocks * BLOCK).reshape(blocks, BLOCK)[pick] + part[pick]
+            mine = (pick[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            s = s.ravel() * (mine != skip)
             hit = np.flatnonzero(s)
-            place, near = np.concatenate([place, hit]), np.concatenate([near, s[hit]])
+            place, near = np.concatenate([place, mine[hit]]), np.concatenate([near, s[hit]])
+            if len(near) > k:  # only those about as near as the k-th, or nearer, are sorted
+                may = np.flatnonzero(near >= np.partition(near, len(near) - k)[len(near) - k] - 2e-12)
+                place, near = place[may], near[may]
             top = np.lexsort((place, -np.round(near, 12)))[:k]
             place, near = place[top], near[top]
             least = near[-1] if len(near) == k else 0.0
         return place, near
 
-    def vote(self, counts: dict[int, int], skip: int = -1) -> tuple[float, np.ndarray]:
+    def vote(self, counts: Counts, skip: int = -1) -> tuple[float, np.ndarray]:
         """Votes of the nearest, weighted by cosine and class weight, with one vote's worth of prior."""
         place, near = self.nearest(counts, skip=skip)
         w = near * self.weight[place]
@@ -178,25 +226,27 @@ def train_index(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES, chars:
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc] * (len(c) + 1), pa.int64()), "toxic": pa.array([int(label > 0)] * (len(c) + 1), pa.int64()), "term": pa.array([None, *c], pa.binary()), "n": pa.array([0, *c.values()], pa.int64())})
 
     rows = written(sample.mapInArrow(terms, "doc_id long, toxic long, term binary, n long"), "terms").toArrow()  # of the bounded sample
-    examples: dict[int, tuple[int, int, dict[int, int]]] = {}
     term = rows.column("term").combine_chunks().dictionary_encode()
     vocab = term.dictionary.to_pylist()
-    for doc, toxic, t, c in zip(*[x.to_numpy(zero_copy_only=False).tolist() for x in (rows.column("doc_id"), rows.column("toxic"), term.indices.fill_null(-1), rows.column("n"))]):
-        e = examples.setdefault(doc, (doc, toxic, {}))
-        if t >= 0:
-            e[2][t] = c
-    del rows, term
-    n1 = sum(e[1] for e in examples.values())
+    term = term.indices.fill_null(-1).to_numpy().astype(np.int32)
+    doc, toxic, n = (rows.column(c).to_numpy() for c in ("doc_id", "toxic", "n"))
+    del rows
+    order = np.lexsort((term, doc))
+    doc, toxic, term, n = doc[order], toxic[order], term[order], n[order].astype(np.int32)
+    # rows of one id are one example; its rows of a term are added up, the one without a term is left out
+    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])))) if len(doc) else np.empty(0, np.int64)
+    doc, toxic, term, n = doc[new], toxic[new], term[new], np.add.reduceat(n, new) if len(new) else n
+    first = np.flatnonzero(term < 0)
+    examples = [(int(doc[a]), int(toxic[a]), (term[a + 1 : b], n[a + 1 : b])) for a, b in zip(first, np.append(first[1:], len(doc)))]
+    n1 = sum(e[1] for e in examples)
     n0 = len(examples) - n1
-    by = np.zeros((2, len(vocab)))
-    for _, toxic, counts in examples.values():
-        by[toxic, list(counts)] += 1
+    by = np.stack([np.bincount(term[(term >= 0) & (toxic == c)], minlength=len(vocab)) for c in (0, 1)])
     # how well each term tells the classes apart; a half is added to each count
     c, a, n = by[0] + 0.5, by[1] + 0.5, n0 + n1 + 2.0
     chi = n * (a * (n0 + 1 - c) - c * (n1 + 1 - a)) ** 2 / ((n1 + 1) * (n0 + 1) * (a + c) * (n - a - c))
     ones = sum(v for k, v in totals.items() if k > 0)
     rest = sum(v for k, v in totals.items() if k <= 0)
-    return Index(vocab, sorted(examples.values(), key=lambda e: e[0]), {1: ones / max(1, n1), 0: rest / max(1, n0)}, np.sqrt(chi) + 1e-3)
+    return Index(vocab, examples, {1: ones / max(1, n1), 0: rest / max(1, n0)}, np.sqrt(chi) + 1e-3)
 
 
 def score_toxicity(docs: DataFrame, index: Index) -> DataFrame:

@@ -361,12 +361,18 @@ def test_index_is_exact():
     rng = random.Random(3)
     examples = [(i, rng.randrange(2), dict(collections.Counter(rng.choices(range(30), k=rng.randrange(0, 9))))) for i in range(400)]
     index = toxicity.Index([f"t{i}".encode() for i in range(30)], examples, {0: 1.0, 1: 1.0})
-    full = index.matrix
-    for _ in range(60):
-        q = dict(collections.Counter(rng.choices(range(30), k=rng.randrange(1, 6))))
-        s = index.vector(q) @ full
-        _, near = index.nearest(q)
-        assert np.allclose(np.sort(near)[::-1], np.sort(s[s > 0])[::-1][: len(near)]) and len(near) == min(toxicity.NEAREST, (s > 0).sum())
+    common = [(i, y, dict(collections.Counter(rng.choices(range(30), weights=[60 // (j + 1) + 1 for j in range(30)], k=9)))) for i, y, _ in examples]
+    skewed = toxicity.Index([f"t{i}".encode() for i in range(30)], common, {0: 1.0, 1: 1.0})
+    assert len(index.most) == 0 and 0 < len(skewed.most) < 30  # short lists only, then lists of both kinds
+    for index in (index, skewed):
+        full = index.matrix
+        for _ in range(60):
+            q = dict(collections.Counter(rng.choices(range(30), k=rng.randrange(1, 6))))
+            s = (index.vector(q) @ full)[: len(index.ids)]
+            place, near = index.nearest(q)
+            hit = np.flatnonzero(s)
+            best = hit[np.lexsort((hit, -np.round(s[hit], 12)))][: toxicity.NEAREST]
+            assert list(place) == list(best) and np.allclose(near, s[best])
 
 
 def test_toxicity_on_planted_words(spark):
