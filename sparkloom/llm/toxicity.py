@@ -8,6 +8,7 @@ first, then those that can still enter the nearest.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from .shared import crc_mod, written
 
 #: Labelled rows of each class that the index holds at most, and their most characters.
 EXAMPLES, EXAMPLE_CHARS = 4000, 20_000
-NEAREST, BLOCK, LONG = 25, 64, 4
+NEAREST, BLOCK, LONG = 25, 64, 2
 #: Examples that the order of the places gathers the others around.
 LEADERS = 32
 
@@ -146,7 +147,8 @@ class Index:
         places = np.concatenate([self.place[a:b] for a, b in ends]) if ends else np.empty(0, np.int64)
         blocks = self.most.shape[1]
         # what short lists give to each place, as blocks; long lists add at most what their maxima do
-        part = np.bincount(places, value * np.repeat(q, self.first[t + 1] - self.first[t]), blocks * BLOCK).reshape(blocks, BLOCK)
+        value *= np.repeat(q, self.first[t + 1] - self.first[t])
+        part = np.bincount(places, value, blocks * BLOCK).reshape(blocks, BLOCK)
         bound = part.max(1, initial=0.0) + long_q @ self.most[row]
         order = np.argsort(-bound, kind="stable")
         starts, sizes = self.block_at[row, :-1], np.diff(self.block_at[row], axis=1)
@@ -182,10 +184,7 @@ class Index:
         return raw, self.ids[place[:3]]
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        counts = Counter(self.terms[w] for w in words_of(text) if w in self.terms)
-        return self.score_counts(counts)
-
-    def score_counts(self, counts: dict[int, int]) -> tuple[float, list[int]]:
+        counts = {self.terms[w]: n for w, n in Counter(words_of(text)).items() if w in self.terms}
         if not counts:
             return self.bare, []
         p, ids = self.vote(counts)
@@ -265,12 +264,12 @@ def score_toxicity(docs: DataFrame, index: Index) -> DataFrame:
         for batch in batches:
             found = []
             for text in batch.column(at):
-                counts = Counter(w for w in words_of(text.as_py()) if w in index.terms)
-                key = frozenset(counts.items())
+                text = text.as_py()
+                key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()  # copies are scored once
                 if key not in known:
                     if len(known) > 50_000:
                         known.clear()
-                    known[key] = index.score_counts({index.terms[w]: n for w, n in counts.items()})
+                    known[key] = index.score(text)
                 found.append(known[key])
             scores = [s for s, _ in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=[*names, "score", "predicted", "evidence"])
