@@ -38,10 +38,10 @@ class Analysis:
     peak_examples: int = 8
     top_examples: int = 20
     context_window: int = 20
-    inspect_features: int = 30
     inspect_pairs: int = 30
     pca_components: int = 20
     coverage_tops: tuple[int, ...] = (1, 5, 20)
+    residual_stride: int = 8
     alignment_k: tuple[int, ...] = (5, 10, 20)
     max_seq_len: int = 256
     boundary_margin: int = 16
@@ -52,5 +52,7 @@ class RunConfig:
     rows: RowFilter = field(default_factory=RowFilter)
     features: FeatureFilter = field(default_factory=FeatureFilter)
     analysis: Analysis = field(default_factory=Analysis)
+    #: Weights (width, features), bias and threshold of the dictionary that encodes token_vectors, of the model's fixed size.
+    encoder: tuple | None = None
     #: Constant columns of every card.
     run_info: tuple[tuple[str, object], ...] = (("run_name", "run"), ("corpus", ""), ("activation_mode", "topk"), ("top_k", 64), ("model_name", ""), ("sae_release", ""), ("sae_id", ""), ("layer", 0), ("hook_name", ""), ("site", ""), ("width", ""), ("l0", ""))

@@ -49,3 +49,17 @@ def pair_lookup(pairs: DataFrame, i: int, j: int) -> DataFrame:
     """The row of (i, j), or else of (j, i)."""
     hit = ((F.col("feature_i") == i) & (F.col("feature_j") == j)) | ((F.col("feature_i") == j) & (F.col("feature_j") == i))
     return pairs.where(hit).orderBy((F.col("feature_i") != i).cast("int")).limit(1)
+
+
+def pair_report(pairs: DataFrame, examples: DataFrame, i: int, j: int, n: int = 10, geometry: DataFrame | None = None) -> DataFrame:
+    """All that is known of a pair: its row of ``geometry`` (section geometry), its co-activation row (section
+    coactivation), and the first ``n`` examples by rank of each feature (sections feature_i and feature_j), with
+    the columns of each; what a section lacks is null."""
+    parts = [] if geometry is None else [pair_lookup(geometry, i, j).select(F.lit("geometry").alias("section"), "*")]
+    parts.append(pair_lookup(pairs, i, j).select(F.lit("coactivation").alias("section"), "*"))
+    for name, f in (("feature_i", i), ("feature_j", j)):
+        parts.append(examples.where((F.col("feature_id") == f) & (F.col("rank") <= n)).select(F.lit(name).alias("section"), "*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out

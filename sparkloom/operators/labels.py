@@ -36,9 +36,10 @@ def assign_feature_labels(cards: DataFrame) -> DataFrame:
     """Sets inspection_labels (sorted, comma-joined), primary_label and manual_priority. Thresholds are
     quantiles over all cards: one aggregated row, joined to each. Labels of older runs that only the
     inspection sets are dropped, manual_review is set anew by its strict rule; a priority is filled only
-    where it is missing, then artifacts become low and manual_review medium."""
-    for name in ("artifact_score", "token_frequency", "p99_activation", "n_token_activations", "bimodality_score", "max_decoder_cosine", "max_coactivation_jaccard", "semantic_score"):
-        cards = ensure_column(cards, name, F.lit(None).cast("double"))
+    where it is missing, then artifacts become low and manual_review medium. No other column is added."""
+    given = cards.columns
+    absent = [c for c in ("artifact_score", "token_frequency", "p99_activation", "n_token_activations", "bimodality_score", "max_decoder_cosine", "max_coactivation_jaccard", "semantic_score") if c not in given]
+    cards = cards.withColumns({c: F.lit(None).cast("double") for c in absent}) if absent else cards
     cards = ensure_column(ensure_column(cards, "inspection_labels", F.lit("")), "manual_priority", F.lit(None).cast("string"))
     is_array = dict(cards.dtypes)["inspection_labels"].startswith("array")
     num = lambda c: safe_numeric(F.col(c))
@@ -62,4 +63,4 @@ def assign_feature_labels(cards: DataFrame) -> DataFrame:
     first, blank = F.col("primary_label"), missing_or_empty(F.col("manual_priority"))
     fill = F.when(blank & F.col("_artifact"), "low").when(blank & first.isin(*HIGH), "high").when(blank & first.isin(*MEDIUM), "medium").when(blank & (first == "unlabeled"), "unreviewed").otherwise(F.col("manual_priority"))
     priority = F.when(F.col("_artifact"), "low").when(first == "manual_review", "medium").otherwise(F.coalesce(fill, F.lit("unreviewed")))
-    return c.withColumns({"manual_priority": priority, "inspection_labels": F.array_join("_labels", ",")}).drop("_labels", "_artifact", "_freq", "_rare", "_p99", "_bim", "_cos", "_jac")
+    return c.withColumns({"manual_priority": priority, "inspection_labels": F.array_join("_labels", ",")}).drop("_labels", "_artifact", "_freq", "_rare", "_p99", "_bim", "_cos", "_jac", *absent)

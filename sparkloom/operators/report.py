@@ -40,14 +40,17 @@ def variance_bars(summary: DataFrame) -> DataFrame:
 
 
 def preview(df: DataFrame, cols: list[str], n: int = 20, width: int = 120) -> DataFrame:
-    """The columns of ``cols`` that exist, n rows, as text: 4 significant digits, cells of at most ``width``."""
+    """The columns of ``cols`` that exist, n rows, as cells of a Markdown table: 4 significant digits without trailing
+    zeros, nothing for a missing value, line ends as spaces, bars escaped, more than ``width`` characters cut and dotted."""
     kinds = dict(df.dtypes)
 
     def cell(c):
         if kinds[c] in ("double", "float"):
             v = F.col(c).cast("double")
-            return F.when(v.isNotNull() & ~F.isnan(v), F.format_string("%.4g", v))
-        return F.substring(F.col(c).cast("string"), 1, width)
+            digits = F.regexp_replace(F.regexp_replace(F.format_string("%.4g", v), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+            return F.when(v.isNotNull() & ~F.isnan(v), digits).otherwise("")
+        t = F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|"))
+        return F.when(F.length(t) > width, F.concat(F.substring(t, 1, width - 3), F.lit("..."))).otherwise(t)
 
     return df.select(*[cell(c).alias(c) for c in cols if c in kinds]).limit(n)
 

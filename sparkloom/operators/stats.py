@@ -44,24 +44,26 @@ def top_rows(acts: DataFrame, n: int, *order) -> DataFrame:
     return acts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def token_lists(meta: DataFrame, rows: DataFrame) -> DataFrame:
-    """(text_id, tokens) with tokens sorted by position, of the texts in ``rows`` only."""
-    some = meta.join(rows.select("text_id").distinct(), "text_id", "left_semi")
-    return some.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("token_pos", "token_str"))).alias("tokens"))
+def _around(rows: DataFrame, tokens: DataFrame, window: int) -> DataFrame:
+    """(text_id, token_pos, _left, _center, _right) of the places in ``rows``: the tokens (text_id, _i, token_str) up to
+    ``window`` before, at and after. Each place asks for its own few tokens, so no list of a whole text is built or copied."""
+    places = rows.select(*KEY).distinct()
+    asked = places.select(*KEY, F.explode(F.sequence(F.lit(-window), F.lit(window))).alias("_d")).withColumn("_i", F.col("token_pos") + F.col("_d")).where("_i >= 0")
+    near = asked.join(tokens, ["text_id", "_i"]).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("_d", "token_str"))).alias("_near"))
+    words = lambda test: F.transform(F.filter("_near", test), lambda t: t["token_str"])
+    return near.select(
+        *KEY, F.array_join(words(lambda t: t["_d"] < 0), "").alias("_left"), F.get(words(lambda t: t["_d"] == 0), F.lit(0)).alias("_center"), F.array_join(words(lambda t: t["_d"] > 0), "").alias("_right"))
 
 
 def with_context(rows: DataFrame, meta: DataFrame, window: int) -> DataFrame:
-    """Adds left_context, center_token and right_context by the token's place in its text's list. A
+    """Adds left_context, center_token and right_context by the token's place among its text's tokens in their order. A
     row of an unknown text keeps its own token and empty context."""
-    j = rows.join(token_lists(meta, rows), "text_id", "left")
-    words = F.transform("tokens", lambda t: t["token_str"])
-    pos = F.col("token_pos").cast("int")
-    start = F.greatest(F.lit(0), pos - window)
+    some = meta.join(rows.select("text_id").distinct(), "text_id", "left_semi")
+    placed = some.select("text_id", (F.row_number().over(Window.partitionBy("text_id").orderBy("token_pos", "token_str")) - 1).cast("long").alias("_i"), "token_str")
+    j = rows.join(_around(rows, placed, window), list(KEY), "left")
     return j.withColumns({
-        "left_context": F.coalesce(F.array_join(F.slice(words, start + 1, F.greatest(F.lit(0), pos - start)), ""), F.lit("")),
-        "center_token": F.coalesce(F.get(words, pos), F.col("token_str")),
-        "right_context": F.coalesce(F.array_join(F.slice(words, pos + 2, F.lit(window)), ""), F.lit("")),
-    }).drop("tokens")
+        "left_context": F.coalesce("_left", F.lit("")), "center_token": F.coalesce("_center", "token_str"), "right_context": F.coalesce("_right", F.lit("")),
+    }).drop("_left", "_center", "_right")
 
 
 EXAMPLE_COLUMNS = ("feature_id", "rank", "activation", "text_id", "source", "token_pos", "token_str", "left_context", "center_token", "right_context")
@@ -69,20 +71,16 @@ EXAMPLE_COLUMNS = ("feature_id", "rank", "activation", "text_id", "source", "tok
 
 def top_examples(acts: DataFrame, meta: DataFrame, top_n: int = 20, window: int = 20) -> DataFrame:
     """The ``top_n`` strongest rows of each feature with ``window`` tokens of context on either side.
-    Token lists are built only for texts that have an example."""
+    Only tokens near an example move."""
     return with_context(top_rows(acts, top_n), meta, window).select(*EXAMPLE_COLUMNS)
 
 
 def context_by_position(rows: DataFrame, meta: DataFrame, window: int = 20) -> DataFrame:
     """Context by the value of token_pos; rows of unknown texts go, a missing centre is empty."""
-    j = rows.join(token_lists(meta, rows), "text_id")
-    pos = F.col("token_pos")
-    said = lambda test: F.array_join(F.transform(F.filter("tokens", test), lambda t: t["token_str"]), "")
-    return j.withColumns({
-        "left_context": said(lambda t: (t["token_pos"] >= pos - window) & (t["token_pos"] < pos)),
-        "center_token": F.coalesce(F.get(F.transform(F.filter("tokens", lambda t: t["token_pos"] == pos), lambda t: t["token_str"]), F.lit(0)), F.lit("")),
-        "right_context": said(lambda t: (t["token_pos"] > pos) & (t["token_pos"] <= pos + window)),
-    }).drop("tokens")
+    texts = meta.select("text_id").distinct()
+    tokens = meta.select("text_id", F.col("token_pos").alias("_i"), "token_str")
+    j = rows.join(texts, "text_id", "left_semi").join(_around(rows, tokens, window), list(KEY), "left")
+    return j.withColumns({"left_context": F.coalesce("_left", F.lit("")), "center_token": F.coalesce("_center", F.lit("")), "right_context": F.coalesce("_right", F.lit(""))}).drop("_left", "_center", "_right")
 
 
 def summarize_text_sources(texts: DataFrame) -> DataFrame:

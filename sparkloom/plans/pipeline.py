@@ -23,18 +23,33 @@ def filtered_acts(run: Run, cfg: RunConfig, anew: bool = False) -> DataFrame:
 
 
 def step_collect(run: Run, cfg: RunConfig) -> None:
-    """Tokens of texts, and activations of dense_activations (encoded vectors of tokens), where the run has these."""
+    """Tokens of texts; from token_vectors, through cfg.encoder, activations, the count of positive ones of each token, and
+    every so-manieth vector as residual_vectors; or activations from dense_activations (vectors encoded before).
+    Each where the run has what it takes. Texts with a number that is not finite go whole."""
+    info = dict(cfg.run_info)
+    mode = info.get("activation_mode", "topk")
+    if mode not in ("topk", "positive"):
+        raise ValueError(f"activation_mode is topk or positive, not {mode}")
+    topk, k = mode == "topk", int(info.get("top_k", 64))
     if run.has("texts"):
         run.write("token_metadata", ingest.explode_tokens(run.texts(), max_seq_len=cfg.analysis.max_seq_len))
     if run.has("dense_activations"):
         dense = ingest.drop_nonfinite_texts(run.table("dense_activations"))
-        info = dict(cfg.run_info)
-        mode = info.get("activation_mode", "topk")
-        if mode not in ("topk", "positive"):
-            raise ValueError(f"activation_mode is topk or positive, not {mode}")
-        topk = mode == "topk"
-        run.write(f"sae_activations_{'topk' if topk else 'positive'}", ingest.sparsify_topk(dense, int(info.get("top_k", 64))) if topk else ingest.sparsify_positive(dense))
+        run.write(f"sae_activations_{'topk' if topk else 'positive'}", ingest.sparsify_topk(dense, k) if topk else ingest.sparsify_positive(dense))
         run.write("token_activation_summary", ingest.token_activation_summary(dense))
+    if run.has("token_vectors"):
+        vectors = ingest.drop_nonfinite_texts(run.table("token_vectors"))
+        run.write("residual_vectors", ingest.sample_vectors(vectors, cfg.analysis.residual_stride))
+        if cfg.encoder is not None:
+            positive = ingest.encode_vectors(vectors, *cfg.encoder)
+            if topk:  # encoded once: all positive scores are a table of their own, which the counts need too
+                positive = run.write("encoded_vectors", positive)
+                run.write("sae_activations_topk", ingest.sparsify_topk_rows(positive, k))
+            else:
+                positive = run.write("sae_activations_positive", positive)
+            counts = positive.groupBy("text_id", "token_pos").agg(F.count("*").alias("n_positive_features"))
+            tokens = vectors.select("text_id", "source", "token_pos", "token_str").join(counts, ["text_id", "token_pos"], "left")
+            run.write("token_activation_summary", tokens.select("text_id", "source", "token_pos", "token_str", F.coalesce("n_positive_features", F.lit(0)).cast("long").alias("n_positive_features")))
 
 
 def step_features(run: Run, cfg: RunConfig) -> None:
@@ -97,9 +112,26 @@ def step_cards(run: Run, cfg: RunConfig) -> None:
     run.write("feature_cards", cards.enrich_feature_cards(base, have("inspection_feature_summaries"), have("bimodal_feature_candidates"), have("bimodal_peak_examples"), have("decoder_neighbors"), have("coactivation_pairs"), have("decoder_feature_pca"), have("projection"), have("feature_coverage_profiles"), have("feature_graph_alignment")))
 
 
+#: The tables with a preview in the report, and the columns that order it.
+PREVIEWS = {
+    "feature_cards": ("manual_priority", "artifact_score"), "feature_stats": ("n_token_activations", "p99_activation"), "bimodal_feature_candidates": ("bimodality_score",),
+    "geometry_vs_coactivation": ("decoder_cosine", "jaccard"), "inspection_feature_summaries": ("manual_priority", "artifact_score"), "inspection_pair_summaries": ("pair_artifact_score",),
+    "feature_coverage_profiles": ("pc_norm_mass_top_20", "effective_pc_dim"), "feature_graph_alignment": ("gca_at_10",),
+}
+
+
 def step_report(run: Run, cfg: RunConfig) -> None:
-    """Histograms, counts and ranked lists of the cards."""
+    """Histograms, counts and ranked lists of the cards, previews of the tables, and the variances of components."""
     c = run.feature_cards()
+    for name, keys in PREVIEWS.items():
+        if run.has(name):
+            t = run.table(name)
+            run.write(f"report_table_{name}", report.table_preview(t, [k for k in (*keys, "feature_id", "feature_i", "feature_j") if k in t.columns]))
+    for name in ("residual", "decoder"):
+        if run.has(f"{name}_pca_summary"):
+            run.write(f"report_variance_{name}", report.variance_bars(run.table(f"{name}_pca_summary")))
+    if run.has("token_activation_summary"):
+        run.write("report_histogram_n_positive_features", report.histogram(run.token_activation_summary(), "n_positive_features"))
     for col in ("token_frequency", "p99_activation", "bimodality_score", "artifact_score", "effective_pc_dim", "pc_norm_mass_top_20", "gca_at_10"):
         if col in c.columns:
             run.write(f"report_histogram_{col}", report.histogram(c, col))
@@ -117,10 +149,19 @@ STEPS = {name: globals()["step_" + name.replace("-", "_")] for name in RESEARCH}
 
 
 def run_pipeline(run: Run, steps: str | tuple[str, ...] = "atlas", cfg: RunConfig = RunConfig()) -> Run:
-    """Runs a preset, or the given steps in their order. The run's folder must hold token_metadata, activations and,
-    for the geometric steps, directions and residual_vectors."""
+    """Runs a preset, or the given steps in their order. The run's folder must hold token_metadata and activations, or
+    what the collect step makes them of, and, for the geometric steps, directions and residual_vectors. The
+    rows and features of every table that a step wrote go to the run's table metrics."""
+    metrics = None
     for name in PRESETS.get(steps, ()) if isinstance(steps, str) else steps:
         if name not in STEPS:
             raise ValueError(f"no step {name}; there are {', '.join(STEPS)}")
+        run.written.clear()
         STEPS[name](run, cfg)
+        if run.written:
+            one = stats.step_metrics(**{t: run.table(t) for t in run.written}).select(F.lit(name).alias("step"), "*")
+            one = run.spark.createDataFrame(one.collect(), one.schema)  # a row for each table, before later steps replace it
+            metrics = one if metrics is None else metrics.unionByName(one)
+    if metrics is not None:
+        run.write("metrics", metrics)
     return run

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import RowFilter
 from ..functions.numeric import has_nonfinite
 from ..functions.text import attach_token_quality, clean_text
 from ..operators import alignment, cards, cooccurrence, coverage, filters, geometry, ingest, inspection, labels, mixture, report, stats
@@ -67,6 +70,13 @@ def feature_stats(s, d):
     return rounded(_stats(s, d))
 
 
+def row_filter_options(s, d):
+    """The row predicates that are off by default, without the quality columns."""
+    rows = RowFilter(include_sources=tuple(f"src{i}" for i in range(12)), exclude_sources=("src3", "src5"), exclude_token_positions_ge=200, min_activation=2.0, keep_token_quality_columns=False)
+    got = filters.apply_row_filters(A.document_activations(s, d), rows)
+    return got.groupBy("source", F.lit(",".join(got.columns)).alias("columns")).agg(F.count("*").alias("n"), F.max("token_pos").alias("last"), F.min("activation").alias("least"))
+
+
 def feature_filter(s, d):
     return _kept(s, d).select("feature_id", "n_token_activations", "n_texts")
 
@@ -197,7 +207,7 @@ def alignment_summary(s, d):
 
 
 def feature_inspection(s, d):
-    return rounded(inspection.feature_summaries_frame(inspection.summarize_features(_facts(s, d, A.LOOSE)[1])).drop("top_tokens_json", "top_positions_json", "top_sources_json"))
+    return rounded(inspection.feature_summaries_frame(inspection.summarize_features(_facts(s, d, A.LOOSE)[1])))
 
 
 def inspection_report(s, d):
@@ -207,10 +217,14 @@ def inspection_report(s, d):
     return inspection.inspection_payload(inspection.summarize_features(acts, examples=top))
 
 
+def _pair_summaries(acts, features):
+    pairs = artifacts.stored(cooccurrence.same_token_pairs(acts, acts.select("feature_id"), max_pairs=None), "pairs")
+    return inspection.pair_summaries_frame(inspection.summarize_pairs(acts, pairs, features))
+
+
 def pair_inspection(s, d):
     _, acts = _facts(s, d, A.LOOSE)
-    pairs = artifacts.stored(cooccurrence.same_token_pairs(acts, acts.select("feature_id"), max_pairs=None), "pairs")
-    return rounded(inspection.pair_summaries_frame(inspection.summarize_pairs(acts, pairs, inspection.summarize_features(acts))).drop("shared_top_tokens_json"))
+    return rounded(_pair_summaries(acts, inspection.summarize_features(acts)))
 
 
 def activation_bands(s, d):
@@ -237,6 +251,26 @@ def feature_cards(s, d):
     return rounded(got.select("feature_id", "primary_label", "manual_priority", "inspection_labels", "artifact_score", "semantic_score", "n_token_activations", "n_texts", "token_frequency", "p99_activation", "max_decoder_cosine", "max_coactivation_jaccard", "max_coactivation_pmi", "gca_at_5", "gca_at_10", "gca_at_20", "graph_alignment_bucket"))
 
 
+def card_examples(s, d):
+    """The examples that cards hold as JSON, read back."""
+    t, acts = _facts(s, d)
+    kept = filters.apply_feature_filters(stats.feature_stats(acts, t, check=False))
+    got = cards.basic_feature_cards(kept, stats.top_examples(acts, t), (("run_name", "documents"),))
+    rows = F.from_json("top_examples_json", "array<struct<rank:int,activation:double,source:string,text_id:bigint,token_pos:bigint,left_context:string,center_token:string,right_context:string>>")
+    return got.select("feature_id", "run_name", F.posexplode(rows).alias("nth", "e")).select("feature_id", "run_name", "nth", "e.*")
+
+
+def card_lists(s, d):
+    """The neighbour lists that cards hold as JSON, read back."""
+    kept, pairs, neighbors, _ = _evidence(s, d)
+    got = cards.enrich_feature_cards(kept, neighbors=neighbors, pairs=pairs)
+    near = F.from_json("top_decoder_neighbors_json", "array<struct<feature_j:bigint,decoder_cosine:double>>")
+    met = F.from_json("top_coactivation_neighbors_json", "array<struct<neighbor_feature_id:bigint,jaccard:double,pmi:double,coactivation_count:bigint>>")
+    one = got.select("feature_id", F.lit("decoder").alias("kind"), F.posexplode(near).alias("nth", "e")).select("feature_id", "kind", "nth", F.col("e.feature_j").alias("other"), F.col("e.decoder_cosine").alias("score"))
+    two = got.select("feature_id", F.lit("coactivation").alias("kind"), F.posexplode(met).alias("nth", "e")).select("feature_id", "kind", "nth", F.col("e.neighbor_feature_id").alias("other"), F.col("e.jaccard").alias("score"))
+    return rounded(one.unionByName(two))
+
+
 def feature_cards_full(s, d):
     """Cards with all evidence, lists as JSON, from the embedding activations."""
     acts = A.embedding_topk(s, d)
@@ -254,6 +288,13 @@ def feature_cards_full(s, d):
         coverage.decoder_pca(filters.semi_filter(A.directions(s, d), kept))[1], None, coverage.coverage_profiles(A.directions(s, d), A.directions(s, d), ids=kept), alignment.graph_alignment(neighbors, pairs, kept))
 
 
+def pair_report(s, d):
+    t, acts = _facts(s, d)
+    pairs = _pairs(s, d)
+    got = cooccurrence.pair_report(pairs, stats.top_examples(acts, t), 7, 20, 10, geometry.geometry_vs_coactivation(_neighbors(s, d), pairs))
+    return rounded(got.select("section", "feature_i", "feature_j", F.col("coactivation_count").cast("long").alias("coactivation_count"), "jaccard", "pmi", "feature_id", "rank", "activation", "text_id", "token_pos", "left_context", "center_token", "right_context"))
+
+
 def projection_metadata(s, d):
     t, acts = _facts(s, d, A.LOOSE)
     st = stats.feature_stats(acts, t, check=False)
@@ -267,6 +308,12 @@ def bimodality(s, d):
     return mixture.bimodality_candidates(A.embedding_positive(s, d))
 
 
+def single_component(s, d):
+    """What of the mixtures a sum over rows gives: the criterion of one component, and the spread of activations."""
+    got = mixture.bimodality_candidates(A.embedding_positive(s, d))
+    return rounded(got.select("feature_id", "n_points", "bic_1", "activation_min", "activation_p50", "activation_p95", "activation_max"), 4)
+
+
 def peak_examples(s, d):
     acts = A.embedding_positive(s, d)
     return mixture.peak_examples(acts, A.embedding_vectors(s, d), mixture.bimodality_candidates(acts))
@@ -284,6 +331,13 @@ def coverage_profiles(s, d):
     return coverage.coverage_profiles(A.directions(s, d), A.directions(s, d))
 
 
+def axis_profiles(s, d):
+    """Coverage of the embeddings by their first 20 axes."""
+    import numpy as np
+
+    return rounded(coverage.profiles_on(A.directions(s, d), np.eye(64)[:20], np.full(20, 1 / 64)))
+
+
 # --- reports and sources -----------------------------------------------------------------
 
 
@@ -313,6 +367,21 @@ def ranked_artifacts(s, d):
     return rounded(report.ranked(f, "artifact_score", 20, "feature_id").select("feature_id", "artifact_score", "inspection_labels"))
 
 
+def report_sets(s, d):
+    """The ranked sets of the report; semantic scores stand in for those of bimodality."""
+    _, acts = _facts(s, d, A.LOOSE)
+    look = inspection.summarize_features(acts)
+    f = artifacts.stored(inspection.feature_summaries_frame(look), "looks")
+    sets = report.ranked_report_sets(f, _pair_summaries(acts, look), f.select("feature_id", F.col("semantic_score").alias("bimodality_score")))
+    score = {"artifacts": "artifact_score", "manual_review": "semantic_score", "pairs": "pair_suspicion_score", "bimodal": "bimodality_score"}
+    out = None
+    for name, df in sets.items():
+        ids = ("feature_i", "feature_j") if name == "pairs" else ("feature_id", "feature_id")
+        one = df.select(F.lit(name).alias("set"), F.col(ids[0]).alias("feature_i"), F.col(ids[1]).alias("feature_j"), F.col(score[name]).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
 def clean_texts(s, d):
     t = clean_text(F.col("text"))
     return A.read(s, d, "documents").select("doc_id", F.length(t).alias("n"), F.md5(t).alias("digest"))
@@ -328,6 +397,25 @@ def mixed_corpus(s, d):
     return corpus.mix_corpora(slices, 400, part("en", 300), "doc_id", (4, 5)).select("slice", F.col("nth").cast("long").alias("nth"), "doc_id", "source", F.md5("text").alias("digest"))
 
 
+def preset_mix(s, d):
+    """A preset whose second slice can't be opened: the fallback takes its quota."""
+    docs = A.read(s, d, "documents")
+
+    def part(lang):
+        return lambda: corpus.read_text_table(docs.where(F.col("lang") == lang), f"mix-{lang}", min_chars=300, order_by="doc_id", max_items=1000)
+
+    loaders = [part("fr"), lambda: corpus.read_text_table(A.read(s, d, "no_such_table"), "none"), part("de"), part("es"), part("fr")]
+    return corpus.mix_preset("large", loaders, part("en")(), 400, "doc_id").select("slice", F.col("nth").cast("long").alias("nth"), "doc_id", "source", F.md5("text").alias("digest"))
+
+
+def jsonl_round_trip(s, d):
+    """Texts written as JSON lines and read back."""
+    docs = A.read(s, d, "documents").select(F.col("doc_id").alias("text_id"), "source", clean_text(F.col("text")).alias("text"))
+    path = f"{artifacts.shared_dir(s)}/texts-{uuid.uuid4().hex}"
+    corpus.write_texts(docs, path)
+    return corpus.read_jsonl_corpus(s, f"{path}/texts").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min(F.md5("text")).alias("first_digest"))
+
+
 def text_dataset(s, d):
     docs = A.read(s, d, "documents").select("doc_id", "source", clean_text(F.col("text")).alias("text"))
     return corpus.build_text_dataset(docs, None, "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.min("text_id").alias("first_id"))
@@ -336,14 +424,14 @@ def text_dataset(s, d):
 def profile(s, d):
     names = ("documents", "embeddings", "labels", "pages")
     p = artifacts.profile_artifacts({n: A.read(s, d, n) for n in names} | {"absent": None})
-    return p.select("artifact", "present", "n_rows", F.col("n_columns").cast("long").alias("n_columns"))
+    return p.select("artifact", "present", "n_rows", F.col("n_columns").cast("long").alias("n_columns"), F.to_json("n_nulls").alias("n_nulls"))
 
 
 QUERIES = {f.__name__: f for f in (
-    token_quality_labels, row_filter, feature_stats, feature_filter, semi_and_missing, feature_lookup, text_sources, token_sources, top_examples, position_context, describe_activation, step_metrics,
+    token_quality_labels, row_filter, row_filter_options, feature_stats, feature_filter, semi_and_missing, feature_lookup, text_sources, token_sources, top_examples, position_context, describe_activation, step_metrics,
     sparsify_topk, sparsify_topk_rows, sparsify_positive, token_summary, stride_sample, finite_texts, encoded_vectors, collect_metrics,
     coactivation, coactivation_basket, undirected_edges, pair_lookup, decoder_neighbors, geometry_vs_coactivation, graph_alignment, alignment_summary,
-    feature_inspection, inspection_report, pair_inspection, activation_bands, feature_labels, feature_cards, feature_cards_full, projection_metadata,
-    bimodality, peak_examples, pca_summary, decoder_pca, coverage_profiles,
-    histogram, value_counts, table_preview, preview, scatter_points, ranked_artifacts, clean_texts, mixed_corpus, text_dataset, profile,
+    feature_inspection, inspection_report, pair_inspection, pair_report, activation_bands, feature_labels, feature_cards, feature_cards_full, card_examples, card_lists, projection_metadata,
+    bimodality, single_component, peak_examples, pca_summary, decoder_pca, coverage_profiles, axis_profiles,
+    histogram, value_counts, table_preview, preview, scatter_points, ranked_artifacts, report_sets, clean_texts, mixed_corpus, preset_mix, jsonl_round_trip, text_dataset, profile,
 )}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from ..operators import mixture
 from . import adapters as A
 from .adapters import ACTS_SQL, EMB_SQL, FILTERED_SQL, LOOSE_SQL, NEIGHBORS_SQL, TOKENS_SQL, pairs_sql, stats_sql
 
 STATS = "mean_activation, max_activation, p50_activation, p95_activation, p99_activation, token_frequency, text_frequency"
+PROFILE = "pc_mass_observed, pc_observed_mass, pc_mass_unobserved_tail, pc_unobserved_mass, effective_pc_dim, pc_entropy, pc_center_of_mass, pc_mass_top_1, pc_norm_mass_top_1, pc_mass_top_5, pc_norm_mass_top_5, pc_mass_top_20, pc_norm_mass_top_20"
 PAIRS = "jaccard, pmi, p_j_given_i, p_i_given_j"
 
 
@@ -40,6 +42,24 @@ looks AS (SELECT *, list_filter([CASE WHEN quote_share >= 0.25 THEN 'quote_like'
 INSPECTED = "quote_share, punctuation_share, space_share, boundary_share, token_concentration, source_concentration, raw_source_concentration, position_concentration, artifact_score, semantic_score"
 
 
+def counts_sql(rows: str, by: str, name: str, each: str = "n") -> str:
+    """A CTE with the ten most frequent keys of ``rows`` (by, key, n) as a JSON object; counts are written as ``each``."""
+    return f"""{name} AS (SELECT {by}, '{{' || string_agg(to_json(key::VARCHAR)::VARCHAR || ': ' || {each}, ', ' ORDER BY n DESC, key) || '}}' AS {name}_json
+  FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY n DESC, key) AS r FROM {rows}) WHERE r <= 10 GROUP BY {by})"""
+
+
+def top_sql(col: str, name: str) -> str:
+    return counts_sql(f"(SELECT feature_id, {col} AS key, count(*) AS n FROM filt GROUP BY ALL)", "feature_id", name)
+
+
+TOPS = ", ".join(top_sql(*x) for x in (("token_str", "top_tokens"), ("token_pos", "top_positions"), ("source", "top_sources")))
+
+
+def nulls_sql(name: str, cols: str) -> str:
+    parts = " || ',' || ".join(f"""'"{c}":' || count(*) FILTER ({c} IS NULL)""" for c in cols.split())
+    return f"SELECT '{name}' AS artifact, true AS present, count(*) AS n_rows, {len(cols.split())}::BIGINT AS n_columns, '{{' || {parts} || '}}' AS n_nulls FROM {name}"
+
+
 def labels_sql(table: str) -> str:
     """CTEs that label a table of cards; columns that evidence lacks must be there as 0."""
     return f"""cut AS (SELECT greatest(0.03::DOUBLE, quantile_cont(token_frequency, 0.9)) AS f, quantile_cont(token_frequency, 0.2) FILTER (token_frequency > 0) AS r, quantile_cont(p99_activation, 0.9) AS p,
@@ -66,6 +86,13 @@ _align = ALIGN.replace("ct AS (SELECT f, g", ALL_IDS + ",\nct AS (SELECT f, g",
 _evidence = f"WITH {LOOSE_SQL}, {stats_sql()}"
 _pairs = f"WITH {FILTERED_SQL}, {stats_sql()}, {pairs_sql()}"
 _loose_pairs = f"WITH {LOOSE_SQL}, every AS (SELECT DISTINCT feature_id FROM filt), {pairs_sql(ids='every')}"
+PAIRED = """sh AS (SELECT a.feature_id AS feature_i, b.feature_id AS feature_j, a.text_id, a.token_pos, a.token_str FROM filt a JOIN filt b ON a.text_id = b.text_id AND a.token_pos = b.token_pos AND a.feature_id < b.feature_id),
+sw AS (SELECT feature_i, feature_j, token_str AS key, count(*) AS n FROM sh GROUP BY ALL),
+sc AS (SELECT feature_i, feature_j, sum(n)::BIGINT AS shared, max(n)::DOUBLE / sum(n) AS shared_token_concentration FROM sw GROUP BY 1, 2),
+pr AS (SELECT pairs.*, shared, shared_token_concentration, greatest(i.artifact_score, j.artifact_score) AS pair_artifact_score, greatest(i.artifact_score, j.artifact_score, shared_token_concentration) AS pair_suspicion_score, list_concat(i.labels, j.labels) AS ls
+  FROM pairs JOIN sc USING (feature_i, feature_j) JOIN looks i ON i.feature_id = feature_i JOIN looks j ON j.feature_id = feature_j)"""
+_top = "top AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY feature_id ORDER BY activation DESC, text_id, token_pos))::INT AS rank FROM filt) WHERE rank <= {})"
+_gvc = """g AS (SELECT nb.*, coalesce(jaccard, 0) AS jaccard, coalesce(pmi, 0) AS pmi, coalesce(coactivation_count, 0) AS coactivation_count FROM nb LEFT JOIN pairs USING (feature_i, feature_j))"""
 _basket = """WITH basket AS (SELECT l_orderkey AS text_id, 0 AS token_pos, l_partkey AS feature_id, l_extendedprice AS activation, l_returnflag AS source FROM lineitem),
 tot AS (SELECT count(DISTINCT text_id)::DOUBLE AS n FROM basket),
 kept AS (SELECT feature_id FROM basket, tot GROUP BY 1 HAVING count(*) >= 20 AND count(DISTINCT text_id) >= 10 AND count(*) / any_value(n) <= 0.2), """ + pairs_sql("basket")
@@ -104,14 +131,10 @@ SQL = {
     "geometry_vs_coactivation": f"{_pairs}, {NEIGHBORS_SQL}, g AS (SELECT nb.*, coalesce(jaccard, 0) AS jaccard FROM nb LEFT JOIN pairs USING (feature_i, feature_j)), q AS (SELECT quantile_cont(decoder_cosine, 0.9) AS a, coalesce(quantile_cont(jaccard, 0.9) FILTER (jaccard > 0), 'inf'::DOUBLE) AS b FROM g) SELECT feature_i, feature_j, rank::INT AS rank, round(decoder_cosine, 6) AS decoder_cosine, round(jaccard, 6) AS jaccard, CASE WHEN decoder_cosine >= a THEN 'high' ELSE 'low' END || '_cosine_' || CASE WHEN jaccard > 0 AND jaccard >= b THEN 'high' ELSE 'low' END || '_coactivation' AS quadrant, round(a, 6) AS decoder_cosine_threshold, round(b, 6) AS coactivation_jaccard_threshold FROM g, q",
     "graph_alignment": f"{_pairs}, {NEIGHBORS_SQL}, {_align} SELECT feature_id, n_geometry_neighbors, n_coactivation_neighbors, {r6('gca_at_5, gca_at_10, gca_at_20')}, graph_alignment_bucket FROM aligned",
     "alignment_summary": f"{_pairs}, {NEIGHBORS_SQL}, {_align} SELECT metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.9), 6) AS p90, round(avg((v > 0)::INT), 6) AS nonzero_share, NULL::VARCHAR AS bucket, NULL::BIGINT AS count, NULL::DOUBLE AS share FROM (UNPIVOT (SELECT gca_at_5, gca_at_10, gca_at_20 FROM aligned) ON COLUMNS(*) INTO NAME metric VALUE v) GROUP BY 1 UNION ALL SELECT 'bucket_count', NULL, NULL, NULL, NULL, graph_alignment_bucket, count(*), round(count(*)::DOUBLE / (SELECT count(*) FROM aligned), 6) FROM aligned GROUP BY graph_alignment_bucket",
-    "feature_inspection": f"WITH {LOOSE_SQL}, {INSPECT} SELECT feature_id, n_activations_inspected, source_is_informative, manual_priority, array_to_string(labels, ',') AS inspection_labels, {r6(INSPECTED)} FROM looks",
-    "pair_inspection": f"""{_loose_pairs}, {INSPECT},
-        sh AS (SELECT a.feature_id AS feature_i, b.feature_id AS feature_j, a.text_id, a.token_pos, a.token_str FROM filt a JOIN filt b ON a.text_id = b.text_id AND a.token_pos = b.token_pos AND a.feature_id < b.feature_id),
-        sc AS (SELECT feature_i, feature_j, sum(n)::BIGINT AS shared, max(n) / sum(n) AS shared_token_concentration FROM (SELECT feature_i, feature_j, token_str, count(*)::DOUBLE AS n FROM sh GROUP BY ALL) GROUP BY 1, 2),
-        pr AS (SELECT pairs.*, shared, shared_token_concentration, greatest(i.artifact_score, j.artifact_score) AS pair_artifact_score, greatest(i.artifact_score, j.artifact_score, shared_token_concentration) AS pair_suspicion_score, list_concat(i.labels, j.labels) AS ls
-               FROM pairs JOIN sc USING (feature_i, feature_j) JOIN looks i ON i.feature_id = feature_i JOIN looks j ON j.feature_id = feature_j)
-        SELECT feature_i, feature_j, shared AS shared_activation_count_estimate, coactivation_count, {r6('pair_artifact_score, pair_suspicion_score, shared_token_concentration, jaccard, pmi')}, CASE WHEN pair_suspicion_score >= 0.5 THEN 'low' ELSE 'medium' END AS manual_priority,
-          array_to_string(list_filter([CASE WHEN pair_suspicion_score >= 0.5 THEN 'likely_artifact_pair' END, CASE WHEN list_contains(ls, 'quote_like') THEN 'quote_related_pair' END, CASE WHEN list_contains(ls, 'boundary_heavy') THEN 'boundary_related_pair' END, CASE WHEN pair_suspicion_score < 0.35 AND shared > 0 THEN 'manual_priority_pair' END], lambda z: z IS NOT NULL), ',') AS inspection_labels FROM pr""",
+    "feature_inspection": f"WITH {LOOSE_SQL}, {INSPECT}, {TOPS} SELECT feature_id, n_activations_inspected, source_is_informative, manual_priority, array_to_string(labels, ',') AS inspection_labels, top_tokens_json, top_positions_json, top_sources_json, {r6(INSPECTED)} FROM looks JOIN top_tokens USING (feature_id) JOIN top_positions USING (feature_id) JOIN top_sources USING (feature_id)",
+    "pair_inspection": f"""{_loose_pairs}, {INSPECT}, {PAIRED}, {counts_sql("sw", "feature_i, feature_j", "shared_top_tokens", "(2 * n)")}
+        SELECT feature_i, feature_j, shared AS shared_activation_count_estimate, coactivation_count, shared_top_tokens_json, {r6('pair_artifact_score, pair_suspicion_score, shared_token_concentration, jaccard, pmi')}, CASE WHEN pair_suspicion_score >= 0.5 THEN 'low' ELSE 'medium' END AS manual_priority,
+          array_to_string(list_filter([CASE WHEN pair_suspicion_score >= 0.5 THEN 'likely_artifact_pair' END, CASE WHEN list_contains(ls, 'quote_like') THEN 'quote_related_pair' END, CASE WHEN list_contains(ls, 'boundary_heavy') THEN 'boundary_related_pair' END, CASE WHEN pair_suspicion_score < 0.35 AND shared > 0 THEN 'manual_priority_pair' END], lambda z: z IS NOT NULL), ',') AS inspection_labels FROM pr JOIN shared_top_tokens USING (feature_i, feature_j)""",
     "activation_bands": f"""WITH {ACTS_SQL}, md AS (SELECT feature_id, quantile_cont(activation, 0.5) AS m FROM acts GROUP BY 1),
         bands AS (SELECT acts.*, row_number() OVER (PARTITION BY feature_id ORDER BY activation, text_id, token_pos) AS lo, row_number() OVER (PARTITION BY feature_id ORDER BY activation DESC, text_id, token_pos) AS hi, row_number() OVER (PARTITION BY feature_id ORDER BY round(abs(activation - m), 9), text_id, token_pos) AS mid FROM acts JOIN md USING (feature_id)),
         top AS (SELECT *, 'low' AS band, lo AS rank FROM bands WHERE lo <= 5 UNION ALL SELECT *, 'median', mid FROM bands WHERE mid <= 5 UNION ALL SELECT *, 'high', hi FROM bands WHERE hi <= 5), {context_sql('top', 'tok', 20)}
@@ -136,5 +159,35 @@ SQL = {
         f AS (SELECT 6 AS slice, doc_id, lang, text, 0 AS quota, row_number() OVER (ORDER BY doc_id) AS nth FROM c WHERE lang = 'en' AND length(text) >= 300)
         SELECT slice, nth, doc_id, 'mix-' || lang AS source, md5(text) AS digest FROM (SELECT * FROM m UNION ALL SELECT * FROM f WHERE nth <= 400 - (SELECT count(*) FROM m)) ORDER BY slice, nth LIMIT 400""",
     "text_dataset": "SELECT source, count(*) AS n, min(text_id) AS first_id FROM (SELECT source, row_number() OVER (ORDER BY doc_id) - 1 AS text_id FROM documents UNION ALL SELECT s, (SELECT count(*) FROM documents) + i FROM (VALUES ('manual_code', 0), ('manual_science', 1), ('manual_finance', 2), ('manual_health', 3), ('manual_assistant', 4), ('manual_math', 5), ('manual_security', 6), ('manual_literature', 7)) v(s, i)) GROUP BY 1",
-    "profile": "SELECT 'documents' AS artifact, true AS present, count(*) AS n_rows, 5::BIGINT AS n_columns FROM documents UNION ALL SELECT 'embeddings', true, count(*), 3 FROM embeddings UNION ALL SELECT 'labels', true, count(*), 3 FROM labels UNION ALL SELECT 'pages', true, count(*), 3 FROM pages UNION ALL SELECT 'absent', false, 0, 0",
+    "profile": " UNION ALL ".join([nulls_sql("documents", "doc_id text lang source n_chars"), nulls_sql("embeddings", "vec_id embedding label"), nulls_sql("labels", "doc_id quality toxic"), nulls_sql("pages", "page_id url html"), "SELECT 'absent', false, 0, 0, '{}'"]),
+    "row_filter_options": f"""WITH {FILTERED_SQL} SELECT source, 'text_id,source,token_pos,token_str,feature_id,activation' AS columns, count(*) AS n, max(token_pos) AS last, min(activation) AS least FROM filt
+        WHERE source IN ({", ".join(f"'src{i}'" for i in range(12))}) AND source NOT IN ('src3', 'src5') AND token_pos < 200 AND activation >= 2 GROUP BY source""",
+    "card_examples": f"WITH {FILTERED_SQL}, {stats_sql()}, {_top.format(5)}, {context_sql('top', 'tok', 20)} SELECT feature_id, 'documents' AS run_name, rank - 1 AS nth, rank, activation, source, text_id, token_pos, left_context, center_token, right_context FROM ctx WHERE feature_id IN (SELECT feature_id FROM kept)",
+    "card_lists": f"{_evidence}, {pairs_sql()}, {_nb_kept}, {_align} SELECT feature_i AS feature_id, 'decoder' AS kind, (rank - 1)::INT AS nth, feature_j AS other, round(decoder_cosine, 6) AS score FROM nb WHERE rank <= 10 UNION ALL SELECT f, 'coactivation', (rank - 1)::INT, g, round(jaccard, 6) FROM ct JOIN und USING (f, g) WHERE rank <= 10",
+    "pair_report": f"""{_pairs}, {NEIGHBORS_SQL}, {_gvc}, {_top.format(10)}, {context_sql('top', 'tok', 20)}, none AS (SELECT NULL::BIGINT AS b, NULL::DOUBLE AS d, NULL::VARCHAR AS v, NULL::INT AS i),
+        one AS (SELECT * FROM g WHERE (feature_i, feature_j) IN ((7, 20), (20, 7)) ORDER BY feature_i <> 7 LIMIT 1), two AS (SELECT * FROM pairs WHERE (feature_i, feature_j) IN ((7, 20), (20, 7)))
+        SELECT 'geometry' AS section, feature_i, feature_j, coactivation_count, round(jaccard, 6) AS jaccard, round(pmi, 6) AS pmi, b AS feature_id, rank::INT AS rank, d AS activation, b AS text_id, b AS token_pos, v AS left_context, v AS center_token, v AS right_context FROM one, none
+        UNION ALL SELECT 'coactivation', feature_i, feature_j, coactivation_count, round(jaccard, 6), round(pmi, 6), b, i, d, b, b, v, v, v FROM two, none
+        UNION ALL SELECT CASE WHEN feature_id = 7 THEN 'feature_i' ELSE 'feature_j' END, b, b, b, d, d, feature_id, rank, activation, text_id, token_pos, left_context, center_token, right_context FROM ctx, none WHERE feature_id IN (7, 20)""",
+    "single_component": f"""WITH {EMB_SQL}, s AS (SELECT feature_id, count(*) AS n_points, avg(ln(1 + activation)) AS m, avg(ln(1 + activation) ** 2) AS q, min(activation) AS activation_min, quantile_cont(activation, 0.5) AS activation_p50, quantile_cont(activation, 0.95) AS activation_p95, max(activation) AS activation_max FROM pos GROUP BY 1),
+        v AS (SELECT *, greatest(0::DOUBLE, q - m * m) + {mixture.FLOOR!r}::DOUBLE AS v FROM s WHERE n_points >= 100)
+        SELECT feature_id, n_points, round(n_points * (ln(2 * pi()) + ln(v) + (v - {mixture.FLOOR!r}::DOUBLE) / v) + 2 * ln(n_points), 4) AS bic_1, {", ".join(f"round({c}, 4) AS {c}" for c in ("activation_min", "activation_p50", "activation_p95", "activation_max"))} FROM v""",
+    "axis_profiles": f"""WITH u AS (SELECT vec_id AS feature_id, embedding::DOUBLE[] AS e, greatest(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 1e-8::DOUBLE) AS z FROM embeddings),
+        m AS (SELECT feature_id, list_transform(e[1:20], lambda x: (x / z) * (x / z)) AS m FROM u), o AS (SELECT *, list_sum(m) AS observed FROM m), p AS (SELECT *, list_transform(m, lambda x: x / greatest(observed, 1e-8::DOUBLE)) AS p FROM o),
+        c AS (SELECT feature_id, observed AS pc_mass_observed, observed AS pc_observed_mass, greatest(0::DOUBLE, 1 - observed) AS pc_mass_unobserved_tail, greatest(0::DOUBLE, 1 - observed) AS pc_unobserved_mass, 1 / list_sum(list_transform(p, lambda x: x * x)) AS effective_pc_dim,
+          list_sum(list_transform(list_filter(p, lambda x: x > 0), lambda x: -x * ln(x))) AS pc_entropy, list_sum(list_transform(p, lambda x, i: x * i)) AS pc_center_of_mass, m[1] AS pc_mass_top_1, p[1] AS pc_norm_mass_top_1, list_sum(m[1:5]) AS pc_mass_top_5, list_sum(p[1:5]) AS pc_norm_mass_top_5, list_sum(m) AS pc_mass_top_20, list_sum(p) AS pc_norm_mass_top_20 FROM p)
+        SELECT feature_id, 20::BIGINT AS pc_components_observed, round(1 / 64::DOUBLE, 6) AS pc_explained_variance_top_1, round(5 / 64::DOUBLE, 6) AS pc_explained_variance_top_5, round(20 / 64::DOUBLE, 6) AS pc_explained_variance_observed, {r6(PROFILE)},
+          CASE WHEN pc_mass_observed < 0.05 THEN 'mostly_outside_observed_pca' WHEN pc_norm_mass_top_1 >= 0.5 THEN 'single_head_pc_aligned' WHEN pc_norm_mass_top_5 >= 0.65 AND effective_pc_dim <= 6 THEN 'compact_high_variance_aligned' WHEN pc_center_of_mass <= 5 THEN 'broad_high_variance_aligned'
+            WHEN pc_center_of_mass >= 13 THEN 'mid_tail_variance_aligned' WHEN effective_pc_dim >= 10 THEN 'distributed_across_components' ELSE 'mid_variance_aligned' END AS coverage_bucket FROM c""",
+    "preview": f"WITH {FILTERED_SQL}, {stats_sql()} SELECT feature_id::VARCHAR AS feature_id, n_texts::VARCHAR AS n_texts, format('{{:.4g}}', mean_activation) AS mean_activation FROM stats ORDER BY n_token_activations DESC, stats.feature_id LIMIT 100",
+    "report_sets": f"""{_loose_pairs}, {INSPECT}, {PAIRED},
+        s1 AS (SELECT * FROM looks ORDER BY artifact_score DESC, feature_id LIMIT 20), s2 AS (SELECT * FROM looks WHERE list_contains(labels, 'manual_review') ORDER BY semantic_score DESC, feature_id LIMIT 20),
+        s3 AS (SELECT * FROM pr ORDER BY pair_suspicion_score DESC, feature_i, feature_j LIMIT 20), s4 AS (SELECT * FROM looks ORDER BY semantic_score DESC, feature_id LIMIT 30)
+        SELECT 'artifacts' AS set, feature_id AS feature_i, feature_id AS feature_j, round(artifact_score, 6) AS score FROM s1 UNION ALL SELECT 'manual_review', feature_id, feature_id, round(semantic_score, 6) FROM s2
+        UNION ALL SELECT 'pairs', feature_i, feature_j, round(pair_suspicion_score, 6) FROM s3 UNION ALL SELECT 'bimodal', feature_id, feature_id, round(semantic_score, 6) FROM s4""",
+    "preset_mix": f"""WITH c AS (SELECT doc_id, lang, {A.strip_sql('text')} AS text FROM documents), s(slice, lang, quota) AS (VALUES (0, 'fr', 140), (1, 'en', 100), (2, 'de', 80), (3, 'es', 40), (4, 'fr', 40)),
+        p AS (SELECT slice, doc_id, c.lang, text, quota, row_number() OVER (PARTITION BY slice ORDER BY doc_id) AS nth FROM s JOIN c ON c.lang = s.lang AND length(text) >= 300), m AS (SELECT * FROM p WHERE nth <= quota),
+        f AS (SELECT 5 AS slice, doc_id, lang, text, 0 AS quota, row_number() OVER (ORDER BY doc_id) AS nth FROM c WHERE lang = 'en' AND length(text) >= 300)
+        SELECT slice, nth, doc_id, 'mix-' || lang AS source, md5(text) AS digest FROM (SELECT * FROM m UNION ALL SELECT * FROM f WHERE nth <= 400 - (SELECT count(*) FROM m)) ORDER BY slice, nth LIMIT 400""",
+    "jsonl_round_trip": f"SELECT coalesce(source, 'custom-jsonl') AS source, count(*) AS n, sum(length(t))::BIGINT AS chars, min(md5(t)) AS first_digest FROM (SELECT source, {A.strip_sql('text')} AS t FROM documents) WHERE length(t) > 0 GROUP BY 1",
 }

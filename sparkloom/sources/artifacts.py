@@ -98,6 +98,7 @@ class Run:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.written: list[str] = []
 
     def at(self, name: str) -> str:
         return f"{self.path}/{name}.parquet"
@@ -110,6 +111,7 @@ class Run:
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         write_table(df, self.at(name))
+        self.written.append(name)
         return self.spark.read.parquet(self.at(name))
 
     def sae_activations(self) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
+from .artifacts import stored
 
 # The probe rows (source, text).
 PROBES = [
@@ -32,8 +36,9 @@ CODE_PROBES = [
     "Vectorized NumPy operations avoid slow Python loops over individual elements.",
     "A command-line interface should validate arguments before launching expensive jobs.",
 ]
-#: Slices of the mixing presets in percent; the slices named math and code take at least one row.
+#: Slices of the mixing presets in percent, and which of them take at least one row.
 PRESETS = {"research": (50, 50), "broad": (25, 25, 20, 15, 5, 5), "large": (35, 25, 20, 10, 10)}
+AT_LEAST_ONE = {"broad": (4, 5)}
 
 
 def read_jsonl_corpus(spark: SparkSession, path: str, max_items: int | None = None) -> DataFrame:
@@ -80,6 +85,23 @@ def mix_corpora(slices: list[tuple[DataFrame, int]], max_items: int, fallback: D
     return out.orderBy("slice", "nth").limit(max_items)
 
 
+def mix_preset(preset: str, loaders: list[Callable[[], DataFrame]], fallback: DataFrame, max_items: int, order_by: str = "id", dedupe_topup: bool = False) -> DataFrame:
+    """``mix_corpora`` with the percents of a preset. Each slice is opened by its loader; where Spark can't find or
+    resolve what that reads, ``fallback`` takes the slice's place with the same quota."""
+    percents = PRESETS[preset]
+    if len(loaders) != len(percents):
+        raise ValueError(f"{preset} mixes {len(percents)} slices, not {len(loaders)}")
+
+    def opened(load):
+        try:
+            return load().select(order_by, "source", "text")
+        except AnalysisException:
+            return fallback
+
+    slices = [(opened(load), p) for load, p in zip(loaders, percents)]
+    return mix_corpora(slices, max_items, fallback, order_by, AT_LEAST_ONE.get(preset, ()), dedupe_topup)
+
+
 def _first(df: DataFrame, order_by: str, n: int) -> DataFrame:
     top = df.select(order_by, "source", "text").orderBy(order_by).limit(n)
     return top.withColumn("nth", F.row_number().over(Window.orderBy(order_by)))
@@ -97,14 +119,16 @@ def append_probes(df: DataFrame) -> DataFrame:
 
 def build_text_dataset(corpus: DataFrame, max_texts: int | None = None, order_by: str | None = None) -> DataFrame:
     """(text_id, source, text): corpus rows, then the probes, cut to ``max_texts`` (if given),
-    numbered from 0. Ids come from an index over partitions, so no task sees all rows."""
+    numbered from 0. Rows are written once with their place in their partition; partitions' sizes give the
+    rest of the number, so no task sees all rows and texts stay in the JVM."""
     first = corpus.orderBy(order_by) if order_by else corpus
     if max_texts is not None:
         first = first.limit(max(max_texts - len(PROBES), 0))
     first = first.select("source", "text")
-    spark = corpus.sparkSession
-    rows = append_probes(first).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1]))
-    out = spark.createDataFrame(rows, "text_id long, source string, text string")
+    rows = stored(append_probes(first).withColumn("_at", F.monotonically_increasing_id()), "texts").withColumn("_part", F.shiftright("_at", 33))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # a row for each partition
+    out = rows.join(F.broadcast(starts), "_part").select((F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("text_id"), "source", "text")
     return out if max_texts is None else out.where(F.col("text_id") < max_texts)
 
 

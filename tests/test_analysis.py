@@ -185,6 +185,43 @@ def test_report(spark):
     assert [tuple(r) for r in report.value_counts(df.where("v > 1 or v is null"), "v").collect()][-1][0] is None
 
 
+def test_preview_cells(spark):
+    df = spark.createDataFrame([(0.5, "a|b\nc"), (123456.0, "x" * 121), (None, None), (float("nan"), "x" * 120), (10.0, ""), (1e-7, "")], "v double, t string")
+    got = [tuple(r) for r in report.preview(df, ["v", "none", "t"], 6).collect()]
+    assert got == [("0.5", "a\\|b c"), ("1.235e+05", "x" * 117 + "..."), ("", ""), ("", "x" * 120), ("10", ""), ("1e-07", "")]
+
+
+def test_labels_add_no_other_columns(spark):
+    got = labels.assign_feature_labels(spark.createDataFrame([(1, 0.5)], "feature_id long, artifact_score double"))
+    assert set(got.columns) == {"feature_id", "artifact_score", "inspection_labels", "primary_label", "manual_priority"}
+
+
+def test_pair_report(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.5)], "feature_i long, feature_j long, jaccard double")
+    ex = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (3, 1, "d")], "feature_id long, rank int, center_token string")
+    got = [(r["section"], r["jaccard"], r["center_token"]) for r in cooccurrence.pair_report(pairs, ex, 2, 1, 1).collect()]
+    assert sorted(got) == [("coactivation", 0.5, None), ("feature_i", None, "c"), ("feature_j", None, "a")]
+
+
+def test_collect_encodes_samples_and_counts(spark, tmp_path):
+    run = Run(spark, f"file://{tmp_path}/run")
+    rows = [(0, "s", p, f"t{p}", [float(p), 1.0]) for p in range(5)] + [(1, "s", 0, "x", [float("nan"), 1.0])]
+    write_table(spark.createDataFrame(rows, "text_id long, source string, token_pos long, token_str string, vector array<double>"), run.at("token_vectors"))
+    from sparkloom.config import Analysis, RunConfig
+
+    w = np.array([[1.0, -1.0, 2.0], [0.0, 0.5, 0.0]])
+    for mode, want in (("topk", {(p, 2) for p in range(1, 5)} | {(0, 1)}), ("positive", {(p, f) for p in range(1, 5) for f in (0, 2)} | {(0, 1)})):
+        cfg = RunConfig(encoder=(w, np.zeros(3)), analysis=Analysis(residual_stride=2), run_info=(("activation_mode", mode), ("top_k", 1)))
+        run_pipeline(run, "core", cfg)
+        assert {(r["token_pos"], r["feature_id"]) for r in run.table(f"sae_activations_{mode}").collect()} == want
+    assert [r["n_positive_features"] for r in run.token_activation_summary().orderBy("token_pos").collect()] == [1, 2, 2, 2, 2]
+    assert sorted(r["token_pos"] for r in run.residual_vectors().collect()) == [0, 2, 4]
+    m = {r["table"]: (r["step"], r["n_rows"], r["n_features"]) for r in run.table("metrics").collect()}
+    assert m["sae_activations_positive"] == ("collect", 9, 3) and m["residual_vectors"] == ("collect", 3, None)
+    with pytest.raises(ValueError):
+        run_pipeline(run, "core", RunConfig(run_info=(("activation_mode", "some"),)))
+
+
 def test_mix_tops_up_from_the_beginning(spark):
     a = spark.createDataFrame([(i, "a", f"a{i}") for i in range(3)], "id long, source string, text string")
     b = spark.createDataFrame([(i + 10, "b", f"b{i}") for i in range(1)], "id long, source string, text string")
@@ -221,6 +258,9 @@ def test_artifacts_and_pipeline(spark, tmp_path):
     first = run.feature_cards().orderBy("feature_id").collect()
     run_pipeline(run, ("cards",), cfg)  # reads and replaces the same table
     assert run.feature_cards().orderBy("feature_id").collect() == first and len(first) == 12 and first[0]["top_examples_json"].startswith("[{")
+    assert run.has("report_table_feature_cards") and run.has("report_variance_residual") and run.has("report_histogram_n_positive_features")
+    run_pipeline(run, ("cards", "report"), cfg)
+    assert {r["step"] for r in run.table("metrics").collect()} == {"cards", "report"}
     assert set(PRESETS) == {"core", "atlas", "research"}
     with pytest.raises(ValueError):
         run_pipeline(run, ("nothing",))

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ["token_quality_labels", "row_filter", "text_sources", "token_sources", "sparsify_topk", "semi_and_missing", "coactivation_basket", "decoder_neighbors", "feature_inspection", "histogram", "clean_texts", "mixed_corpus"]
+FAST = ["token_quality_labels", "row_filter", "text_sources", "token_sources", "sparsify_topk", "semi_and_missing", "coactivation_basket", "decoder_neighbors", "feature_inspection", "histogram", "clean_texts", "mixed_corpus", "row_filter_options", "axis_profiles", "single_component", "preset_mix", "jsonl_round_trip", "profile", "preview", "text_dataset", "position_context"]
 
 
 def cell(x):
