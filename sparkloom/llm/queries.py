@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import chat, decontaminate, language, mixing, neighbours, ngram_join, secrets, toxicity, url_filters, warc
+from . import chat, collocations, decontaminate, language, mixing, neighbours, ngram_join, secrets, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_secret_scans": secrets.op8,
     "op9_decontamination": decontaminate.op9,
     "op10_chat_formatting": chat.op10,
+    "op11_collocations": collocations.op11,
 }
 
 SQL = {
@@ -20,4 +21,5 @@ SQL = {
     "op7_mixing": mixing.OP7_SQL,
     "op8_secret_scans": secrets.OP8_SQL,
     "op10_chat_formatting": chat.OP10_SQL,
+    "op11_collocations": collocations.OP11_SQL,
 }
