@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import chat, collocations, decontaminate, language, mixing, neighbours, ngram_join, runs, secrets, toxicity, url_filters, warc
+from . import chat, collocations, decontaminate, language, mixing, neighbours, ngram_join, pii, runs, secrets, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9,
     "op10_chat_formatting": chat.op10,
     "op11_collocations": collocations.op11,
+    "op12_pii": pii.op12,
     "op13_periodic_runs": runs.op13,
 }
 
