@@ -23,6 +23,9 @@ WEAK = {
     "secret": r"[A-Za-z0-9+/_-]{20,}",  # kept if it has a digit and a letter
     "endpoint": r"""https?://[^\x00-\x20"'<>]+|[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}""",
 }
+#: The endpoint pattern as Java runs it: labels are possessive, so nothing recurses, and a host starts where no label, or label and
+#: dot, stands before (or where the last match ended), so no host is read twice. Its matches are the same.
+_JAVA = {"endpoint": r"""https?://[^\x00-\x20"'<>]++|(?:\G|(?<=\G\.)|(?<![a-z0-9-])(?<![a-z0-9-]\.))[a-z0-9-]++(?:\.[a-z0-9-]++)++:[0-9]{2,5}"""}
 KINDS = (*STRONG, *WEAK)
 #: Code points to either side of an identifier that belong to its scope.
 REACH = 200
@@ -33,7 +36,7 @@ def _spans(text: Column, kind: str, hits: Column, lengths: Column | None = None,
     """array<struct<start, kind, end>> of the matches ``hits``: places follow from the lengths of the
     pieces between matches. A match counts if its entry in ``lengths`` is at least ``least`` and ``ok``
     holds for it; others still use up their text."""
-    pattern = STRONG[kind][0] if kind in STRONG else WEAK[kind]
+    pattern = STRONG[kind][0] if kind in STRONG else _JAVA.get(kind, WEAK[kind])
     k = KINDS.index(kind)
     pieces = F.transform(F.split(text, pattern, -1), F.length)
     parts = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("gap"), F.transform(hits, F.length).alias("n"), (lengths if lengths is not None else F.transform(hits, F.length)).alias("m"), hits.alias("hit"))
@@ -66,7 +69,7 @@ def weak_spans(text: Column) -> Column:
     """Spans of the weak kinds in a text."""
     text = F.coalesce(text, F.lit(""))
     ok = {"secret": lambda h: h.rlike("[0-9]") & h.rlike("[A-Za-z]")}
-    return F.concat(*[_spans(text, kind, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), ok=ok.get(kind)) for kind, pattern in WEAK.items()])
+    return F.concat(*[_spans(text, kind, F.regexp_extract_all(text, F.lit(_JAVA.get(kind, pattern)), F.lit(0)), ok=ok.get(kind)) for kind, pattern in WEAK.items()])
 
 
 def link_weak(parts: DataFrame, reach: int = REACH) -> DataFrame:
