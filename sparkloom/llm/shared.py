@@ -77,10 +77,10 @@ def crc_mod(col: str, m: int):
 
 
 def n_words(col):
-    """Number of words of a text; null counts 0. The pieces between separators are counted
-    after the separators at either end are dropped."""
-    t = F.regexp_replace(F.coalesce(col, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"[\x20\x09-\x0D]+"))).cast("long")
+    """Number of words of a text; null counts 0. The pieces between separators, less the empty ones at either end."""
+    t = F.coalesce(col, F.lit(""))
+    edge = lambda c: c.isin(*" \t\n\x0b\x0c\r").cast("int")
+    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"[\x20\x09-\x0D]+")) - edge(F.left(t, F.lit(1))) - edge(F.right(t, F.lit(1)))).cast("long")
 
 
 # --- vectorised word and shingle hashes -------------------------------------------------
