@@ -123,6 +123,17 @@ def _blocks(vectors: DataFrame, size: int, make) -> DataFrame:
     return vectors.select("vec_id", "v").mapInArrow(run, "ids binary, data binary")
 
 
+def _nearest(ids: np.ndarray, s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` smallest scores with their ids; of those equal to the last the smallest ids."""
+    if len(s) <= n:
+        return ids, s
+    last = np.partition(s, n - 1)[n - 1]
+    keep, tied = np.flatnonzero(s < last), np.flatnonzero(s == last)
+    left = n - len(keep)
+    keep = np.concatenate([keep, tied[np.argpartition(ids[tied], left - 1)[:left]]])
+    return ids[keep], s[keep]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, shortlist: int = SHORTLIST, books: np.ndarray | None = None) -> DataFrame:
     """The k nearest found of each query: query_id, rank, vec_id, score (Euclidean distance of the
     original vectors in double precision); nearest first, ties to the smaller vec_id.
@@ -180,12 +191,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, shortlist: int =
                     for j in range(m):
                         s -= table[j, q][c[j]]
                     s[ids == qids[q]] = np.inf
-                    n = min(shortlist, len(s))
-                    top = np.argpartition(s, n - 1)[:n]
-                    top = top[np.isfinite(s[top])]
-                    i, s = np.concatenate([best[q][0], ids[top]]), np.concatenate([best[q][1], s[top]])
-                    keep = np.argpartition(s, shortlist - 1)[:shortlist] if len(s) > shortlist else slice(None)
-                    best[q] = i[keep], s[keep]
+                    i, s = _nearest(ids, s, shortlist)
+                    some = np.isfinite(s)
+                    best[q] = _nearest(np.concatenate([best[q][0], i[some]]), np.concatenate([best[q][1], s[some]]), shortlist)
         if best:
             yield done()
 
