@@ -7,14 +7,15 @@ The share of the item's words under tiles decides, so passages in another order
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import _P, drop, shingle_hashes, sorted_set, split_by_keys, word_hashes, written
+from .shared import _powers, drop, shingle_hashes, sorted_set, split_by_keys, word_hashes, written
 
 #: Words of a seed and of the shortest tile; share of an item's words under tiles that flags a text.
 K, COVERAGE = 4, 0.5
@@ -22,71 +23,87 @@ K, COVERAGE = 4, 0.5
 _FILTER_BITS = 23
 
 
-def _windows(words: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of ``size`` unmarked words, each hash rolled from running sums:
-    sum of word * P**(position) over the window, times P**-(start)."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    marked = np.concatenate(([0], np.cumsum(~free)))
-    at = np.flatnonzero(marked[size:] == marked[:-size])
-    up = np.full(len(words), _P, np.uint64)
-    up[0] = 1
-    up = np.cumprod(up, dtype=np.uint64)
-    run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up, dtype=np.uint64)))
-    # comparing windows at different starts: scale each to the last start
-    return at, (run[at + size] - run[at]) * up[n - 1 - at]
+def _left(free: np.ndarray) -> np.ndarray:
+    """From each place on, how many words are unmarked."""
+    n = len(free)
+    stop = np.where(free, n, np.arange(n))
+    return np.minimum.accumulate(stop[::-1])[::-1] - np.arange(n)
+
+
+class _Hashes:
+    """Hashes of all stretches of a sequence of words, from a running sum of word * P**place."""
+
+    def __init__(self, words: np.ndarray):
+        self.up, self.down = _powers(len(words) + 1)
+        self.run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * self.up[: len(words)], dtype=np.uint64)))
+
+    def of(self, start: np.ndarray, size) -> np.ndarray:
+        return (self.run[start + size] - self.run[start]) * self.down[start]
+
+
+#: Pairs of equal windows that are looked at together.
+_PAIRS = 1 << 20
+
+
+def _run_starts(text, item, ht: _Hashes, hi: _Hashes, left_t, left_i, size: int) -> list[tuple[int, int, int]]:
+    """(-words, place in item, place in text) of the common runs of ``size`` unmarked words or more that no word before
+    continues. Lengths come from hashes of stretches of 2**k words, all pairs at a time."""
+    a, b = np.flatnonzero(left_t >= size), np.flatnonzero(left_i >= size)
+    if not len(a) or not len(b):
+        return []
+    ka, kb = ht.of(a, size), hi.of(b, size)
+    order = np.argsort(kb, kind="stable")
+    b, kb = b[order], kb[order]
+    lo, n = np.searchsorted(kb, ka, "left"), np.searchsorted(kb, ka, "right")
+    n -= lo
+    a, lo, n = a[n > 0], lo[n > 0], n[n > 0]
+    out, edge = [], np.cumsum(n)
+    at = 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(edge, (edge[at - 1] if at else 0) + _PAIRS, "right")))
+        of = n[at:to]
+        i = np.repeat(a[at:to], of)
+        j = b[np.repeat(lo[at:to] - np.concatenate(([0], np.cumsum(of)[:-1])), of) + np.arange(len(i))]
+        inner = (i > 0) & (j > 0)
+        inner[inner] = (left_t[i[inner] - 1] > 0) & (left_i[j[inner] - 1] > 0) & (text[i[inner] - 1] == item[j[inner] - 1])
+        i, j = i[~inner], j[~inner]
+        most, m = np.minimum(left_t[i], left_i[j]), np.full(len(i), size)
+        for k in range(int(most.max(initial=1)).bit_length() - 1, -1, -1):
+            some = np.flatnonzero(m + (1 << k) <= most)
+            some = some[ht.of(i[some] + m[some], 1 << k) == hi.of(j[some] + m[some], 1 << k)]
+            m[some] += 1 << k
+        out += zip((-m).tolist(), j.tolist(), i.tolist())
+        at = to
+    return out
 
 
 def tiles(text: np.ndarray, item: np.ndarray, least: int = K) -> list[tuple[int, int, int]]:
     """(place in text, place in item, words) of the tiles of a greedy string tiling: of all common runs
     of unmarked words the longest is marked first (ties: first in item, then in text), until none of
-    ``least`` words is left. The search length falls by half; runs of at least it are found from
-    equal window hashes and grown to their full length."""
+    ``least`` words is left. The search length falls by half; runs of at least it are found from equal window hashes and wait in a
+    heap. One that was marked in part since goes back as what is left of it."""
     out, free_t, free_i = [], np.ones(len(text), bool), np.ones(len(item), bool)
+    ht, hi = _Hashes(text), _Hashes(item)
     size = max(least, min(len(item), len(text)))
     while True:
-        a, ha = _windows(text, free_t, size)
-        b, hb = _windows(item, free_i, size)
-        # powers differ between the two sides; bring both to one scale
-        if len(a) and len(b):
-            ha, hb = _scaled(ha, len(text) - size), _scaled(hb, len(item) - size)
-            where: dict[int, list[int]] = {}
-            for j, h in zip(b.tolist(), hb.tolist()):
-                where.setdefault(h, []).append(j)
-            hit = np.isin(ha, hb)
-            found = []
-            for i, h in zip(a[hit].tolist(), ha[hit].tolist()):
-                for j in where[h]:
-                    if i and j and free_t[i - 1] and free_i[j - 1] and text[i - 1] == item[j - 1]:
-                        continue  # not the start of its run
-                    n = 0
-                    while i + n < len(text) and j + n < len(item) and free_t[i + n] and free_i[j + n] and text[i + n] == item[j + n]:
-                        n += 1
-                    if n >= size:
-                        found.append((-n, j, i))
-            again = False
-            for n, j, i in sorted(found):
-                n = -n
-                if free_t[i : i + n].all() and free_i[j : j + n].all():
-                    free_t[i : i + n] = False
-                    free_i[j : j + n] = False
-                    out.append((i, j, n))
-                else:  # what is left of it may still be longer than the next
-                    again = True
-                    break
-            if again:
-                continue
+        heap = _run_starts(text, item, ht, hi, _left(free_t), _left(free_i), size)
+        heapq.heapify(heap)
+        while heap:
+            n, j, i = heapq.heappop(heap)
+            ok = free_t[i : i - n] & free_i[j : j - n] & (text[i : i - n] == item[j : j - n])
+            if ok.all():
+                free_t[i : i - n], free_i[j : j - n] = False, False
+                out.append((i, j, -n))
+            elif ok.any():
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], ok.view(np.int8), [0]))))
+                for x, y in zip(edge[0::2].tolist(), edge[1::2].tolist()):
+                    if y - x >= size:
+                        heapq.heappush(heap, (x - y, j + x, i + x))
         if size == least:
             return out
         size = max(least, size // 2)
 
 
-def _scaled(h: np.ndarray, top: int) -> np.ndarray:
-    """Window hashes scaled by P**top (of the last start) to the scale P**0."""
-    return h * np.uint64(pow(pow(int(_P), -1, 1 << 64), top, 1 << 64))
-
-
 def benchmark_seeds(benchmark: DataFrame, k: int = K) -> DataFrame:
     """(hash, item, words, times): the distinct seeds of every row of ``benchmark`` (item, text) and how often each
     occurs in it. Items of fewer than k words have none and match nothing."""
@@ -111,6 +128,22 @@ def seed_filter(seeds: DataFrame) -> np.ndarray:
     return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
 
 
+def rare_seeds(seeds: DataFrame, hits: DataFrame, coverage: float, k: int) -> DataFrame:
+    """(hash, item, times, rest, least) of the seeds that a pair must share one of. A text that covers enough of an item has
+    ``least`` of its seeds' occurrences, so it has one among all but least - 1 of them: the commonest seeds in ``hits``
+    (row, hash) are left out of the join, and a phrase that is in most texts doesn't pair them with every item that has
+    it. ``rest`` is how often the seeds left out occur in the item."""
+    often = seeds.join(hits.groupBy("hash").agg(F.count("*").alias("often")), "hash")  # a seed that no text has pairs nothing
+    every = seeds.groupBy("item").agg(F.sum("times").alias("all"))
+    w = Window.partitionBy("item").orderBy("often", "hash")  # an item's own seeds
+    absent = F.col("all") - F.sum("times").over(Window.partitionBy("item"))
+    least = F.ceil(F.col("words") * coverage / k - 1e-9).cast("long")
+    placed = often.join(every, "item").withColumns({"least": least, "absent": absent, "before": F.sum("times").over(w) - F.col("times")})
+    kept = placed.where(F.col("absent") + F.col("before") <= F.col("all") - F.col("least"))
+    rest = F.col("all") - F.col("absent") - F.sum("times").over(Window.partitionBy("item"))
+    return kept.select("hash", "item", "times", rest.alias("rest"), "least")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, k: int = K) -> DataFrame:
     """The pairs of a text of ``docs`` (doc_id, text) and an item of ``benchmark`` (item_id, text) whose
     tiles of k words or more cover at least ``coverage`` of the item's words: doc_id, text_key (xxhash64 of
@@ -118,7 +151,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     Words are those between spaces and U+0009-D, A-Z in lower case. Texts are read whole, once; a
     filter of fixed size drops those without a possible seed, the rest are stored and joined
-    with the items' seeds by hash. A pair goes on if its seeds could cover enough (seeds that occur n
+    with the items' rarer seeds by hash. A pair goes on if its seeds could cover enough (seeds that occur n
     times in the item cover at most n * k of its words). Null and empty texts, and items of fewer than
     k words, match nothing. Repeated rows each give their pairs; so does every row of the benchmark,
     also under a repeated or null item_id.
@@ -146,7 +179,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hits, "doc_id long, text string, hashes array<long>")
     found = written(found.withColumn("row", F.monotonically_increasing_id()), "seeded")
-    pairs = found.select("row", F.explode("hashes").alias("hash")).join(seeds, "hash").groupBy("row", "item").agg(F.sum("times").alias("n"), F.max("words").alias("words")).where(F.col("n") * k >= F.col("words") * coverage)
+    hits = found.select("row", F.explode("hashes").alias("hash"))
+    rare = written(rare_seeds(seeds, hits, coverage, k), "rare")
+    pairs = hits.join(rare, "hash").groupBy("row", "item").agg(F.sum("times").alias("n"), F.max("rest").alias("rest"), F.max("least").alias("least")).where(F.col("n") + F.col("rest") >= F.col("least"))
     pairs = written(pairs.select("row", "item"), "pairs")
     near, _ = split_by_keys(found.select("row", "doc_id", "text"), "row", pairs.select("row"))  # only these texts move
     rows = pairs.join(items, "item").join(near, "row")
@@ -165,7 +200,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     out = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "item_id", "text", "item_text").mapInArrow(tile, "doc_id long, text_key long, item_id long, item_words long, covered_words long, coverage double, n_tiles long, longest_tile long")
     out = written(out, "found")
-    drop(items, seeds, found, pairs)
+    drop(items, seeds, found, rare, pairs)
     return out
 
 
