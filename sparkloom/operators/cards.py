@@ -25,15 +25,22 @@ ORDER = [
 
 def merge_replace(left: DataFrame, right: DataFrame | None, on: str, cols: list[str], order_by: list | None = None) -> DataFrame:
     """``left`` with the columns ``cols`` taken from ``right``: those it had are replaced, right's first row of a key
-    counts (by ``order_by``, else by the columns themselves), and a right side that is missing or lacks the
-    key changes nothing. Doing it twice is doing it once."""
+    counts (by ``order_by``, else by the columns themselves), and a right side that is missing, lacks the
+    key or has no row leaves them as they were (null where left had none). Doing it twice is doing it once."""
     if right is None or on not in right.columns:
         return left
     cols = [c for c in cols if c in right.columns]
     small = right.select(on, *cols)
     w = Window.partitionBy(on).orderBy(*(order_by or cols or [on]))
     small = small.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
-    return left.drop(*[c for c in cols if c in left.columns]).join(small, on, "left")
+    had = [c for c in cols if c in left.columns]
+    out = left.withColumnsRenamed({c: f"_old_{c}" for c in had}).join(small, on, "left")
+    if not had:
+        return out
+    # one row that tells whether right has any; it reads what the join reads
+    any_row = F.broadcast(small.agg(F.max(F.xxhash64(on, *cols)).isNotNull().alias("_any")))
+    out = out.crossJoin(any_row).withColumns({c: F.when(F.col("_any"), F.col(c)).otherwise(F.col(f"_old_{c}")) for c in had})
+    return out.drop("_any", *[f"_old_{c}" for c in had])
 
 
 def basic_feature_cards(filtered: DataFrame, examples: DataFrame, run_info=()) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import nan_to_null, safe_ratio
+from ..functions.numeric import safe_ratio
 from ..functions.text import is_space_like, looks_like_punctuation, looks_like_quote
+from ..sources.artifacts import stored
 from .filters import semi_filter
+from .quantiles import quantiles
 from .stats import top_rows, with_context
 
 FEATURE_COLUMNS = ("feature_id", "n_activations_inspected", "quote_share", "punctuation_share", "space_share", "boundary_share", "token_concentration", "source_concentration", "raw_source_concentration", "source_is_informative", "position_concentration", "artifact_score", "semantic_score", "manual_priority", "inspection_labels", "top_tokens_json", "top_positions_json", "top_sources_json")
@@ -16,18 +18,42 @@ PAIR_COLUMNS = ("feature_i", "feature_j", "pair_artifact_score", "pair_suspicion
 
 def source_is_informative(acts: DataFrame, min_sources: int = 3, max_top_share: float = 0.85) -> DataFrame:
     """One row, source_is_informative: enough sources, and none of them has nearly all rows."""
-    s = acts.groupBy(F.coalesce("source", F.lit("None")).alias("source")).agg(F.count("*").alias("n"))
-    return s.agg(F.coalesce((F.count("*") >= min_sources) & (F.max("n") / F.sum("n") <= max_top_share), F.lit(False)).alias("source_is_informative"))
+    return _informative(acts.groupBy(F.coalesce("source", F.lit("None")).alias("source")).agg(F.count("*").alias("n")), min_sources, max_top_share)
 
 
-def _modes(acts: DataFrame, key: str, col: Column, n: int, name: str) -> DataFrame:
-    """Per feature the count of the most frequent value and the ``n`` most frequent with their counts (ties: smaller
-    value). Counts come first, so the window sees a row for each value."""
-    c = acts.groupBy(key, col.alias("key")).agg(F.count("*").alias("count"))
-    w = Window.partitionBy(key).orderBy(F.desc("count"), "key")
-    top = c.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+def _informative(sources: DataFrame, min_sources: int = 3, max_top_share: float = 0.85) -> DataFrame:
+    return sources.agg(F.coalesce((F.count("*") >= min_sources) & (F.max("n") / F.sum("n") <= max_top_share), F.lit(False)).alias("source_is_informative"))
+
+
+#: What the facts are counted by, and the bits by which Spark tells these grouping sets apart.
+_SETS = {"tokens": 7, "positions": 11, "sources": 13, "texts": 14}
+
+
+def _counts(rows: DataFrame) -> dict[str, DataFrame]:
+    """(feature_id, key, count) of the facts by token, position, source and text: one scan, whose partial counts a task
+    keeps for all four; what follows reads the counts alone."""
+    keys = [F.coalesce("token_str", F.lit("None")).alias("tokens"), F.coalesce(F.col("token_pos").cast("long"), F.lit(-1)).alias("positions"), F.coalesce("source", F.lit("None")).alias("sources"), F.col("text_id").alias("texts")]
+    r = rows.select("feature_id", *keys)
+    g = r.groupingSets([["feature_id", k] for k in _SETS], "feature_id", *_SETS).agg(F.count("*").alias("count"), F.grouping_id().alias("set"))
+    g = stored(g, "counts")
+    return {k: g.where(F.col("set") == bits).select("feature_id", F.col(k).alias("key"), "count") for k, bits in _SETS.items()}
+
+
+def _modes(counts: DataFrame, n: int, name: str) -> DataFrame:
+    """Per feature the count of the most frequent key and the ``n`` most frequent with their counts (ties: smaller key)."""
+    w = Window.partitionBy("feature_id").orderBy(F.desc("count"), "key")
+    top = counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
     items = F.transform(F.array_sort(F.collect_list(F.struct("_r", "key", "count"))), lambda s: F.struct(s["key"].alias("key"), s["count"].alias("count")))
-    return top.groupBy(key).agg(F.max("count").alias(f"_{name}"), items.alias(f"top_{name}"))
+    return top.groupBy("feature_id").agg(F.max("count").alias(f"_{name}"), items.alias(f"top_{name}"))
+
+
+def _middle(counts: DataFrame) -> DataFrame:
+    """Per feature the median key; keys are positions, so a feature has no more than the longest text has tokens."""
+    w = Window.partitionBy("feature_id")
+    c = counts.withColumns({"_to": F.sum("count").over(w.orderBy("key")), "_h": (F.sum("count").over(w) - 1) / 2})
+    hit = lambda r: (r >= F.col("_to") - F.col("count")) & (r < F.col("_to"))
+    at = lambda f: F.max(F.when(hit(f("_h")), F.col("key")))
+    return c.groupBy("feature_id").agg(((at(F.floor) + at(F.ceil)) / 2).alias("token_pos_median"))
 
 
 def _labels(*tests: tuple[Column, str]) -> Column:
@@ -39,22 +65,22 @@ def summarize_features(acts: DataFrame, ids: DataFrame | None = None, examples:
     token, source and position, artifact and semantic score, labels, priority, top tokens, positions and
     sources (arrays of struct<key, count>), and, if given, the top 5 of ``examples``.
     Ids without rows have status missing and nulls."""
-    informative = source_is_informative(acts)
     rows = semi_filter(acts, ids) if ids is not None else acts
-    token = F.coalesce("token_str", F.lit("None"))
-    pos = F.coalesce(F.col("token_pos").cast("long"), F.lit(-1))
-    share = lambda c: F.avg(c.cast("double"))
-    base = rows.groupBy("feature_id").agg(
-        F.count("*").alias("n_activations"),
-        F.min(pos).alias("token_pos_min"), F.percentile(pos, 0.5).alias("token_pos_median"), F.max(pos).alias("token_pos_max"),
-        share(looks_like_quote(token)).alias("quote_share"), share(looks_like_punctuation(token)).alias("punctuation_share"),
-        share(is_space_like(token)).alias("space_share"), share(pos >= max_seq_len - boundary_margin).alias("boundary_share"),
-        F.coalesce(F.percentile(nan_to_null(F.col("activation")), 0.99), F.lit(0.0)).alias("_p99"),
-    )
-    texts = rows.select("feature_id", "text_id").distinct().groupBy("feature_id").agg(F.count("text_id").alias("n_texts"))
-    f = base.join(texts, "feature_id")
-    for name, col in (("tokens", token), ("positions", pos), ("sources", F.coalesce("source", F.lit("None")))):
-        f = f.join(_modes(rows, "feature_id", col, 10, name), "feature_id")
+    counts = _counts(rows)
+    if ids is None:
+        informative = _informative(counts["sources"].groupBy(F.col("key").alias("source")).agg(F.sum("count").alias("n")))
+    else:
+        informative = source_is_informative(acts)
+    token, pos, n = F.col("key"), F.col("key"), F.col("count")
+    share = lambda c: F.sum(F.when(c, n).otherwise(0)) / F.sum(n)
+    base = counts["tokens"].groupBy("feature_id").agg(
+        F.sum(n).alias("n_activations"), share(looks_like_quote(token)).alias("quote_share"), share(looks_like_punctuation(token)).alias("punctuation_share"), share(is_space_like(token)).alias("space_share"))
+    places = counts["positions"].groupBy("feature_id").agg(F.min(pos).alias("token_pos_min"), F.max(pos).alias("token_pos_max"), share(pos >= max_seq_len - boundary_margin).alias("boundary_share"))
+    strong = quantiles(rows, "activation", (0.99,), ("feature_id",), name="_p").select("feature_id", F.get("_p", F.lit(0)).alias("_p99"))
+    texts = counts["texts"].groupBy("feature_id").agg(F.count("key").alias("n_texts"))
+    f = base.join(places, "feature_id").join(_middle(counts["positions"]), "feature_id").join(texts, "feature_id").join(strong, "feature_id", "left").withColumn("_p99", F.coalesce("_p99", F.lit(0.0)))
+    for name in ("tokens", "positions", "sources"):
+        f = f.join(_modes(counts[name], 10, name), "feature_id")
     f = f.crossJoin(F.broadcast(informative))  # one row
     f = f.withColumns({
         "token_concentration": safe_ratio(F.col("_tokens"), F.col("n_activations")),
@@ -148,7 +174,7 @@ def activation_bands(acts: DataFrame, meta: DataFrame, n: int = 5, window: int =
     (low, median, high), rank, activation, text_id, source, token_pos, token_str and the context. Rows are not filtered."""
     acts = semi_filter(acts, ids) if ids is not None else acts
     acts = acts.select("feature_id", "text_id", "source", "token_pos", "token_str", "activation")
-    median = acts.groupBy("feature_id").agg(F.percentile("activation", 0.5).alias("_m"))
+    median = quantiles(acts, "activation", (0.5,), ("feature_id",), name="_p").select("feature_id", F.get("_p", F.lit(0)).alias("_m"))
     off = acts.join(median, "feature_id").withColumn("_off", F.round(F.abs(F.col("activation") - F.col("_m")), 9))
     low = top_rows(acts, n, F.asc("activation")).withColumn("band", F.lit("low"))
     mid = top_rows(off, n, F.asc("_off")).drop("_m", "_off").withColumn("band", F.lit("median"))

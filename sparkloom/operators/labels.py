@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import available, missing_or_empty, safe_numeric
+from ..sources.artifacts import stored
+from .quantiles import quantiles
 
 # Labels from the most to the least telling.
 PRIORITY = ("likely_artifact", "rare_high_intensity", "coactivation_hub", "decoder_geometry_dense", "bimodal_candidate", "high_intensity", "high_frequency", "manual_review", "rare_feature")
@@ -27,9 +29,12 @@ def primary_label(labels: Column) -> Column:
     return F.coalesce(*[F.when(F.array_contains(labels, p), F.lit(p)) for p in PRIORITY], F.lit("unlabeled"))
 
 
-def threshold(c: Column, q: float, positive: bool = False, default: float = float("inf")) -> Column:
-    """The quantile of all (or all positive) values, ``default`` if there is none; an aggregate."""
-    return F.coalesce(F.percentile(F.when(c > 0, c) if positive else c, q), F.lit(default))
+def thresholds(cards: DataFrame, **wanted: tuple[Column, float]) -> DataFrame:
+    """One row with the quantile of each named column over all cards, null where it has no value."""
+    long = cards.select(F.explode(F.array(*[F.struct(F.lit(name).alias("of"), c.alias("v")) for name, (c, _) in wanted.items()])).alias("e")).select("e.*")
+    qs = tuple(sorted({q for _, q in wanted.values()}))
+    at = lambda name, q: F.max(F.when(F.col("of") == name, F.get("_p", F.lit(qs.index(q))))).alias(name)
+    return quantiles(long, "v", qs, ("of",), name="_p").agg(*[at(name, q) for name, (_, q) in wanted.items()])
 
 
 def assign_feature_labels(cards: DataFrame) -> DataFrame:
@@ -44,10 +49,10 @@ def assign_feature_labels(cards: DataFrame) -> DataFrame:
     is_array = dict(cards.dtypes)["inspection_labels"].startswith("array")
     num = lambda c: safe_numeric(F.col(c))
     freq, p99, cos, jac, bim = num("token_frequency"), num("p99_activation"), num("max_decoder_cosine"), num("max_coactivation_jaccard"), num("bimodality_score")
-    cuts = cards.agg(
-        F.greatest(F.lit(0.03), threshold(freq, 0.90, default=0.03)).alias("_freq"), F.percentile(F.when(freq > 0, freq), 0.20).alias("_rare"), threshold(p99, 0.90).alias("_p99"),
-        F.greatest(F.lit(500.0), threshold(bim, 0.95, True)).alias("_bim"), F.percentile(F.when(cos > 0, cos), 0.90).alias("_cos"), F.percentile(F.when(jac > 0, jac), 0.90).alias("_jac"),
-    )
+    cards = stored(cards, "cards")
+    positive = lambda c: F.when(c > 0, c)
+    cuts = thresholds(cards, _freq=(freq, 0.90), _rare=(positive(freq), 0.20), _p99=(p99, 0.90), _bim=(positive(bim), 0.95), _cos=(positive(cos), 0.90), _jac=(positive(jac), 0.90))
+    cuts = cuts.withColumns({"_freq": F.greatest(F.lit(0.03), F.coalesce("_freq", F.lit(0.03))), "_p99": F.coalesce("_p99", F.lit(float("inf"))), "_bim": F.greatest(F.lit(500.0), F.coalesce("_bim", F.lit(float("inf"))))})
     c = cards.crossJoin(F.broadcast(cuts))  # one row
     artifact = available(F.col("artifact_score")) & (num("artifact_score") >= 0.35)
     rare = F.coalesce((freq > 0) & (freq <= F.col("_rare")), F.lit(False))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.artifacts import shared_dir
 
 from ..functions.numeric import is_finite
+from .quantiles import quantiles
 from .stats import context_by_position
 
 #: Floor of a variance, least gain of the mean log-likelihood, most rounds.
@@ -136,7 +137,9 @@ def bimodality_candidates(acts: DataFrame, min_points: int = 100) -> DataFrame:
     # mean log-likelihood of one Gaussian at its own mean and (floored) variance
     ll1 = -0.5 * (_LOG_2PI + F.log("v") + (F.col("v") - FLOOR) / F.col("v"))
     a = F.col("activation")
-    spread = acts.where(is_finite(a) & (a > 0)).groupBy("feature_id").agg(F.min(a).alias("activation_min"), F.percentile(a, 0.5).alias("activation_p50"), F.percentile(a, 0.95).alias("activation_p95"), F.max(a).alias("activation_max"))
+    good = acts.where(is_finite(a) & (a > 0))
+    spread = good.groupBy("feature_id").agg(F.min(a).alias("activation_min"), F.max(a).alias("activation_max"))
+    spread = spread.join(quantiles(good, a, (0.5, 0.95), ("feature_id",), name="_p"), "feature_id").withColumns({f"activation_p{q}": F.get("_p", F.lit(i)) for i, q in enumerate((50, 95))})
     j = one.join(two, "feature_id").join(spread, "feature_id")
     k = F.col("n_points").cast("double")
     j = j.withColumns({"bic_1": -2 * k * ll1 + 2 * F.log(k), "bic_2": -2 * k * F.col("loglik") + 5 * F.log(k)})

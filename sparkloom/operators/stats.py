@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nan_to_null
+from .quantiles import quantiles
 
 KEY = ("text_id", "token_pos")
 
@@ -21,15 +22,16 @@ def feature_stats(acts: DataFrame, meta: DataFrame, exact: bool = True, check: b
     among the tokens and texts that have rows; most frequent first.
 
     Distinct texts are counted over (feature, text) first, so a frequent feature's texts are spread
-    over all tasks. Exact percentiles keep a count for each distinct value of a feature;
+    over all tasks. Exact percentiles are found by rank (operators/quantiles.py), so a feature may have all rows;
     ``exact=False`` takes Spark's bounded sketch. With ``check``, no token left is an error.
     """
     totals = relevant_totals(acts, meta)
     if check and not totals.first()["n_total_tokens"]:
         raise ValueError("no tokens are left after the row filters")
-    a = nan_to_null(F.col("activation"))
-    qs = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
-    base = acts.groupBy("feature_id").agg(F.count("*").alias("n_token_activations"), F.avg(a).alias("mean_activation"), F.max(a).alias("max_activation"), (F.percentile(a, qs) if exact else F.percentile_approx(a, qs, 10_000)).alias("_p"))
+    a, qs = nan_to_null(F.col("activation")), (0.5, 0.95, 0.99)
+    base = acts.groupBy("feature_id").agg(F.count("*").alias("n_token_activations"), F.avg(a).alias("mean_activation"), F.max(a).alias("max_activation"), *([] if exact else [F.percentile_approx(a, list(qs), 10_000).alias("_p")]))
+    if exact:
+        base = base.join(quantiles(acts, "activation", qs, ("feature_id",), name="_p"), "feature_id", "left")
     base = base.select("*", *[F.get("_p", F.lit(i)).alias(f"p{q}_activation") for i, q in enumerate((50, 95, 99))])
     texts = acts.select("feature_id", "text_id").distinct().groupBy("feature_id").agg(F.count("text_id").alias("n_texts"))
     out = base.join(texts, "feature_id").crossJoin(F.broadcast(totals))  # totals: one row
@@ -103,8 +105,11 @@ def _share(s: DataFrame, col: str, name: str) -> DataFrame:
 
 def describe_activation(acts: DataFrame, feature_id: int) -> DataFrame:
     """count, mean, std (sample), min, quartiles and max of one feature's rows."""
-    a = nan_to_null(F.col("activation"))
-    return acts.where(F.col("feature_id") == feature_id).agg(F.count(a).alias("count"), F.avg(a).alias("mean"), F.stddev_samp(a).alias("std"), F.min(a).alias("min"), F.percentile(a, 0.25).alias("p25"), F.percentile(a, 0.5).alias("p50"), F.percentile(a, 0.75).alias("p75"), F.max(a).alias("max"))
+    a, rows = nan_to_null(F.col("activation")), acts.where(F.col("feature_id") == feature_id)
+    base = rows.agg(F.count(a).alias("count"), F.avg(a).alias("mean"), F.stddev_samp(a).alias("std"), F.min(a).alias("min"), F.max(a).alias("max"))
+    cuts = quantiles(rows, "activation", (0.25, 0.5, 0.75), name="_p")
+    base = base.join(cuts, how="left")  # a row each, or none
+    return base.select("count", "mean", "std", "min", *[F.get("_p", F.lit(i)).alias(f"p{q}") for i, q in enumerate((25, 50, 75))], "max")
 
 
 def step_metrics(**tables: DataFrame) -> DataFrame:

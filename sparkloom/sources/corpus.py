@@ -42,12 +42,23 @@ AT_LEAST_ONE = {"broad": (4, 5)}
 
 
 def read_jsonl_corpus(spark: SparkSession, path: str, max_items: int | None = None) -> DataFrame:
-    """(source, text) of a JSON-lines file: the first ``max_items`` rows are taken before cleaning
-    drops the empty ones; a missing source becomes custom-jsonl. Blank lines are no rows."""
-    df = spark.read.schema("source string, text string").json(path).where("text IS NOT NULL OR source IS NOT NULL")
+    """(source, text) of JSON-lines files: the first ``max_items`` rows, in the order of files and lines, are taken before
+    cleaning drops those without text; a missing source becomes custom-jsonl. Blank lines are no rows.
+
+    The place where the limit falls is found from the number of rows of each split; only the split that it falls into
+    is put in order."""
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("_split"), F.monotonically_increasing_id().alias("_at"))
+    lines = lines.where(F.trim("value") != "")
     if max_items is not None:
-        df = df.limit(max_items)
-    return df.select(F.coalesce("source", F.lit("custom-jsonl")).alias("source"), clean_text(F.col("text")).alias("text")).where(F.length("text") > 0)
+        splits = lines.groupBy("_split").agg(F.count("*").alias("_n"))
+        before = F.sum("_n").over(Window.orderBy("_split")) - F.col("_n")  # a row for each split
+        last = splits.withColumn("_before", before).where(F.col("_before") < max_items).agg(F.max(F.struct("_split", (F.lit(max_items) - F.col("_before")).alias("left"))).alias("_last"))
+        lines = lines.crossJoin(F.broadcast(last))  # one row
+        whole = lines.where(F.col("_split") < F.col("_last._split"))
+        cut = lines.where(F.col("_split") == F.col("_last._split")).withColumn("_nth", F.row_number().over(Window.partitionBy("_split").orderBy("_at"))).where(F.col("_nth") <= F.col("_last.left"))
+        lines = whole.select("value").unionByName(cut.select("value"))
+    rows = lines.select(F.from_json("value", "source string, text string").alias("r"))
+    return rows.select(F.coalesce("r.source", F.lit("custom-jsonl")).alias("source"), clean_text(F.col("r.text")).alias("text")).where(F.length("text") > 0)
 
 
 def read_text_table(df: DataFrame, source: str, text_field: str = "text", min_chars: int = 0, max_items: int | None = None, order_by: str | None = None) -> DataFrame:
