@@ -52,7 +52,8 @@ class RunConfig:
     rows: RowFilter = field(default_factory=RowFilter)
     features: FeatureFilter = field(default_factory=FeatureFilter)
     analysis: Analysis = field(default_factory=Analysis)
-    #: Weights (width, features), bias and threshold of the dictionary that encodes token_vectors, of the model's fixed size.
-    encoder: tuple | None = None
+    #: The dictionary that encodes token_vectors: a table as of ingest.dictionary(), or its arguments weights (width, features), bias
+    #: and threshold.
+    encoder: object | None = None
     #: Constant columns of every card.
     run_info: tuple[tuple[str, object], ...] = (("run_name", "run"), ("corpus", ""), ("activation_mode", "topk"), ("top_k", 64), ("model_name", ""), ("sae_release", ""), ("sae_id", ""), ("layer", 0), ("hook_name", ""), ("site", ""), ("width", ""), ("l0", ""))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..operators import alignment, cards, cooccurrence, coverage, filters, geometry, ingest, inspection, mixture, report, stats
-from ..sources.artifacts import Run
+from ..sources.artifacts import Run, drop, stored
 
 CORE = ("collect",)
 ATLAS = ("collect", "features", "coactivation", "geometry", "geometry-vs-coactivation", "bimodality", "inspection", "space", "cards", "report")
@@ -41,15 +41,11 @@ def step_collect(run: Run, cfg: RunConfig) -> None:
         vectors = ingest.drop_nonfinite_texts(run.table("token_vectors"))
         run.write("residual_vectors", ingest.sample_vectors(vectors, cfg.analysis.residual_stride))
         if cfg.encoder is not None:
-            positive = ingest.encode_vectors(vectors, *cfg.encoder)
-            if topk:  # encoded once: all positive scores are a table of their own, which the counts need too
-                positive = run.write("encoded_vectors", positive)
-                run.write("sae_activations_topk", ingest.sparsify_topk_rows(positive, k))
-            else:
-                positive = run.write("sae_activations_positive", positive)
-            counts = positive.groupBy("text_id", "token_pos").agg(F.count("*").alias("n_positive_features"))
-            tokens = vectors.select("text_id", "source", "token_pos", "token_str").join(counts, ["text_id", "token_pos"], "left")
-            run.write("token_activation_summary", tokens.select("text_id", "source", "token_pos", "token_str", F.coalesce("n_positive_features", F.lit(0)).cast("long").alias("n_positive_features")))
+            features = ingest.dictionary(run.spark, *cfg.encoder) if isinstance(cfg.encoder, tuple) else cfg.encoder
+            encoded = stored(ingest.encode(vectors, features, k if topk else None), "encoded")  # bests and counts of one pass
+            run.write(f"sae_activations_{'topk' if topk else 'positive'}", ingest.encoded_rows(encoded))
+            run.write("token_activation_summary", encoded.drop("activations"))
+            drop(encoded)
 
 
 def step_features(run: Run, cfg: RunConfig) -> None:

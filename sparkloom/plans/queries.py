@@ -161,6 +161,14 @@ def encoded_vectors(s, d):
     return rounded(ingest.encode_vectors(A.embedding_vectors(s, d), w, np.full(16, -0.05)), 5)
 
 
+def encoded_topk(s, d):
+    """The three best of each embedding against a wide dictionary given as a table (every embedding is a feature), and how many are positive."""
+    features = A.directions(s, d).select("feature_id", F.transform("vector", lambda x: x.cast("double")).alias("weights"), F.lit(-0.05).alias("bias"), (F.col("feature_id") % 3 / 10.0).alias("threshold"))
+    got = ingest.encode(A.embedding_vectors(s, d), features, 3)
+    rows = ingest.encoded_rows(got).join(got.select("text_id", "token_pos", "n_positive_features"), ["text_id", "token_pos"])
+    return rows.withColumn("activation", F.round("activation", 5))
+
+
 def collect_metrics(s, d):
     return ingest.collect_metrics(A.document_activations(s, d), A.tokens(s, d))
 
@@ -260,6 +268,14 @@ def card_examples(s, d):
     return got.select("feature_id", "run_name", F.posexplode(rows).alias("nth", "e")).select("feature_id", "run_name", "nth", "e.*")
 
 
+def merged_evidence(s, d):
+    """Cards whose columns a later step replaces: by a table with rows for some features, and by one without rows."""
+    base = _stats(s, d).select("feature_id", F.col("n_texts").alias("old"), F.col("n_token_activations").alias("kept"))
+    some = base.where("feature_id < 30").select("feature_id", (F.col("old") * 2).alias("old"))
+    none = base.where("feature_id < 0").select("feature_id", "kept", F.lit(1).alias("fresh"))
+    return cards.merge_replace(cards.merge_replace(base, some, "feature_id", ["old"]), none, "feature_id", ["kept", "fresh"])
+
+
 def card_lists(s, d):
     """The neighbour lists that cards hold as JSON, read back."""
     kept, pairs, neighbors, _ = _evidence(s, d)
@@ -416,6 +432,14 @@ def jsonl_round_trip(s, d):
     return corpus.read_jsonl_corpus(s, f"{path}/texts").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min(F.md5("text")).alias("first_digest"))
 
 
+def jsonl_first_rows(s, d):
+    """The first 130 lines of JSON-lines files of several splits, some of them without a text or a source."""
+    docs = A.read(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("source")).alias("source"), F.when(F.col("doc_id") % 7 != 3, F.col("text")).alias("text"))
+    path = f"{artifacts.new_path(s, 'lines')}"
+    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(F.to_json(F.struct("source", "text")).alias("value")).write.text(path)
+    return corpus.read_jsonl_corpus(s, path, 130).select("source", F.md5("text").alias("digest"))
+
+
 def text_dataset(s, d):
     docs = A.read(s, d, "documents").select("doc_id", "source", clean_text(F.col("text")).alias("text"))
     return corpus.build_text_dataset(docs, None, "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.min("text_id").alias("first_id"))
@@ -429,9 +453,9 @@ def profile(s, d):
 
 QUERIES = {f.__name__: f for f in (
     token_quality_labels, row_filter, row_filter_options, feature_stats, feature_filter, semi_and_missing, feature_lookup, text_sources, token_sources, top_examples, position_context, describe_activation, step_metrics,
-    sparsify_topk, sparsify_topk_rows, sparsify_positive, token_summary, stride_sample, finite_texts, encoded_vectors, collect_metrics,
+    sparsify_topk, sparsify_topk_rows, sparsify_positive, token_summary, stride_sample, finite_texts, encoded_vectors, encoded_topk, collect_metrics,
     coactivation, coactivation_basket, undirected_edges, pair_lookup, decoder_neighbors, geometry_vs_coactivation, graph_alignment, alignment_summary,
-    feature_inspection, inspection_report, pair_inspection, pair_report, activation_bands, feature_labels, feature_cards, feature_cards_full, card_examples, card_lists, projection_metadata,
+    feature_inspection, inspection_report, pair_inspection, pair_report, activation_bands, feature_labels, feature_cards, feature_cards_full, card_examples, merged_evidence, card_lists, projection_metadata,
     bimodality, single_component, peak_examples, pca_summary, decoder_pca, coverage_profiles, axis_profiles,
-    histogram, value_counts, table_preview, preview, scatter_points, ranked_artifacts, report_sets, clean_texts, mixed_corpus, preset_mix, jsonl_round_trip, text_dataset, profile,
+    histogram, value_counts, table_preview, preview, scatter_points, ranked_artifacts, report_sets, clean_texts, mixed_corpus, preset_mix, jsonl_round_trip, jsonl_first_rows, text_dataset, profile,
 )}

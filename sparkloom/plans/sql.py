@@ -122,6 +122,9 @@ SQL = {
     "stride_sample": f"WITH {TOKENS_SQL} SELECT text_id, token_pos, token_str FROM tok WHERE token_pos % 8 = 0",
     "finite_texts": "SELECT vec_id // 10 AS text_id, count(*) AS n FROM embeddings GROUP BY 1 HAVING min(embedding[1]) >= -0.2",
     "encoded_vectors": "SELECT vec_id // 10 AS text_id, label::VARCHAR AS source, vec_id % 10 AS token_pos, 'v' || label AS token_str, k AS feature_id, round(embedding[k + 1]::DOUBLE + embedding[k + 17]::DOUBLE - 0.05, 5) AS activation FROM embeddings, range(16) r(k) WHERE embedding[k + 1]::DOUBLE + embedding[k + 17]::DOUBLE - 0.05::DOUBLE > 0",
+    "encoded_topk": """WITH e AS (SELECT a.vec_id, a.label, b.vec_id AS f, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) - 0.05::DOUBLE AS s FROM embeddings a, embeddings b),
+        p AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, f) AS r, count(*) OVER (PARTITION BY vec_id) AS n FROM e WHERE s > 0 AND s > (f % 3) / 10.0::DOUBLE)
+        SELECT vec_id // 10 AS text_id, label::VARCHAR AS source, vec_id % 10 AS token_pos, 'v' || label AS token_str, f AS feature_id, round(s, 5) AS activation, n AS n_positive_features FROM p WHERE r <= 3""",
     "collect_metrics": f"WITH {ACTS_SQL} SELECT (SELECT count(DISTINCT text_id) FROM tok) AS n_texts, (SELECT count(*) FROM (SELECT DISTINCT text_id, token_pos FROM tok)) AS n_tokens, (SELECT count(*) FROM acts) AS n_activation_rows, (SELECT count(DISTINCT feature_id) FROM acts) AS n_features",
     "coactivation": f"{_pairs} SELECT feature_i, feature_j, coactivation_count, feature_i_count, feature_j_count, {r6(PAIRS)} FROM pairs",
     "coactivation_basket": f"{_basket} SELECT feature_i, feature_j, coactivation_count, feature_i_count, feature_j_count, {r6(PAIRS)} FROM pairs",
@@ -158,11 +161,13 @@ SQL = {
         m AS (SELECT * FROM p WHERE nth <= quota),
         f AS (SELECT 6 AS slice, doc_id, lang, text, 0 AS quota, row_number() OVER (ORDER BY doc_id) AS nth FROM c WHERE lang = 'en' AND length(text) >= 300)
         SELECT slice, nth, doc_id, 'mix-' || lang AS source, md5(text) AS digest FROM (SELECT * FROM m UNION ALL SELECT * FROM f WHERE nth <= 400 - (SELECT count(*) FROM m)) ORDER BY slice, nth LIMIT 400""",
+    "jsonl_first_rows": f"SELECT source, md5(t) AS digest FROM (SELECT CASE WHEN doc_id % 5 > 0 AND source IS NOT NULL THEN source ELSE 'custom-jsonl' END AS source, CASE WHEN doc_id % 7 <> 3 THEN {A.strip_sql('text')} END AS t FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 130)) WHERE length(t) > 0",
     "text_dataset": "SELECT source, count(*) AS n, min(text_id) AS first_id FROM (SELECT source, row_number() OVER (ORDER BY doc_id) - 1 AS text_id FROM documents UNION ALL SELECT s, (SELECT count(*) FROM documents) + i FROM (VALUES ('manual_code', 0), ('manual_science', 1), ('manual_finance', 2), ('manual_health', 3), ('manual_assistant', 4), ('manual_math', 5), ('manual_security', 6), ('manual_literature', 7)) v(s, i)) GROUP BY 1",
     "profile": " UNION ALL ".join([nulls_sql("documents", "doc_id text lang source n_chars"), nulls_sql("embeddings", "vec_id embedding label"), nulls_sql("labels", "doc_id quality toxic"), nulls_sql("pages", "page_id url html"), "SELECT 'absent', false, 0, 0, '{}'"]),
     "row_filter_options": f"""WITH {FILTERED_SQL} SELECT source, 'text_id,source,token_pos,token_str,feature_id,activation' AS columns, count(*) AS n, max(token_pos) AS last, min(activation) AS least FROM filt
         WHERE source IN ({", ".join(f"'src{i}'" for i in range(12))}) AND source NOT IN ('src3', 'src5') AND token_pos < 200 AND activation >= 2 GROUP BY source""",
     "card_examples": f"WITH {FILTERED_SQL}, {stats_sql()}, {_top.format(5)}, {context_sql('top', 'tok', 20)} SELECT feature_id, 'documents' AS run_name, rank - 1 AS nth, rank, activation, source, text_id, token_pos, left_context, center_token, right_context FROM ctx WHERE feature_id IN (SELECT feature_id FROM kept)",
+    "merged_evidence": f"WITH {FILTERED_SQL}, {stats_sql()} SELECT feature_id, CASE WHEN feature_id < 30 THEN n_texts * 2 END AS old, n_token_activations AS kept, NULL::INT AS fresh FROM stats",
     "card_lists": f"{_evidence}, {pairs_sql()}, {_nb_kept}, {_align} SELECT feature_i AS feature_id, 'decoder' AS kind, (rank - 1)::INT AS nth, feature_j AS other, round(decoder_cosine, 6) AS score FROM nb WHERE rank <= 10 UNION ALL SELECT f, 'coactivation', (rank - 1)::INT, g, round(jaccard, 6) FROM ct JOIN und USING (f, g) WHERE rank <= 10",
     "pair_report": f"""{_pairs}, {NEIGHBORS_SQL}, {_gvc}, {_top.format(10)}, {context_sql('top', 'tok', 20)}, none AS (SELECT NULL::BIGINT AS b, NULL::DOUBLE AS d, NULL::VARCHAR AS v, NULL::INT AS i),
         one AS (SELECT * FROM g WHERE (feature_i, feature_j) IN ((7, 20), (20, 7)) ORDER BY feature_i <> 7 LIMIT 1), two AS (SELECT * FROM pairs WHERE (feature_i, feature_j) IN ((7, 20), (20, 7)))
