@@ -2,26 +2,144 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import semi_filter
 
 
+#: Bits of a feature id inside its block: pairs are counted in blocks of 256 x 256 features.
+_BITS = 8
+#: Pairs that a task makes at a time, and those that it counts before it hands them on.
+_MADE, _HELD = 1 << 21, 1 << 22
+#: Tasks that first add up what is handed on of one pair of blocks.
+_SALT = 8
+
+
+def index_pairs(sizes: np.ndarray, most: int = _MADE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b), a before b, of all pairs inside the runs of a list whose lengths are ``sizes``, about ``most`` at a
+    time; a run of more pairs comes alone, row by row of them."""
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    for m in np.unique(sizes[sizes > 1]).tolist():
+        at = starts[sizes == m]
+        if m * (m - 1) // 2 <= most:
+            i, j = np.triu_indices(m, 1)
+            step = max(1, most // len(i))
+            for k in range(0, len(at), step):
+                yield (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
+        else:
+            for s in at.tolist():
+                for i in range(m - 1):
+                    yield np.full(m - 1 - i, s + i), np.arange(s + i + 1, s + m)
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their summed counts."""
+    k, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k, n = k[order], n[order]
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(k)), bool), k[1:] != k[:-1])))
+    return k[new], np.add.reduceat(n, new) if len(new) else n
+
+
+_PACKED = "block_i long, block_j long, salt int, places binary, counts binary"
+
+
+def _packed(i: np.ndarray, j: np.ndarray, n: np.ndarray, salt: int) -> pa.RecordBatch:
+    """Pair counts as a row for each pair of blocks: places in the block and counts as binaries."""
+    bi, bj = i >> _BITS, j >> _BITS
+    order = np.lexsort((j, i, bj, bi))
+    i, j, n, bi, bj = i[order], j[order], n[order], bi[order], bj[order]
+    mask = (1 << _BITS) - 1
+    place = (((i & mask) << _BITS) | (j & mask)).astype(np.int32)
+    edge = np.flatnonzero(np.concatenate(([True], (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]), [True])))
+    cut = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(edge[:-1], edge[1:])], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(bi[edge[:-1]]), pa.array(bj[edge[:-1]]), pa.array(np.full(len(edge) - 1, salt, np.int32)), cut(place), cut(n.astype(np.int64))], names=["block_i", "block_j", "salt", "places", "counts"])
+
+
+def gram(tokens: DataFrame) -> DataFrame:
+    """(feature_i, feature_j, coactivation_count) of ``tokens`` (f: sorted distinct features): on how many tokens two
+    features meet. A task counts pairs as it makes them and hands on packed counts, a row for each pair of blocks of features;
+    these are added up in arrays of one such block each, by several tasks first and then by one. So no row is made for a
+    pair of a token, and rows are bounded by the pairs of blocks and the tasks."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, int] = {}  # features by number
+        keys, counts, n = [], [], 0
+        part = TaskContext.get().partitionId() % _SALT
+
+        def out():
+            names = np.array(list(held), np.int64)
+            k, c = _added(keys, counts)
+            return _packed(names[k >> 32], names[k & 0xFFFFFFFF], c, part)
+
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            own, at = np.unique(flat, return_inverse=True)
+            number = np.fromiter((held.setdefault(x, len(held)) for x in own.tolist()), np.int64, len(own))[at]
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            for a, b in index_pairs(sizes):
+                k, c = np.unique((number[a] << 32) | number[b], return_counts=True)
+                keys.append(k)
+                counts.append(c)
+                n += len(k)
+                if n > _HELD:
+                    k, c = _added(keys, counts)
+                    keys, counts, n = [k], [c], len(k)
+                    if n > _HELD // 2:
+                        yield out()
+                        held, keys, counts, n = {}, [], [], 0
+                        number = np.fromiter((held.setdefault(x, len(held)) for x in own.tolist()), np.int64, len(own))[at]
+        if n:
+            yield out()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(block_i, block_j, salt, counts of the block) of rows that come by block and salt."""
+        key, total = None, None
+        for batch in batches:
+            for bi, bj, salt, places, counts in zip(*[c.to_pylist() for c in batch.columns[:3]], *batch.columns[3:]):
+                if key != (bi, bj, salt):
+                    if key is not None:
+                        yield *key, total
+                    key, total = (bi, bj, salt), np.zeros(1 << (2 * _BITS), np.int64)
+                total[np.frombuffer(places.as_buffer(), np.int32)] += np.frombuffer(counts.as_buffer(), np.int64)  # places of a row are distinct
+        if key is not None:
+            yield *key, total
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bi, bj, _, total in add(batches):
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([bi]), pa.array([bj]), pa.array([0], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], names=["block_i", "block_j", "salt", "places", "counts"])
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bi, bj, _, total in add(batches):
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array((bi << _BITS) + (at >> _BITS)), pa.array((bj << _BITS) + (at & ((1 << _BITS) - 1))), pa.array(total[at])], names=["feature_i", "feature_j", "coactivation_count"])
+
+    key = ["block_i", "block_j", "salt"]
+    packed = tokens.where(F.size("f") > 1).select("f").mapInArrow(make, _PACKED)
+    packed = packed.repartition(*key).sortWithinPartitions(*key).mapInArrow(some, _PACKED)
+    return packed.repartition("block_i", "block_j").sortWithinPartitions("block_i", "block_j").mapInArrow(every, "feature_i long, feature_j long, coactivation_count long")
+
+
 def same_token_pairs(acts: DataFrame, ids: DataFrame, max_pairs: int | None = 100_000, min_count: int = 1) -> DataFrame:
     """Pairs i < j of features with rows on the same token: counts, Jaccard, PMI (natural logarithm)
     and conditional shares; the first ``max_pairs`` by PMI, Jaccard, count.
 
     Only rows of ``ids`` count. Pair counts are of distinct features of a token, feature
-    counts of rows. Pairs of a token are made after the filter, from its own sorted features, and
-    summed at once where they are made; the exchange holds one row for a pair and task.
+    counts of rows. Pairs are counted by gram().
     """
-    acts = semi_filter(acts, ids).select("text_id", "token_pos", "feature_id")
+    acts = semi_filter(acts, ids).select("text_id", "token_pos", F.col("feature_id").cast("long").alias("feature_id"))
     counts = acts.groupBy("feature_id").agg(F.count("*").alias("n"))
     tokens = acts.groupBy("text_id", "token_pos").agg(F.sort_array(F.collect_set("feature_id")).alias("f"))
     total = tokens.agg(F.count("*").alias("n_tokens"))
-    pairs = tokens.where(F.size("f") > 1).select("f", F.posexplode("f").alias("at", "feature_i")).select("feature_i", F.explode(F.slice("f", F.col("at") + 2, F.size("f"))).alias("feature_j"))
-    pairs = pairs.groupBy("feature_i", "feature_j").agg(F.count("*").alias("coactivation_count"))
+    pairs = gram(tokens)
     if min_count > 1:
         pairs = pairs.where(F.col("coactivation_count") >= min_count)
     side = lambda s: counts.select(F.col("feature_id").alias(f"feature_{s}"), F.col("n").alias(f"feature_{s}_count"))

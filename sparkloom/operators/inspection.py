@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_ratio
 from ..functions.text import is_space_like, looks_like_punctuation, looks_like_quote
 from ..sources.artifacts import stored
+from .cooccurrence import index_pairs
 from .filters import semi_filter
 from .quantiles import quantiles
 from .stats import top_rows, with_context
@@ -137,18 +142,91 @@ def feature_summaries_frame(summaries: DataFrame) -> DataFrame:
     )
 
 
+#: Requested pairs up to which they are sent to all tasks (16 bytes each).
+_SENT_PAIRS = 1_000_000
+
+
+def shared_tokens(acts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each of the distinct pairs ``wanted`` (feature_i, feature_j), as a stored table (feature_i, feature_j, key, count): with
+    key null, on how many tokens both have rows; else how many of the rows of either on these tokens have the string ``key``.
+
+    Facts move once, to meet by token; a token looks up which pairs of its own features are wanted, so a row is made for
+    a shared token only, and not for each pair that a feature is in. Counts are summed where they are made. More than
+    _SENT_PAIRS pairs are looked up in lots of so many."""
+    both = wanted.select("feature_i", "feature_j", F.least("feature_i", "feature_j").cast("long").alias("_lo"), F.greatest("feature_i", "feature_j").cast("long").alias("_hi"))
+    wanted = stored(both.select(F.col("_lo").alias("feature_i"), F.col("_hi").alias("feature_j")).distinct(), "wanted")
+    n = wanted.count()
+    features = wanted.select(F.explode(F.array("feature_i", "feature_j")).alias("feature_id")).distinct()
+    rows = semi_filter(acts, features).select("text_id", "token_pos", F.col("feature_id").cast("long").alias("feature_id"), F.coalesce("token_str", F.lit("None")).alias("token_str"))
+    rows = rows.repartition("text_id", "token_pos").groupBy("text_id", "token_pos", "feature_id", "token_str").agg(F.count("*").alias("n"))
+    entries = F.array_sort(F.collect_list(F.struct("feature_id", "token_str", "n")))
+    tokens = rows.groupBy("text_id", "token_pos").agg(entries.alias("e"))
+    tokens = tokens.where(F.size("e") > 1).select("e.feature_id", "e.token_str", "e.n")
+    lots = -(-n // _SENT_PAIRS)
+    tokens = tokens if lots < 2 else stored(tokens, "tokens")
+    parts = [_lookup(tokens, wanted if lots < 2 else wanted.where(F.pmod(F.xxhash64("feature_i", "feature_j"), F.lit(lots)) == i)) for i in range(max(1, lots))]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    found = found.groupBy(F.col("feature_i").alias("_lo"), F.col("feature_j").alias("_hi"), "key").agg(F.sum("count").alias("count"))
+    return stored(both.join(found, ["_lo", "_hi"]).select("feature_i", "feature_j", "key", "count"), "shared")
+
+
+def _lookup(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
+    got = wanted.select(F.col("feature_i").cast("long"), F.col("feature_j").cast("long")).toArrow()
+    sides = [c.combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) if got.num_rows else np.empty(0, np.int64) for c in got.columns]
+    names = np.unique(np.concatenate(sides))
+    i, j = (np.searchsorted(names, s) for s in sides)
+    order = np.argsort(np.minimum(i, j) * len(names) + np.maximum(i, j), kind="stable")
+    codes = (np.minimum(i, j) * len(names) + np.maximum(i, j))[order]
+    ask = tokens.sparkSession.sparkContext.broadcast((names, codes, sides[0][order], sides[1][order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, codes, fi, fj = ask.value
+        for batch in batches:
+            if not len(batch) or not len(codes):
+                continue
+            sizes = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+            f = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            words = batch.column(1).flatten().dictionary_encode()
+            word, n = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            token = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.minimum(np.searchsorted(names, f), len(names) - 1)
+            good = names[at] == f  # features of this lot of pairs
+            hits = []
+            for a, b in index_pairs(sizes):
+                keep = good[a] & good[b] & (f[a] < f[b])
+                a, b = a[keep], b[keep]
+                code = at[a] * len(names) + at[b]
+                place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                ok = codes[place] == code
+                hits.append(np.stack([token[a[ok]], place[ok], a[ok], b[ok]], 1))
+            hit = np.concatenate(hits) if hits else np.empty((0, 4), np.int64)
+            if not len(hit):
+                continue
+            pair, shared = np.unique(np.unique(hit[:, :2], axis=0)[:, 1], return_counts=True)
+            rows = np.unique(np.concatenate([hit[:, [1, 2]], hit[:, [1, 3]]]), axis=0)  # a row of a token once a pair
+            key, where = np.unique(rows[:, 0] * len(words.dictionary) + word[rows[:, 1]], return_inverse=True)
+            counts = np.bincount(where, n[rows[:, 1]]).astype(np.int64)
+            of, w = key // len(words.dictionary), key % len(words.dictionary)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([fi[pair], fi[of]])), pa.array(np.concatenate([fj[pair], fj[of]])),
+                pa.chunked_array([pa.nulls(len(pair), pa.string()), words.dictionary.take(pa.array(w)).cast(pa.string())]).combine_chunks(), pa.array(np.concatenate([shared, counts])),
+            ], names=["feature_i", "feature_j", "key", "count"])
+
+    return tokens.mapInArrow(run, "feature_i long, feature_j long, key string, count long")
+
+
 def summarize_pairs(acts: DataFrame, pairs: DataFrame, summaries: DataFrame) -> DataFrame:
     """Every requested pair at once: on how many tokens both features have rows, the most frequent strings of these
     rows (both sides' rows count) and their concentration, artifact score (the larger of the two), suspicion,
     labels and priority; the pair's own metrics are kept if it has them."""
-    wanted = pairs.select("feature_i", "feature_j").distinct()
-    side = lambda s: acts.join(wanted, F.col("feature_id") == F.col(f"feature_{s}")).select("feature_i", "feature_j", "text_id", "token_pos", F.lit(s).alias("side"), F.coalesce("token_str", F.lit("None")).alias("token_str"))
-    at = side("i").unionByName(side("j")).groupBy("feature_i", "feature_j", "text_id", "token_pos").agg(F.min("side").alias("lo"), F.max("side").alias("hi"), F.collect_list("token_str").alias("t")).where("lo < hi")
-    shared = at.groupBy("feature_i", "feature_j").agg(F.count("*").alias("shared_activation_count_estimate"), F.sum(F.size("t")).alias("_rows"))
-    words = at.select("feature_i", "feature_j", F.explode("t").alias("key")).groupBy("feature_i", "feature_j", "key").agg(F.count("*").alias("count"))
+    words = shared_tokens(acts, pairs.select("feature_i", "feature_j").distinct())
+    shared = words.where("key IS NULL").select("feature_i", "feature_j", F.col("count").alias("shared_activation_count_estimate"))
+    words = words.where("key IS NOT NULL")
     w = Window.partitionBy("feature_i", "feature_j").orderBy(F.desc("count"), "key")
-    top = words.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 10)
-    top = top.groupBy("feature_i", "feature_j").agg(F.max("count").alias("_top"), F.transform(F.array_sort(F.collect_list(F.struct("_r", "key", "count"))), lambda s: F.struct(s["key"].alias("key"), s["count"].alias("count"))).alias("shared_top_tokens"))
+    top = words.withColumn("_all", F.sum("count").over(Window.partitionBy("feature_i", "feature_j"))).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 10)
+    top = top.groupBy("feature_i", "feature_j").agg(F.max("count").alias("_top"), F.max("_all").alias("_rows"), F.transform(F.array_sort(F.collect_list(F.struct("_r", "key", "count"))), lambda s: F.struct(s["key"].alias("key"), s["count"].alias("count"))).alias("shared_top_tokens"))
     info = lambda s: summaries.select(F.col("feature_id").alias(f"feature_{s}"), F.coalesce("artifact_score", F.lit(0.0)).alias(f"_a{s}"), F.col("inspection_labels").alias(f"_l{s}"))
     metrics = [c for c in ("jaccard", "pmi", "coactivation_count") if c in pairs.columns]
     p = pairs.select("feature_i", "feature_j", *metrics).dropDuplicates(["feature_i", "feature_j"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nan_to_null
+from ..sources.artifacts import stored
 from .quantiles import quantiles
 
 KEY = ("text_id", "token_pos")
@@ -46,12 +47,35 @@ def top_rows(acts: DataFrame, n: int, *order) -> DataFrame:
     return acts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def _around(rows: DataFrame, tokens: DataFrame, window: int) -> DataFrame:
-    """(text_id, token_pos, _left, _center, _right) of the places in ``rows``: the tokens (text_id, _i, token_str) up to
-    ``window`` before, at and after. Each place asks for its own few tokens, so no list of a whole text is built or copied."""
-    places = rows.select(*KEY).distinct()
-    asked = places.select(*KEY, F.explode(F.sequence(F.lit(-window), F.lit(window))).alias("_d")).withColumn("_i", F.col("token_pos") + F.col("_d")).where("_i >= 0")
-    near = asked.join(tokens, ["text_id", "_i"]).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("_d", "token_str"))).alias("_near"))
+#: Positions of a stretch of a text at least; only stretches near an example are looked at.
+_STRETCH = 64
+#: Stretches up to this number are sent to all tasks (some 50 bytes each), so other tokens don't move.
+_SENT = 500_000
+
+
+def _width(window: int) -> int:
+    return max(_STRETCH, 2 * window + 1)
+
+
+def _asked(places: DataFrame, window: int) -> DataFrame:
+    """The places (text_id, token_pos) with the stretches _k that their windows lie in, two at most."""
+    size = _width(window)
+    return places.select(*KEY, F.explode(F.sequence(F.floor((F.col("token_pos") - window) / size), F.floor((F.col("token_pos") + window) / size))).alias("_k"))
+
+
+def _picked(tokens: DataFrame, stretches: DataFrame) -> DataFrame:
+    """The tokens of the stored ``stretches`` (text_id, _k, ...), with their columns."""
+    sent = stretches.limit(_SENT + 1).count() <= _SENT
+    return tokens.join(F.broadcast(stretches) if sent else stretches, ["text_id", "_k"])
+
+
+def _around(places: DataFrame, tokens: DataFrame, window: int) -> DataFrame:
+    """(text_id, token_pos, _left, _center, _right) of the places: the tokens (text_id, _i, token_str) up to ``window`` before, at and
+    after. Places and tokens meet by stretch of _i, a place in the one or two that its window touches, so no list of
+    a whole text is built and no row is made for a token that isn't near."""
+    near = tokens.withColumn("_k", F.floor(F.col("_i") / _width(window))).join(_asked(places, window), ["text_id", "_k"])
+    near = near.withColumn("_d", F.col("_i") - F.col("token_pos")).where(F.abs("_d") <= window)
+    near = near.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("_d", "token_str"))).alias("_near"))
     words = lambda test: F.transform(F.filter("_near", test), lambda t: t["token_str"])
     return near.select(
         *KEY, F.array_join(words(lambda t: t["_d"] < 0), "").alias("_left"), F.get(words(lambda t: t["_d"] == 0), F.lit(0)).alias("_center"), F.array_join(words(lambda t: t["_d"] > 0), "").alias("_right"))
@@ -59,10 +83,22 @@ def _around(rows: DataFrame, tokens: DataFrame, window: int) -> DataFrame:
 
 def with_context(rows: DataFrame, meta: DataFrame, window: int) -> DataFrame:
     """Adds left_context, center_token and right_context by the token's place among its text's tokens in their order. A
-    row of an unknown text keeps its own token and empty context."""
-    some = meta.join(rows.select("text_id").distinct(), "text_id", "left_semi")
-    placed = some.select("text_id", (F.row_number().over(Window.partitionBy("text_id").orderBy("token_pos", "token_str")) - 1).cast("long").alias("_i"), "token_str")
-    j = rows.join(_around(rows, placed, window), list(KEY), "left")
+    row of an unknown text keeps its own token and empty context.
+
+    Tokens are counted by stretches of positions; running sums over a text's stretches tell at which place each begins. Only the
+    stretches that hold a place near a row are ordered, each for itself."""
+    rows = stored(rows, "examples")
+    places = rows.select(*KEY).distinct()
+    size = _width(window)
+    tokens = meta.select("text_id", "token_pos", "token_str", F.floor(F.col("token_pos") / size).alias("_k"))
+    counts = tokens.groupBy("text_id", "_k").agg(F.count("*").alias("_n"))
+    starts = counts.withColumn("_start", F.sum("_n").over(Window.partitionBy("text_id").orderBy("_k")) - F.col("_n"))  # a row for each stretch
+    reach = F.explode(F.sequence(F.floor(F.col("_start") / size), F.floor((F.col("_start") + F.col("_n") - 1) / size))).alias("_at")
+    wanted = _asked(places, window).select("text_id", F.col("_k").alias("_at")).distinct()
+    needed = stored(starts.select("text_id", "_k", "_start", reach).join(wanted, ["text_id", "_at"]).select("text_id", "_k", "_start").distinct(), "stretches")
+    nth = F.row_number().over(Window.partitionBy("text_id", "_k").orderBy("token_pos", "token_str"))
+    placed = _picked(tokens, needed).select("text_id", (F.col("_start") + nth - 1).alias("_i"), "token_str")
+    j = rows.join(_around(places, placed, window), list(KEY), "left")
     return j.withColumns({
         "left_context": F.coalesce("_left", F.lit("")), "center_token": F.coalesce("_center", "token_str"), "right_context": F.coalesce("_right", F.lit("")),
     }).drop("_left", "_center", "_right")
@@ -79,9 +115,11 @@ def top_examples(acts: DataFrame, meta: DataFrame, top_n: int = 20, window: int
 
 def context_by_position(rows: DataFrame, meta: DataFrame, window: int = 20) -> DataFrame:
     """Context by the value of token_pos; rows of unknown texts go, a missing centre is empty."""
-    texts = meta.select("text_id").distinct()
-    tokens = meta.select("text_id", F.col("token_pos").alias("_i"), "token_str")
-    j = rows.join(texts, "text_id", "left_semi").join(_around(rows, tokens, window), list(KEY), "left")
+    rows = stored(rows.join(meta.select("text_id").distinct(), "text_id", "left_semi"), "examples")
+    places = rows.select(*KEY).distinct()
+    needed = stored(_asked(places, window).select("text_id", "_k").distinct(), "stretches")
+    tokens = meta.select("text_id", F.col("token_pos").alias("_i"), "token_str", F.floor(F.col("token_pos") / _width(window)).alias("_k"))
+    j = rows.join(_around(places, _picked(tokens, needed).drop("_k"), window), list(KEY), "left")
     return j.withColumns({"left_context": F.coalesce("_left", F.lit("")), "center_token": F.coalesce("_center", F.lit("")), "right_context": F.coalesce("_right", F.lit(""))}).drop("_left", "_center", "_right")
 
 
