@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FeatureFilter, RowFilter
+from ..operators import mixture
 from ..operators.ingest import explode_tokens, sparsify_positive, sparsify_topk
 
 #: Only finite activations, position 0 excluded: keeps artifact tokens for the inspection.
@@ -132,3 +133,65 @@ NEIGHBORS_SQL = """nb AS (SELECT * FROM (
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 20)"""
 EMB_SQL = """ev0 AS (SELECT vec_id // 10 AS text_id, label::VARCHAR AS source, vec_id % 10 AS token_pos, 'v' || label AS token_str, unnest(embedding)::DOUBLE AS activation, (generate_subscripts(embedding, 1) - 1)::BIGINT AS feature_id FROM embeddings),
 pos AS (SELECT * FROM ev0 WHERE activation > 0)"""
+
+
+def _density_sql(k: int) -> str:
+    return f"(ln(w{k}) - 0.5::DOUBLE * (ln(2 * pi()) + ln(v{k}) + (x - m{k}) * (x - m{k}) / v{k}))"
+
+
+_A, _B = _density_sql(0), _density_sql(1)
+_LL = f"(greatest({_A}, {_B}) + ln(exp({_A} - greatest({_A}, {_B})) + exp({_B} - greatest({_A}, {_B}))))"
+
+
+def _maximised_sql(r: str) -> str:
+    """Weight, mean and variance of both sides from the points' shares ``r`` of the second, as aggregates."""
+    out = []
+    for k, share in ((0, f"(1 - {r})"), (1, r)):
+        n, s, q = f"greatest(sum(n * {share}), 1e-12::DOUBLE)", f"sum(n * {share} * x)", f"sum(n * {share} * x * x)"
+        out.append(f"greatest(sum(n * {share}) / sum(n), 1e-12::DOUBLE) AS w{k}, {s} / {n} AS m{k}, greatest(0::DOUBLE, {q} / {n} - ({s} / {n}) * ({s} / {n})) + {mixture.FLOOR!r}::DOUBLE AS v{k}")
+    return ", ".join(out)
+
+
+#: The mixtures of the positive embedding components, by expectation and maximisation as a recursive query (needs WITH RECURSIVE).
+MIXTURE_SQL = EMB_SQL + f""",
+pt AS (SELECT feature_id, ln(1 + activation) AS x, count(*)::DOUBLE AS n FROM pos WHERE feature_id IN (SELECT feature_id FROM pos GROUP BY 1 HAVING count(*) >= 100) GROUP BY 1, 2),
+cuts AS (SELECT feature_id, 0 AS i, sum(x * n) / sum(n) AS cut FROM pt GROUP BY 1
+  UNION ALL SELECT feature_id, i + 1, (coalesce(sum(x * n) FILTER (x < cut) / sum(n) FILTER (x < cut), any_value(cut)) + coalesce(sum(x * n) FILTER (x >= cut) / sum(n) FILTER (x >= cut), any_value(cut))) / 2
+    FROM cuts JOIN pt USING (feature_id) WHERE i < 5 GROUP BY feature_id, i),
+em AS (SELECT feature_id, 0 AS i, w0, m0, v0, w1, m1, v1, sum(n * {_LL}) / sum(n) AS mean, false AS done
+    FROM (SELECT feature_id, {_maximised_sql("(x >= cut)::INT")} FROM pt JOIN cuts USING (feature_id) WHERE i = 5 GROUP BY feature_id) JOIN pt USING (feature_id) GROUP BY feature_id, w0, m0, v0, w1, m1, v1
+  UNION ALL SELECT feature_id, i, w0, m0, v0, w1, m1, v1, sum(n * {_LL}) / sum(n), sum(n * {_LL}) / sum(n) - last < {mixture.GAIN!r}::DOUBLE
+    FROM (SELECT feature_id, i + 1 AS i, mean AS last, {_maximised_sql(f"exp({_B} - {_LL})")} FROM em JOIN pt USING (feature_id) WHERE NOT done AND i < {mixture.ROUNDS} GROUP BY feature_id, i, mean) JOIN pt USING (feature_id)
+    GROUP BY feature_id, i, last, w0, m0, v0, w1, m1, v1),
+two AS (SELECT * FROM em QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY i DESC) = 1),
+one AS (SELECT feature_id, count(*) AS n_points, avg(ln(1 + activation)) AS m, avg(ln(1 + activation) ** 2) AS q, min(activation) AS activation_min, quantile_cont(activation, 0.5) AS activation_p50, quantile_cont(activation, 0.95) AS activation_p95, max(activation) AS activation_max FROM pos GROUP BY 1),
+bim AS (SELECT feature_id, n_points, bic_1, bic_2, bic_1 - bic_2 AS bimodality_score, least(m0, m1) AS log_mean_low, greatest(m0, m1) AS log_mean_high, activation_min, activation_p50, activation_p95, activation_max FROM (
+    SELECT *, n_points * (ln(2 * pi()) + ln(v) + (v - {mixture.FLOOR!r}::DOUBLE) / v) + 2 * ln(n_points) AS bic_1, -2 * n_points * mean + 5 * ln(n_points) AS bic_2 FROM (SELECT *, greatest(0::DOUBLE, q - m * m) + {mixture.FLOOR!r}::DOUBLE AS v FROM one JOIN two USING (feature_id)))),
+lead AS (SELECT feature_id, bimodality_score FROM bim ORDER BY bimodality_score DESC, feature_id LIMIT 50),
+pk0 AS (SELECT feature_id, bimodality_score, activation, ln(1 + activation) AS x, text_id, token_pos, source, CASE WHEN CASE WHEN m0 <= m1 THEN {_A} >= {_B} ELSE {_B} >= {_A} END THEN 'low' ELSE 'high' END AS peak_label, least(m0, m1) AS peak_log_mean_low, greatest(m0, m1) AS peak_log_mean_high
+    FROM (SELECT feature_id, bimodality_score, activation, ln(1 + activation) AS x, text_id, token_pos, source, w0, m0, v0, w1, m1, v1 FROM pos JOIN lead USING (feature_id) JOIN two USING (feature_id))),
+pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature_id, peak_label ORDER BY activation DESC, text_id, token_pos) AS r FROM pk0) WHERE r <= 8)"""
+
+_SQUARINGS = 22
+
+
+def pca_sql(vectors: str, n: int, name: str) -> str:
+    """CTEs: the first ``n`` principal components of a table (v DOUBLE[]) as name(k, pc, ratio), name_mean(m). The covariance is squared again and
+    again, which leaves its first component; that is taken off and the next one follows (needs WITH RECURSIVE)."""
+    dot = "list_dot_product"
+    return f"""{name}_l AS (SELECT row_number() OVER () AS r, v, len(v) AS d FROM {vectors}),
+{name}_e AS (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM {name}_l),
+{name}_c AS (SELECT i, list(x - mu ORDER BY r) AS col, any_value(mu) AS mu FROM {name}_e JOIN (SELECT i, avg(x) AS mu FROM {name}_e GROUP BY i) USING (i) GROUP BY i),
+{name}_mean AS (SELECT list(mu ORDER BY i) AS m FROM {name}_c),
+{name}_cov AS (SELECT a.i, list({dot}(a.col, b.col) / (len(a.col) - 1) ORDER BY b.i) AS row FROM {name}_c a, {name}_c b GROUP BY a.i),
+{name}_tr AS (SELECT sum(row[i]) AS total FROM {name}_cov),
+{name}_it AS (SELECT 0 AS k, 0 AS s, i, row AS a, row AS m, NULL::DOUBLE[] AS pc, NULL::DOUBLE AS ev FROM {name}_cov
+  UNION ALL
+  SELECT CASE WHEN s = {_SQUARINGS} THEN k + 1 ELSE k END, CASE WHEN s = {_SQUARINGS} THEN 0 ELSE s + 1 END, i,
+    CASE WHEN s = {_SQUARINGS} THEN list_transform(range(1, len(a) + 1), lambda j: a[j] - lam * v[i] * v[j]) ELSE a END,
+    CASE WHEN s = {_SQUARINGS} THEN list_transform(range(1, len(a) + 1), lambda j: (a[j] - lam * v[i] * v[j]) / tr) ELSE list_transform(sq, lambda x: x / tr2) END,
+    CASE WHEN s = {_SQUARINGS} THEN v END, CASE WHEN s = {_SQUARINGS} THEN lam END
+  FROM (SELECT *, sum(a[i]) OVER () AS tr, sum(sq[i]) OVER () AS tr2, sum(v[i] * {dot}(a, v)) OVER () AS lam FROM (
+    SELECT x.k, x.s, x.i, x.a, list({dot}(x.m, y.m) ORDER BY y.i) AS sq, any_value(x.m) AS m0, any_value(w.v) AS v
+    FROM {name}_it x JOIN {name}_it y ON x.k = y.k AND x.s = y.s, (SELECT list_transform(m, lambda z: z / sqrt({dot}(m, m))) AS v FROM {name}_it ORDER BY m[i] DESC, i LIMIT 1) w WHERE x.k < {n} GROUP BY x.k, x.s, x.i, x.a))),
+{name} AS (SELECT k, list_transform(pc, lambda z: z * sign(list_aggregate(pc, 'max') + list_aggregate(pc, 'min'))) AS pc, ev / total AS ratio FROM (SELECT DISTINCT k, pc, ev FROM {name}_it WHERE pc IS NOT NULL), {name}_tr)"""

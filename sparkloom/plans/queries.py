@@ -13,6 +13,7 @@ from ..functions.text import attach_token_quality, clean_text
 from ..operators import alignment, cards, cooccurrence, coverage, filters, geometry, ingest, inspection, labels, mixture, report, stats
 from ..sources import artifacts, corpus
 from . import adapters as A
+from . import pipeline
 
 
 def rounded(df: DataFrame, n: int = 6) -> DataFrame:
@@ -304,6 +305,39 @@ def feature_cards_full(s, d):
         coverage.decoder_pca(filters.semi_filter(A.directions(s, d), kept))[1], None, coverage.coverage_profiles(A.directions(s, d), A.directions(s, d), ids=kept), alignment.graph_alignment(neighbors, pairs, kept))
 
 
+def card_evidence(s, d):
+    """What the full cards hold of mixtures, components, coverage and alignment."""
+    cols = ["n_points", "bimodality_score", "log_mean_low", "log_mean_high", "decoder_pc1", "decoder_pc2", "pc_mass_observed", "effective_pc_dim", "coverage_bucket", "n_geometry_neighbors", "n_coactivation_neighbors", "gca_at_10", "graph_alignment_bucket"]
+    return rounded(feature_cards_full(s, d).select("feature_id", *cols), 4)
+
+
+def inspection_rows(s, d):
+    """The rows of the inspection report, features and pairs, with some of their fields."""
+    _, acts = _facts(s, d, A.LOOSE)
+    look = inspection.summarize_features(acts)
+    pairs = artifacts.stored(cooccurrence.same_token_pairs(acts, acts.select("feature_id"), max_pairs=None), "pairs")
+    got = inspection.inspection_payload(look, inspection.summarize_pairs(acts, pairs, look), run_name="documents")
+    return rounded(got.select("run_name", "kind", F.coalesce("feature.feature_id", "pair.feature_i").alias("feature_i"), "pair.feature_j", F.coalesce("feature.n_activations", "pair.shared_activation_count_estimate").alias("n"), F.coalesce("feature.artifact_score", "pair.pair_artifact_score").alias("score")))
+
+
+def _run(s, d):
+    """A run over documents and embeddings: tables written and read back by several steps."""
+    run = artifacts.Run(s, artifacts.new_path(s, "run"))
+    t = run.write("token_metadata", A.tokens(s, d))
+    run.write("sae_activations_topk", A.document_activations(s, d, t))
+    artifacts.write_vectors(artifacts.read_directions(s, run.at("none"), f"{d}/embeddings.parquet").select(F.col("vec_id").alias("feature_id"), F.col("embedding").alias("vector")), run.at("directions"))
+    return pipeline.run_pipeline(run, ("features", "coactivation", "geometry", "geometry-vs-coactivation", "alignment", "cards"))
+
+
+def run_metrics(s, d):
+    """Rows and features of every table that the steps of a run wrote."""
+    return _run(s, d).table("metrics")
+
+
+def run_cards(s, d):
+    return rounded(_run(s, d).feature_cards().select("feature_id", "run_name", "n_token_activations", "n_texts", "max_decoder_cosine", "max_coactivation_jaccard", "gca_at_10", "graph_alignment_bucket"))
+
+
 def pair_report(s, d):
     t, acts = _facts(s, d)
     pairs = _pairs(s, d)
@@ -321,7 +355,15 @@ def projection_metadata(s, d):
 
 
 def bimodality(s, d):
-    return mixture.bimodality_candidates(A.embedding_positive(s, d))
+    return rounded(mixture.bimodality_candidates(A.embedding_positive(s, d)), 4)
+
+
+def bimodal_set(s, d):
+    """The report's set of bimodal features by their scores."""
+    found = mixture.bimodality_candidates(A.embedding_positive(s, d))
+    look = found.select("feature_id", F.lit(0.0).alias("artifact_score"), F.lit(0.0).alias("semantic_score"), F.lit("").alias("inspection_labels"))
+    pairs = found.select(F.col("feature_id").alias("feature_i"), F.col("feature_id").alias("feature_j"), F.lit(0.0).alias("pair_suspicion_score"))
+    return rounded(report.ranked_report_sets(look, pairs, found)["bimodal"].select("feature_id", "bimodality_score", "log_mean_low", "log_mean_high"), 4)
 
 
 def single_component(s, d):
@@ -332,19 +374,23 @@ def single_component(s, d):
 
 def peak_examples(s, d):
     acts = A.embedding_positive(s, d)
-    return mixture.peak_examples(acts, A.embedding_vectors(s, d), mixture.bimodality_candidates(acts))
+    return rounded(mixture.peak_examples(acts, A.embedding_vectors(s, d), mixture.bimodality_candidates(acts)), 4)
 
 
 def pca_summary(s, d):
-    return coverage.pca_summary(A.directions(s, d))
+    return rounded(coverage.pca_summary(A.directions(s, d)))
+
+
+def variance_bars(s, d):
+    return rounded(report.variance_bars(coverage.decoder_pca(A.directions(s, d), n=5)[0]))
 
 
 def decoder_pca(s, d):
-    return coverage.decoder_pca(A.directions(s, d))[1]
+    return rounded(coverage.decoder_pca(A.directions(s, d))[1], 5)
 
 
 def coverage_profiles(s, d):
-    return coverage.coverage_profiles(A.directions(s, d), A.directions(s, d))
+    return rounded(coverage.coverage_profiles(A.directions(s, d), A.directions(s, d)), 5)
 
 
 def axis_profiles(s, d):
@@ -455,7 +501,7 @@ QUERIES = {f.__name__: f for f in (
     token_quality_labels, row_filter, row_filter_options, feature_stats, feature_filter, semi_and_missing, feature_lookup, text_sources, token_sources, top_examples, position_context, describe_activation, step_metrics,
     sparsify_topk, sparsify_topk_rows, sparsify_positive, token_summary, stride_sample, finite_texts, encoded_vectors, encoded_topk, collect_metrics,
     coactivation, coactivation_basket, undirected_edges, pair_lookup, decoder_neighbors, geometry_vs_coactivation, graph_alignment, alignment_summary,
-    feature_inspection, inspection_report, pair_inspection, pair_report, activation_bands, feature_labels, feature_cards, feature_cards_full, card_examples, merged_evidence, card_lists, projection_metadata,
-    bimodality, single_component, peak_examples, pca_summary, decoder_pca, coverage_profiles, axis_profiles,
+    feature_inspection, inspection_report, pair_inspection, pair_report, activation_bands, feature_labels, feature_cards, feature_cards_full, card_evidence, inspection_rows, run_metrics, run_cards, card_examples, merged_evidence, card_lists, projection_metadata,
+    bimodality, bimodal_set, single_component, peak_examples, pca_summary, variance_bars, decoder_pca, coverage_profiles, axis_profiles,
     histogram, value_counts, table_preview, preview, scatter_points, ranked_artifacts, report_sets, clean_texts, mixed_corpus, preset_mix, jsonl_round_trip, jsonl_first_rows, text_dataset, profile,
 )}

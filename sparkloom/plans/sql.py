@@ -98,6 +98,27 @@ tot AS (SELECT count(DISTINCT text_id)::DOUBLE AS n FROM basket),
 kept AS (SELECT feature_id FROM basket, tot GROUP BY 1 HAVING count(*) >= 20 AND count(DISTINCT text_id) >= 10 AND count(*) / any_value(n) <= 0.2), """ + pairs_sql("basket")
 _nb_kept = NEIGHBORS_SQL.replace("ON a.vec_id <> b.vec_id)", "ON a.vec_id <> b.vec_id WHERE a.vec_id IN (SELECT feature_id FROM kept))")
 
+#: Coverage of unit directions u(feature_id, e) by the components pca(k, pc, ratio), 20 of them.
+COVERED = """mk AS (SELECT feature_id, list(list_dot_product(e, pc) ** 2 ORDER BY k) AS m FROM u, pca GROUP BY feature_id), ob AS (SELECT *, list_sum(m) AS observed FROM mk),
+pr AS (SELECT *, list_transform(m, lambda x: x / greatest(observed, 1e-8::DOUBLE)) AS p FROM ob),
+cv AS (SELECT feature_id, observed AS pc_mass_observed, observed AS pc_observed_mass, greatest(0::DOUBLE, 1 - observed) AS pc_mass_unobserved_tail, greatest(0::DOUBLE, 1 - observed) AS pc_unobserved_mass, 1 / list_sum(list_transform(p, lambda x: x * x)) AS effective_pc_dim,
+  list_sum(list_transform(list_filter(p, lambda x: x > 0), lambda x: -x * ln(x))) AS pc_entropy, list_sum(list_transform(p, lambda x, i: x * i)) AS pc_center_of_mass, m[1] AS pc_mass_top_1, p[1] AS pc_norm_mass_top_1, list_sum(m[1:5]) AS pc_mass_top_5, list_sum(p[1:5]) AS pc_norm_mass_top_5, list_sum(m) AS pc_mass_top_20, list_sum(p) AS pc_norm_mass_top_20 FROM pr),
+covered AS (SELECT *, CASE WHEN pc_mass_observed < 0.05 THEN 'mostly_outside_observed_pca' WHEN pc_norm_mass_top_1 >= 0.5 THEN 'single_head_pc_aligned' WHEN pc_norm_mass_top_5 >= 0.65 AND effective_pc_dim <= 6 THEN 'compact_high_variance_aligned' WHEN pc_center_of_mass <= 5 THEN 'broad_high_variance_aligned'
+  WHEN pc_center_of_mass >= 13 THEN 'mid_tail_variance_aligned' WHEN effective_pc_dim >= 10 THEN 'distributed_across_components' ELSE 'mid_variance_aligned' END AS coverage_bucket FROM cv)"""
+UNIT = "u AS (SELECT vec_id AS feature_id, list_transform(embedding::DOUBLE[], lambda x: x / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-8::DOUBLE)) AS e FROM embeddings)"
+RAW = "raw AS (SELECT embedding::DOUBLE[] AS v FROM embeddings)"
+
+
+def projected(rows: str, name: str) -> str:
+    """A CTE with the first two coordinates of unit vectors, centred."""
+    at = ", ".join(f"list_dot_product(e, (SELECT pc FROM {name} WHERE k = {k})) - list_dot_product(m, (SELECT pc FROM {name} WHERE k = {k})) AS decoder_pc{k}" for k in (1, 2))
+    return f"xy AS (SELECT feature_id, {at} FROM {rows}, {name}_mean)"
+
+
+_peaks = ", ".join(f"round({c}, 4) AS {c}" for c in ("activation", "log_activation", "bimodality_score", "peak_log_mean_low", "peak_log_mean_high"))
+_around = lambda test: f"coalesce((SELECT string_agg(token_str, '' ORDER BY m.token_pos) FROM mt m WHERE m.text_id = pk.text_id AND {test}), '')"
+_run = f"{_pairs}, {_nb_kept}, ids AS (SELECT feature_id FROM kept), {ALIGN}"
+
 SQL = {
     "token_quality_labels": f"WITH {TOKENS_SQL} SELECT token_str, n, {A.QUALITY_SQL} AS token_quality_label, ({A.QUALITY_SQL}) <> 'clean' AS token_quality_is_artifact FROM (SELECT token_str, count(*) AS n, {A.surface_sql('token_str')} AS sf FROM tok GROUP BY token_str)",
     "row_filter": f"WITH {FILTERED_SQL} SELECT source, feature_id, count(*) AS n, round(sum(activation), 4) AS total FROM filt GROUP BY 1, 2",
@@ -177,6 +198,29 @@ SQL = {
     "single_component": f"""WITH {EMB_SQL}, s AS (SELECT feature_id, count(*) AS n_points, avg(ln(1 + activation)) AS m, avg(ln(1 + activation) ** 2) AS q, min(activation) AS activation_min, quantile_cont(activation, 0.5) AS activation_p50, quantile_cont(activation, 0.95) AS activation_p95, max(activation) AS activation_max FROM pos GROUP BY 1),
         v AS (SELECT *, greatest(0::DOUBLE, q - m * m) + {mixture.FLOOR!r}::DOUBLE AS v FROM s WHERE n_points >= 100)
         SELECT feature_id, n_points, round(n_points * (ln(2 * pi()) + ln(v) + (v - {mixture.FLOOR!r}::DOUBLE) / v) + 2 * ln(n_points), 4) AS bic_1, {", ".join(f"round({c}, 4) AS {c}" for c in ("activation_min", "activation_p50", "activation_p95", "activation_max"))} FROM v""",
+    "bimodality": f"WITH RECURSIVE {A.MIXTURE_SQL} SELECT feature_id, n_points, {', '.join(f'round({c}, 4) AS {c}' for c in ('bic_1', 'bic_2', 'bimodality_score', 'log_mean_low', 'log_mean_high', 'activation_min', 'activation_p50', 'activation_p95', 'activation_max'))} FROM bim",
+    "bimodal_set": f"WITH RECURSIVE {A.MIXTURE_SQL} SELECT feature_id, round(bimodality_score, 4) AS bimodality_score, round(log_mean_low, 4) AS log_mean_low, round(log_mean_high, 4) AS log_mean_high FROM bim ORDER BY bim.bimodality_score DESC, feature_id LIMIT 30",
+    "peak_examples": f"""WITH RECURSIVE {A.MIXTURE_SQL}, mt AS (SELECT DISTINCT text_id, token_pos, token_str FROM ev0)
+        SELECT feature_id, peak_label, text_id, token_pos, source, {_around("m.token_pos >= pk.token_pos - 20 AND m.token_pos < pk.token_pos")} AS left_context, {_around("m.token_pos = pk.token_pos")} AS center_token, {_around("m.token_pos > pk.token_pos AND m.token_pos <= pk.token_pos + 20")} AS right_context, {_peaks}
+        FROM (SELECT *, x AS log_activation FROM pk) pk""",
+    "pca_summary": f"WITH RECURSIVE {RAW}, {A.pca_sql('raw', 20, 'pca')} SELECT k AS component, round(ratio, 6) AS explained_variance_ratio, round(sum(ratio) OVER (ORDER BY k), 6) AS cumulative_explained_variance_ratio FROM pca",
+    "variance_bars": f"WITH RECURSIVE {UNIT}, uv AS (SELECT e AS v FROM u), {A.pca_sql('uv', 5, 'pca')} SELECT k AS component, round(ratio, 6) AS explained_variance_ratio FROM pca",
+    "decoder_pca": f"WITH RECURSIVE {UNIT}, uv AS (SELECT e AS v FROM u), {A.pca_sql('uv', 2, 'pca')}, {projected('u', 'pca')} SELECT feature_id, round(decoder_pc1, 5) AS decoder_pc1, round(decoder_pc2, 5) AS decoder_pc2 FROM xy",
+    "coverage_profiles": f"""WITH RECURSIVE {UNIT}, {RAW}, {A.pca_sql('raw', 20, 'pca')}, {COVERED}, ex AS (SELECT sum(ratio) FILTER (k <= 1) AS a, sum(ratio) FILTER (k <= 5) AS b, sum(ratio) AS c FROM pca)
+        SELECT feature_id, 20::BIGINT AS pc_components_observed, round(a, 5) AS pc_explained_variance_top_1, round(b, 5) AS pc_explained_variance_top_5, round(c, 5) AS pc_explained_variance_observed, {r6(PROFILE).replace(', 6)', ', 5)')}, coverage_bucket FROM covered, ex""",
+    "card_evidence": f"""WITH RECURSIVE {A.MIXTURE_SQL}, top8 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text_id, token_pos ORDER BY activation DESC, feature_id) AS r8 FROM ev0) WHERE r8 <= 8 AND activation > 0),
+        {stats_sql('top8', 'ev0')}, {pairs_sql('top8')}, {_nb_kept}, ids AS (SELECT feature_id FROM kept), {ALIGN}, {UNIT}, uk AS (SELECT * FROM u WHERE feature_id IN (SELECT feature_id FROM kept)), uv AS (SELECT e AS v FROM uk), {A.pca_sql('uv', 2, 'two_pc')}, {projected('uk', 'two_pc')}, {RAW}, {A.pca_sql('raw', 20, 'pca')}, {COVERED}
+        SELECT feature_id, n_points, round(bimodality_score, 4) AS bimodality_score, round(log_mean_low, 4) AS log_mean_low, round(log_mean_high, 4) AS log_mean_high, round(decoder_pc1, 4) AS decoder_pc1, round(decoder_pc2, 4) AS decoder_pc2, round(pc_mass_observed, 4) AS pc_mass_observed, round(effective_pc_dim, 4) AS effective_pc_dim, coverage_bucket,
+          n_geometry_neighbors, n_coactivation_neighbors, round(gca_at_10, 4) AS gca_at_10, graph_alignment_bucket FROM kept LEFT JOIN bim USING (feature_id) LEFT JOIN xy USING (feature_id) LEFT JOIN covered USING (feature_id) LEFT JOIN aligned USING (feature_id)""",
+    "inspection_rows": f"""{_loose_pairs}, {INSPECT}, {PAIRED} SELECT 'documents' AS run_name, 'feature' AS kind, feature_id AS feature_i, NULL::BIGINT AS feature_j, n_activations_inspected AS n, round(artifact_score, 6) AS score FROM looks
+        UNION ALL SELECT 'documents', 'pair', feature_i, feature_j, shared, round(pair_artifact_score, 6) FROM pr""",
+    "run_metrics": f"""{_run}, met(step, "table", n_rows, n_features) AS (
+        SELECT 'features', 'filtered_activations', count(*), count(DISTINCT feature_id) FROM filt UNION ALL SELECT 'features', 'feature_stats', count(*), count(*) FROM stats UNION ALL SELECT 'features', 'filtered_features', count(*), count(*) FROM kept
+        UNION ALL SELECT 'features', 'top_feature_examples', sum(least(20, n_token_activations))::BIGINT, count(*) FROM stats UNION ALL SELECT 'features', 'feature_cards', count(*), count(*) FROM kept UNION ALL SELECT 'coactivation', 'coactivation_pairs', count(*), NULL FROM pairs
+        UNION ALL SELECT 'geometry', 'decoder_neighbors', count(*), NULL FROM nb UNION ALL SELECT 'geometry-vs-coactivation', 'geometry_vs_coactivation', count(*), NULL FROM nb UNION ALL SELECT 'alignment', 'feature_graph_alignment', count(*), count(*) FROM aligned
+        UNION ALL SELECT 'alignment', 'graph_alignment_summary', 3 + count(DISTINCT graph_alignment_bucket), NULL FROM aligned UNION ALL SELECT 'cards', 'feature_cards', count(*), count(*) FROM kept) SELECT * FROM met""",
+    "run_cards": f"""{_run}, best AS (SELECT f AS feature_id, max(jaccard) AS max_coactivation_jaccard FROM und GROUP BY 1), near AS (SELECT feature_i AS feature_id, max(decoder_cosine) AS max_decoder_cosine FROM nb GROUP BY 1)
+        SELECT feature_id, 'run' AS run_name, n_token_activations, n_texts, {r6('max_decoder_cosine, max_coactivation_jaccard, gca_at_10')}, graph_alignment_bucket FROM kept LEFT JOIN best USING (feature_id) LEFT JOIN near USING (feature_id) LEFT JOIN aligned USING (feature_id)""",
     "axis_profiles": f"""WITH u AS (SELECT vec_id AS feature_id, embedding::DOUBLE[] AS e, greatest(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 1e-8::DOUBLE) AS z FROM embeddings),
         m AS (SELECT feature_id, list_transform(e[1:20], lambda x: (x / z) * (x / z)) AS m FROM u), o AS (SELECT *, list_sum(m) AS observed FROM m), p AS (SELECT *, list_transform(m, lambda x: x / greatest(observed, 1e-8::DOUBLE)) AS p FROM o),
         c AS (SELECT feature_id, observed AS pc_mass_observed, observed AS pc_observed_mass, greatest(0::DOUBLE, 1 - observed) AS pc_mass_unobserved_tail, greatest(0::DOUBLE, 1 - observed) AS pc_unobserved_mass, 1 / list_sum(list_transform(p, lambda x: x * x)) AS effective_pc_dim,
