@@ -147,7 +147,9 @@ STEPS = {name: globals()["step_" + name.replace("-", "_")] for name in RESEARCH}
 def run_pipeline(run: Run, steps: str | tuple[str, ...] = "atlas", cfg: RunConfig = RunConfig()) -> Run:
     """Runs a preset, or the given steps in their order. The run's folder must hold token_metadata and activations, or
     what the collect step makes them of, and, for the geometric steps, directions and residual_vectors. The
-    rows and features of every table that a step wrote go to the run's table metrics."""
+    rows and features of every table that a step wrote go to the run's table metrics. Facts and tokens lie in buckets of
+    texts, evidence in buckets of features; where spark.sql.requireAllClusterKeysForCoPartition is off, joins by text and
+    position use the former too."""
     metrics = None
     for name in PRESETS.get(steps, ()) if isinstance(steps, str) else steps:
         if name not in STEPS:

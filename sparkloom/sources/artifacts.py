@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -28,19 +29,36 @@ SCHEMAS = {
 SCHEMAS["filtered_features"] = SCHEMAS["feature_stats"]
 
 
+#: Artifacts that runs join again and again, and the column that they are dealt by: facts and tokens by text, evidence by feature.
+BUCKETS = {"filtered_activations": "text_id", "token_metadata": "text_id"} | {
+    name: "feature_id" for name in ("feature_stats", "filtered_features", "feature_cards", "bimodal_feature_candidates", "inspection_feature_summaries", "decoder_feature_pca", "feature_coverage_profiles", "feature_graph_alignment")}
+_NOTE = "_buckets"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def write_table(df: DataFrame, path: str) -> None:
+def write_table(df: DataFrame, path: str, by: str | None = None, buckets: int | None = None) -> None:
     """Replaces the dataset at ``path``. Rows go to a folder beside it first and take its place when
-    they are complete, so a plan may read the dataset that it replaces."""
+    they are complete, so a plan may read the dataset that it replaces.
+
+    With ``by`` the rows are dealt into ``buckets`` (by default as many as shuffle partitions) of that column and sorted by it in each,
+    one file a bucket, so plans that join or group by it need no exchange. A note in the folder tells readers of it."""
     spark = df.sparkSession
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(staged)
     p, s = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, staged))
     files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if by is None:
+        df.write.parquet(staged)
+    else:
+        n, name = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), f"staged_{uuid.uuid4().hex}"
+        df.repartition(n, by).write.bucketBy(n, by).sortBy(by).format("parquet").option("path", staged).saveAsTable(name)
+        spark.sql(f"DROP TABLE {name}")  # the files stay
+        note = files.create(spark._jvm.org.apache.hadoop.fs.Path(staged, _NOTE))
+        note.write(bytearray(f"{n} {by}", "utf-8"))
+        note.close()
     old = spark._jvm.org.apache.hadoop.fs.Path(f"{staged}.old")
     had = files.exists(p) and files.rename(p, old)
     if not files.rename(s, p):
@@ -49,6 +67,22 @@ def write_table(df: DataFrame, path: str) -> None:
         files.delete(old, True)
 
 
+def _bucketed(spark: SparkSession, path: str) -> DataFrame | None:
+    """The dataset at ``path`` with its buckets, if it has such; its table in the catalog is renewed each time."""
+    note = spark._jvm.org.apache.hadoop.fs.Path(path, _NOTE)
+    files = note.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(note):
+        return None
+    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(files.open(note)))
+    n, by = reader.readLine().split(" ", 1)
+    reader.close()
+    df = spark.read.parquet(path)
+    name = f"run_{hashlib.md5(path.encode()).hexdigest()}_{uuid.uuid4().hex[:8]}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{by}`) SORTED BY (`{by}`) INTO {n} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and all tasks run
     on this machine, one of our own; on a cluster it must be set."""
@@ -89,7 +123,8 @@ def drop(*tables: DataFrame) -> None:
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """The dataset at ``path``; an empty table of ``schema`` if it is missing, an error if there is none."""
     if exists(spark, path):
-        return spark.read.parquet(path)
+        got = _bucketed(spark, path)
+        return spark.read.parquet(path) if got is None else got
     if schema is None:
         raise FileNotFoundError(f"no table at {path}")
     return spark.createDataFrame([], schema)
@@ -128,9 +163,10 @@ class Run:
         return read_table(self.spark, self.at(name), SCHEMAS.get(name, "feature_id long"))
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        write_table(df, self.at(name))
+        """Writes an artifact; those of BUCKETS by their column."""
+        write_table(df, self.at(name), BUCKETS.get(name))
         self.written.append(name)
-        return self.spark.read.parquet(self.at(name))
+        return self.table(name)
 
     def sae_activations(self) -> DataFrame:
         """Top-k activations, or else all positive ones."""
