@@ -50,19 +50,19 @@ def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 _PACKED = "block_i long, block_j long, salt int, places binary, counts binary"
 
 
-def _packed(i: np.ndarray, j: np.ndarray, n: np.ndarray, salt: int) -> pa.RecordBatch:
+def _packed(i: np.ndarray, j: np.ndarray, n: np.ndarray, salt: int, bits: int) -> pa.RecordBatch:
     """Pair counts as a row for each pair of blocks: places in the block and counts as binaries."""
-    bi, bj = i >> _BITS, j >> _BITS
+    bi, bj = i >> bits, j >> bits
     order = np.lexsort((j, i, bj, bi))
     i, j, n, bi, bj = i[order], j[order], n[order], bi[order], bj[order]
-    mask = (1 << _BITS) - 1
-    place = (((i & mask) << _BITS) | (j & mask)).astype(np.int32)
+    mask = (1 << bits) - 1
+    place = (((i & mask) << bits) | (j & mask)).astype(np.int32)
     edge = np.flatnonzero(np.concatenate(([True], (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]), [True])))
     cut = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(edge[:-1], edge[1:])], pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(bi[edge[:-1]]), pa.array(bj[edge[:-1]]), pa.array(np.full(len(edge) - 1, salt, np.int32)), cut(place), cut(n.astype(np.int64))], names=["block_i", "block_j", "salt", "places", "counts"])
 
 
-def gram(tokens: DataFrame) -> DataFrame:
+def gram(tokens: DataFrame, bits: int = _BITS, made: int = _MADE, most: int = _HELD) -> DataFrame:
     """(feature_i, feature_j, coactivation_count) of ``tokens`` (f: sorted distinct features): on how many tokens two
     features meet. A task counts pairs as it makes them and hands on packed counts, a row for each pair of blocks of features;
     these are added up in arrays of one such block each, by several tasks first and then by one. So no row is made for a
@@ -76,7 +76,7 @@ def gram(tokens: DataFrame) -> DataFrame:
         def out():
             names = np.array(list(held), np.int64)
             k, c = _added(keys, counts)
-            return _packed(names[k >> 32], names[k & 0xFFFFFFFF], c, part)
+            return _packed(names[k >> 32], names[k & 0xFFFFFFFF], c, part, bits)
 
         for batch in batches:
             lists = batch.column(0)
@@ -84,15 +84,15 @@ def gram(tokens: DataFrame) -> DataFrame:
             own, at = np.unique(flat, return_inverse=True)
             number = np.fromiter((held.setdefault(x, len(held)) for x in own.tolist()), np.int64, len(own))[at]
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-            for a, b in index_pairs(sizes):
+            for a, b in index_pairs(sizes, made):
                 k, c = np.unique((number[a] << 32) | number[b], return_counts=True)
                 keys.append(k)
                 counts.append(c)
                 n += len(k)
-                if n > _HELD:
+                if n > most:
                     k, c = _added(keys, counts)
                     keys, counts, n = [k], [c], len(k)
-                    if n > _HELD // 2:
+                    if n > most // 2:
                         yield out()
                         held, keys, counts, n = {}, [], [], 0
                         number = np.fromiter((held.setdefault(x, len(held)) for x in own.tolist()), np.int64, len(own))[at]
@@ -100,27 +100,56 @@ def gram(tokens: DataFrame) -> DataFrame:
             yield out()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """(block_i, block_j, salt, counts of the block) of rows that come by block and salt."""
-        key, total = None, None
+        """(block_i, block_j, places, counts) of rows that come by block and salt. Few entries are sorted, many added up in an
+        array of the whole block."""
+        key, held, n, total = None, [], 0, None
+
+        def done():
+            if total is None:
+                return *key[:2], *_added(*zip(*held))
+            for at, c in held:
+                total[at] += c
+            at = np.flatnonzero(total)
+            return *key[:2], at.astype(np.int32), total[at]
+
         for batch in batches:
             for bi, bj, salt, places, counts in zip(*[c.to_pylist() for c in batch.columns[:3]], *batch.columns[3:]):
                 if key != (bi, bj, salt):
                     if key is not None:
-                        yield *key, total
-                    key, total = (bi, bj, salt), np.zeros(1 << (2 * _BITS), np.int64)
-                total[np.frombuffer(places.as_buffer(), np.int32)] += np.frombuffer(counts.as_buffer(), np.int64)  # places of a row are distinct
+                        yield done()
+                    key, held, n, total = (bi, bj, salt), [], 0, None
+                held.append((np.frombuffer(places.as_buffer(), np.int32), np.frombuffer(counts.as_buffer(), np.int64)))
+                n += len(held[-1][0])
+                if n > 1 << (2 * bits - 2):
+                    total = np.zeros(1 << (2 * bits), np.int64) if total is None else total
+                    for at, c in held:
+                        total[at] += c  # places of a row are distinct
+                    held = []
         if key is not None:
-            yield *key, total
+            yield done()
+
+    def lots(found: Iterator[tuple]) -> Iterator[list[tuple]]:
+        """Blocks together that have some ten thousand pairs."""
+        part, n = [], 0
+        for x in found:
+            part.append(x)
+            n += len(x[2])
+            if n > 1 << 16 or len(part) > 1024:
+                yield part
+                part, n = [], 0
+        if part:
+            yield part
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bi, bj, _, total in add(batches):
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([bi]), pa.array([bj]), pa.array([0], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], names=["block_i", "block_j", "salt", "places", "counts"])
+        for part in lots(add(batches)):
+            bi, bj, places, counts = zip(*part)
+            yield pa.RecordBatch.from_arrays([pa.array(bi), pa.array(bj), pa.array(np.zeros(len(bi), np.int32)), pa.array([x.tobytes() for x in places], pa.binary()), pa.array([x.tobytes() for x in counts], pa.binary())], names=["block_i", "block_j", "salt", "places", "counts"])
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bi, bj, _, total in add(batches):
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array((bi << _BITS) + (at >> _BITS)), pa.array((bj << _BITS) + (at & ((1 << _BITS) - 1))), pa.array(total[at])], names=["feature_i", "feature_j", "coactivation_count"])
+        for part in lots(add(batches)):
+            i = np.concatenate([(bi << bits) + (at.astype(np.int64) >> bits) for bi, _, at, _ in part])
+            j = np.concatenate([(bj << bits) + (at.astype(np.int64) & ((1 << bits) - 1)) for _, bj, at, _ in part])
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(np.concatenate([x[3] for x in part]))], names=["feature_i", "feature_j", "coactivation_count"])
 
     key = ["block_i", "block_j", "salt"]
     packed = tokens.where(F.size("f") > 1).select("f").mapInArrow(make, _PACKED)

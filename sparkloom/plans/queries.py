@@ -182,7 +182,7 @@ def coactivation(s, d):
 
 
 def coactivation_basket(s, d):
-    acts = filters.apply_row_filters(A.basket_activations(s, d), A.ANY_POSITION)
+    acts = artifacts.stored(filters.apply_row_filters(A.basket_activations(s, d), A.ANY_POSITION), "facts")
     kept = filters.apply_feature_filters(stats.feature_stats(acts, acts, check=False), A.BASKET_FEATURES)
     return rounded(cooccurrence.same_token_pairs(acts, kept, max_pairs=None))
 
