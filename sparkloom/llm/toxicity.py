@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 The index holds a bounded sample of labelled texts over all their terms, weighted by how well they tell
-the classes apart; alike examples share blocks. For a query, the short lists are added up, and the largest
-weight of each long list in each block bounds what a block can still reach; the best blocks are scored
+the classes apart; alike examples share blocks. For a query, lists of at most two blocks' length are added up, and the
+largest weight of each longer list in each block bounds what a block can still reach; the best blocks are scored
 first, then those that can still enter the nearest.
 """
 
@@ -21,7 +21,9 @@ from .shared import crc_mod, written
 
 #: Labelled rows of each class that the index holds at most, and their most characters.
 EXAMPLES, EXAMPLE_CHARS = 4000, 20_000
-NEAREST, BLOCK, LONG = 25, 64, 2
+NEAREST, BLOCK = 25, 64
+#: Lists of more postings than this have block maxima.
+LONG = 2 * BLOCK
 #: Examples that the order of the places gathers the others around.
 LEADERS = 32
 
@@ -68,8 +70,8 @@ def _gathered(term: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, te
 
 
 class Index:
-    """Examples as unit TF-IDF vectors over ``terms``, as postings by term and place. Long lists (a place in LONG or
-    more) also have the largest weight in each block of BLOCK places; short ones are cheaper to add up than to bound.
+    """Examples as unit TF-IDF vectors over ``terms``, as postings by term and place. Lists of more than
+    LONG postings also have the largest weight in each block of BLOCK places; shorter ones are added up.
     Examples without a term are in none of the blocks. ``scale`` multiplies the weight of each term."""
 
     def __init__(self, terms: list[bytes], examples: list[tuple], weights: dict[int, float], scale: np.ndarray | None = None):
@@ -98,7 +100,7 @@ class Index:
         t, self.place, self.value = t[order], place[order], w[order]
         self.first = np.searchsorted(t, np.arange(len(terms) + 1))
         size, blocks = np.diff(self.first), -(-len(have) // BLOCK)
-        lists = np.flatnonzero(size * LONG >= max(1, len(have)))
+        lists = np.flatnonzero(size > LONG)
         self.row = np.full(len(terms), -1)
         self.row[lists] = np.arange(len(lists))
         # of each long list: where its part of each block begins, and its largest weight there
@@ -203,13 +205,13 @@ def isotonic(votes: list[tuple[float, int, float]]) -> tuple[np.ndarray, np.ndar
 
 
 def train_index(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES, chars: int = EXAMPLE_CHARS) -> Index:
-    """An index of ``docs`` (doc_id, text) labelled by ``labels`` (doc_id, toxic): of each class the
+    """An index of ``docs`` (doc_id, text) labelled by ``labels`` (doc_id, toxic; above 0 is label 1): of each class the
     ``each`` ids of smallest md5, texts of up to ``chars`` characters. A doc labelled twice is toxic
     if any of its labels is. All terms of the sample are kept; each weight is scaled by the root of the
     term's chi-squared statistic over the sample."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("long").alias("toxic"))
     counts = written(known.groupBy("toxic").agg(F.count("*").alias("n")), "classes")
-    totals = {r["toxic"]: r["n"] for r in counts.limit(16).collect()}
+    totals = {r["toxic"]: r["n"] for r in counts.collect()}  # two rows
     # ids of small md5, about twice as many as wanted, so that the ranking sees few
     md5 = F.md5(F.col("doc_id").cast("string").cast("binary"))
     share = F.least(F.lit(1.0), F.lit(2.0 * each + 40) / F.col("n"))
@@ -222,7 +224,7 @@ def train_index(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES, chars:
         for batch in batches:
             for doc, label, text in zip(*[c.to_pylist() for c in batch.columns]):
                 c = Counter(words_of(text))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc] * (len(c) + 1), pa.int64()), "toxic": pa.array([int(label > 0)] * (len(c) + 1), pa.int64()), "term": pa.array([None, *c], pa.binary()), "n": pa.array([0, *c.values()], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc] * (len(c) + 1), pa.int64()), "toxic": pa.array([label] * (len(c) + 1), pa.int64()), "term": pa.array([None, *c], pa.binary()), "n": pa.array([0, *c.values()], pa.int64())})
 
     rows = written(sample.mapInArrow(terms, "doc_id long, toxic long, term binary, n long"), "terms").toArrow()  # of the bounded sample
     term = rows.column("term").combine_chunks().dictionary_encode()
@@ -243,9 +245,7 @@ def train_index(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES, chars:
     # how well each term tells the classes apart; a half is added to each count
     c, a, n = by[0] + 0.5, by[1] + 0.5, n0 + n1 + 2.0
     chi = n * (a * (n0 + 1 - c) - c * (n1 + 1 - a)) ** 2 / ((n1 + 1) * (n0 + 1) * (a + c) * (n - a - c))
-    ones = sum(v for k, v in totals.items() if k > 0)
-    rest = sum(v for k, v in totals.items() if k <= 0)
-    return Index(vocab, examples, {1: ones / max(1, n1), 0: rest / max(1, n0)}, np.sqrt(chi) + 1e-3)
+    return Index(vocab, examples, {1: totals.get(1, 0) / max(1, n1), 0: totals.get(0, 0) / max(1, n0)}, np.sqrt(chi) + 1e-3)
 
 
 def score_toxicity(docs: DataFrame, index: Index) -> DataFrame:

@@ -375,6 +375,25 @@ def test_index_is_exact():
             assert list(place) == list(best) and np.allclose(near, s[best])
 
 
+def test_long_lists_have_block_maxima():
+    rng = random.Random(8)
+    words = [60 // (j + 1) + 1 for j in range(30)]
+    examples = [(i, rng.randrange(2), dict(collections.Counter(rng.choices(range(30), weights=words, k=9)))) for i in range(400)]
+    index = toxicity.Index([f"t{i}".encode() for i in range(30)], examples, {0: 1.0, 1: 1.0})
+    full = index.matrix
+    long = [t for t in range(30) if (full[t] > 0).sum() > toxicity.LONG]
+    assert 0 < len(long) < 30 and [t for t in range(30) if index.row[t] >= 0] == long
+    for t in long:
+        assert np.array_equal(index.most[index.row[t]], full[t].reshape(-1, toxicity.BLOCK).max(1))
+
+
+def test_toxicity_of_labels_of_many_values(spark):
+    """Any label above 0 is 1, any other 0, however many values there are."""
+    rows = [(i, f"{'vile' if i % 2 else 'kind'} words here", "s", "en") for i in range(80)]
+    index = toxicity.train_index(docs_of(spark, rows), spark.createDataFrame([(i, i if i % 2 else -i) for i in range(80)], "doc_id long, toxic int"), each=15)
+    assert len(index.ids) == 30 and index.labels.sum() == 15 and set(index.weight) == {40 / 15}
+
+
 def test_toxicity_on_planted_words(spark):
     rng = random.Random(5)
     rows, labels = [], []
@@ -600,6 +619,21 @@ def test_log_folds_back_to_the_turns(spark):
     assert chat.digests(chat.reconstruct(chat.events_of(df.limit(0)))).count() == 0
 
 
+def test_a_long_conversation_is_folded_by_many_tasks(spark):
+    rows = [(1, i, "user", f"message {i}") for i in range(400)] + [(2, 0, "user", "x")]
+    got = chat.reconstruct(chat.events_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    tasks = got.groupBy(F.spark_partition_id()).agg(F.sum((F.col("conv_id") == 1).cast("int")).alias("n")).collect()
+    assert sum(r["n"] for r in tasks) == 400
+    # as many as the exchange has partitions, where adaptive execution doesn't join these small ones
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.sum((F.col("conv_id") == 1).cast("int")).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(tasks) == 4 and max(tasks) < 200
+
+
 def test_fold():
     p = []
     for e in (("delta", 0, 0, "Hallo"), ("delta", 0, 0, " wrld"), ("edit", 6, 10, "world"), ("note", 0, 0, "?"), ("edit", 1, 5, "ello")):
