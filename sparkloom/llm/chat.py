@@ -10,7 +10,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,8 +82,8 @@ def reconstruct(events: DataFrame) -> DataFrame:
     loss_from, loss_to (the text's place in ``formatted``; null unless the role is
     assistant). Messages of a turn keep the order of (role, message).
 
-    Conversations are dealt by id, sorted by (turn, role, message, seq), and folded as a stream: a
-    task holds one message at a time, however long its conversation is. A null role or payload
+    Conversations are dealt by id and message, sorted by (turn, role, message, seq), and folded as a stream: a
+    task holds one message at a time, and one long conversation is folded by many tasks. A null role or payload
     is empty; null ids and turns are values of their own and come first.
     """
 
@@ -113,7 +112,7 @@ def reconstruct(events: DataFrame) -> DataFrame:
 
     order = ("conv_id", "turn", "role", "message", "seq")
     rows = events.select("conv_id", "turn", "role", "message", "seq", "kind", "at", "upto", "payload")
-    return rows.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(run, "conv_id long, turn long, role string, message long, formatted string, loss_from long, loss_to long")
+    return rows.repartition(*order[:-1]).sortWithinPartitions(*order).mapInArrow(run, "conv_id long, turn long, role string, message long, formatted string, loss_from long, loss_to long")
 
 
 _MESSAGES = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("message", pa.int64()), ("formatted", pa.string()), ("loss_from", pa.int64()), ("loss_to", pa.int64())])
