@@ -106,7 +106,7 @@ class Index:
         # of each long list: where its part of each block begins, and its largest weight there
         self.block_at = np.stack([self.first[i] + np.searchsorted(self.place[self.first[i] : self.first[i + 1]], np.arange(blocks + 1) * BLOCK) for i in lists]) if len(lists) else np.empty((0, blocks + 1), np.int64)
         self.most = np.zeros((len(lists), blocks))
-        part = np.diff(self.block_at, axis=1)
+        self.block_sizes = part = np.diff(self.block_at, axis=1)
         if part.any():
             self.most[part > 0] = np.maximum.reduceat(np.append(self.value, 0.0)[_ranges(self.first[lists], size[lists])], np.cumsum(part.ravel()[part.ravel() > 0]) - part.ravel()[part.ravel() > 0])
         bare = [e for e in examples if not len(_arrays(e[2])[0])]
@@ -153,7 +153,7 @@ class Index:
         part = np.bincount(places, value, blocks * BLOCK).reshape(blocks, BLOCK)
         bound = part.max(1, initial=0.0) + long_q @ self.most[row]
         order = np.argsort(-bound, kind="stable")
-        starts, sizes = self.block_at[row, :-1], np.diff(self.block_at[row], axis=1)
+        starts, sizes = self.block_at[row, :-1], self.block_sizes[row]
         place, near, least, done = np.empty(0, np.int64), np.empty(0), 0.0, 0
         for more in (8, len(order)):  # the most promising blocks, then all that can still matter
             pick = order[done : done + more]
