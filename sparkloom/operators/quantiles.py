@@ -12,6 +12,8 @@ from ..sources.artifacts import stored
 
 #: Rows strictly inside a bracket up to which they are sorted in one task; wider brackets are narrowed first.
 LIMIT = 1_000_000
+#: Rows of the largest group up to which a group's distinct values are kept in memory; a task holds those of 128 groups at most.
+_FEW = 10_000
 #: A sketch cuts a bracket into so many parts.
 _PARTS = 200
 #: Brackets up to this number are sent to all tasks (some 100 bytes each).
@@ -19,11 +21,11 @@ _SENT = 100_000
 _INF = float("inf")
 
 
-def quantiles(df: DataFrame, col: str | Column, qs: tuple[float, ...], keys: tuple[str, ...] = (), limit: int = LIMIT, name: str = "quantiles") -> DataFrame:
+def quantiles(df: DataFrame, col: str | Column, qs: tuple[float, ...], keys: tuple[str, ...] = (), limit: int = LIMIT, name: str = "quantiles", few: int = _FEW) -> DataFrame:
     """(keys, ``name``): an array with the exact quantiles ``qs`` of each group's values, linear between neighbouring ranks.
     Null and NaN values don't count; a group without any other has no row.
 
-    A wanted rank lies in a bracket of values, at first all of them. While a bracket holds more than ``limit`` rows strictly inside,
+    Where no group has more than ``few`` rows, one aggregation orders the values of each. Else a wanted rank lies in a bracket of values, at first all of them. While a bracket holds more than ``limit`` rows strictly inside,
     a sketch of them gives a narrower one, and one pass counts the rows below and inside it. Only the values of
     brackets so small are counted each and ordered, so a group may be the whole table. Rows that equal
     an end of a bracket are only counted."""
@@ -34,6 +36,8 @@ def quantiles(df: DataFrame, col: str | Column, qs: tuple[float, ...], keys: tup
     ends = [F.lit(q) * (F.col("_n") - 1) for q in qs]
     ranks = F.array_distinct(F.array(*[f(h).cast("long") for h in ends for f in (F.floor, F.ceil)]))
     sizes = stored(rows.groupBy(*group).agg(F.count("*").alias("_n")), "sizes")
+    if not sizes.where(F.col("_n") > few).limit(1).count():
+        return rows.groupBy(*group).agg(F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs])).alias(name)).select(*keys, name)
     want = sizes.select(*group, F.lit(-_INF).alias("_lo"), F.lit(_INF).alias("_hi"), F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_inside"), ranks.alias("_ranks"))
     wide = (F.col("_inside") > limit) & (F.col("_lo") < F.col("_hi"))
     while want.where(wide).limit(1).count():

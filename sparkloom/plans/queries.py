@@ -183,7 +183,7 @@ def coactivation(s, d):
 
 def coactivation_basket(s, d):
     acts = artifacts.stored(filters.apply_row_filters(A.basket_activations(s, d), A.ANY_POSITION), "facts")
-    kept = filters.apply_feature_filters(stats.feature_stats(acts, acts, check=False), A.BASKET_FEATURES)
+    kept = artifacts.stored(filters.apply_feature_filters(stats.feature_stats(acts, acts, check=False), A.BASKET_FEATURES), "kept")
     return rounded(cooccurrence.same_token_pairs(acts, kept, max_pairs=None))
 
 

@@ -20,13 +20,13 @@ def values(kind, rng):
 KINDS = ("spread", "few", "one", "short", "single", "mass", "steps", "tails", "huge")
 
 
-@pytest.mark.parametrize("limit", [50, 1_000_000])
-def test_against_numpy(spark, limit):
+@pytest.mark.parametrize("limit,few", [(50, 0), (1_000_000, 0), (1_000_000, 10_000)])
+def test_against_numpy(spark, limit, few):
     rng = np.random.default_rng(1)
     of = {k: values(k, rng) for k in KINDS}
     rows = [(k, float(x)) for k in KINDS for x in of[k]] + [("spread", None), ("none", None), ("none", float("nan")), (None, 1.0), (None, 2.0)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(7)
-    got = {r["k"]: r["q"] for r in Q.quantiles(df, "v", QS, ("k",), limit, "q").collect()}
+    got = {r["k"]: r["q"] for r in Q.quantiles(df, "v", QS, ("k",), limit, "q", few).collect()}
     assert set(got) == {*KINDS, None} and got[None] == [1.0, 1.25, 1.5, 1.95, 1.99, 2.0]
     for k in KINDS:
         with np.errstate(invalid="ignore"):
