@@ -26,6 +26,8 @@ PARTS = 64
 BUNDLES = 4
 #: Bits of the filter of frequent phrases (2 MB): a phrase that isn't frequent has no frequent extension.
 _FILTER_BITS = 24
+#: So many words of a lot are hashed, and about so many entries of it counted, at a time.
+_AT_ONCE = 1 << 18
 #: First ranking: so many groups a language each keep their own first rows.
 _GROUPS = 64
 
@@ -39,6 +41,12 @@ def _word_hash(words: pa.Array) -> np.ndarray:
     return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) if len(words) else np.empty(0, np.uint64)
 
 
+def _known(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes of phrases are in the filter that frequent() made."""
+    bit = h >> np.uint64(64 - _FILTER_BITS)
+    return (known[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)).astype(np.int64)) & 1 == 1
+
+
 def _chain(first: np.ndarray, *more: np.ndarray) -> np.ndarray:
     """Hashes of sequences, one column of hashes after the other."""
     out = mix(first)
@@ -47,16 +55,19 @@ def _chain(first: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lots(batches: Iterator[pa.RecordBatch], size: int, depth: int) -> Iterator[tuple[list[str], np.ndarray, bytes, np.ndarray]]:
-    """(languages, language of each part, folded bytes, where each part starts). A part is a text, or some of a long one:
-    it is cut between words, and what follows begins with the last ``depth`` words again, so that each run of depth + 1
-    words lies in one part and no run in two."""
+def _lots(batches: Iterator[pa.RecordBatch], size: int, depth: int) -> Iterator[tuple[list[str], pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(languages, and what _words() tells) of each lot. A part is a text, or some of a long one: it is cut between words, and
+    what follows begins with the last ``depth`` words again, so that each run of depth + 1 words lies in one part and no run
+    in two."""
     langs: dict[str, int] = {}
     of, parts, held = [], [], 0
 
     def out():
+        nonlocal langs, of, parts, held
         starts = np.cumsum([1] + [len(p) + 1 for p in parts[:-1]])
-        return list(langs), np.array(of), b"\n" + b"\n".join(parts) + b"\n", starts
+        names, which, data = list(langs), np.array(of, np.int32), b"\n".join([b"", *parts, b""])
+        langs, of, parts, held = {}, [], [], 0
+        return names, *_words(which, data, starts)
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -76,36 +87,64 @@ def _lots(batches: Iterator[pa.RecordBatch], size: int, depth: int) -> Iterator[
                 at = back if back > at else end
                 if held >= size:
                     yield out()
-                    langs, of, parts, held = {}, [], [], 0
     if parts:
         yield out()
 
 
-def _fill(langs: list[str], of: np.ndarray, data: bytes, starts: np.ndarray, depth: int, known, bundles: int) -> pa.RecordBatch | None:
-    """The stripes of prefixes of ``depth`` words in one lot, as a batch (bundle, stripes): a serialised batch of stripes
-    for each bundle."""
+def _words(of: np.ndarray, data: bytes, starts: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, which of them each word is, the language of each word, its piece) of folded bytes, whose parts begin at
+    ``starts`` and are of the languages ``of``."""
     b = np.frombuffer(data, np.uint8)
     sep = (b == 32) | (b == 10)
-    first = np.flatnonzero(sep[:-1] & ~sep[1:]) + 1
-    last = np.flatnonzero(~sep[:-1] & sep[1:]) + 1
-    if not len(first):
-        return None
-    lens = np.concatenate(([0], np.cumsum(last - first))).astype(np.int32)
-    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(lens), pa.py_buffer(b[~sep].copy())).dictionary_encode()
-    names, ids = words.dictionary, words.indices.to_numpy().astype(np.int64)
+    first = np.flatnonzero(sep[:-1] & ~sep[1:]).astype(np.int32)
+    first += 1
+    lens = np.zeros(len(first) + 1, np.int32)
+    np.cumsum(np.flatnonzero(~sep[:-1] & sep[1:]).astype(np.int32) + 1 - first, out=lens[1:])
     lang = of[np.searchsorted(starts, first, "right") - 1]
-    piece = np.cumsum(b == 10)[first]
-    hashes, lang_hash = _word_hash(names), _word_hash(pa.array(langs))
+    piece = np.searchsorted(np.flatnonzero(b == 10), first).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(lens), pa.py_buffer(b[~sep])).dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(), lang, piece
+
+
+def _bundle(head: np.ndarray, word: np.ndarray, depth: int, bundles: int) -> np.ndarray:
+    """The bundle of each entry, by the hashes of its prefix and of its next word. A stripe's next words are dealt over its
+    parts; of the empty prefix, which all words follow, over all bundles."""
+    part = word % np.uint64(PARTS) if depth else word
+    return (mix(head + part * _P) % np.uint64(bundles)).astype(np.int32)
+
+
+def _fill(langs: list[str], names: pa.Array, ids: np.ndarray, lang: np.ndarray, piece: np.ndarray, depth: int, known, bundles: int) -> Iterator[pa.RecordBatch]:
+    """The stripes of prefixes of ``depth`` words in one lot, as batches (bundle, stripes): a serialised batch of stripes
+    for each bundle. Entries are told their bundle some at a time and then counted for a range of bundles at a time, so only
+    the words themselves are held for the whole lot."""
     n = len(ids) - depth
     if n <= 0:
-        return None
-    at = np.flatnonzero(piece[:n] == piece[depth:])  # words that have `depth` more behind them in their piece
-    if known is not None and depth:
-        for off in (0, 1):  # the first and the last `depth` words must be a frequent phrase
-            h = _chain(lang_hash[lang[at]], *[hashes[ids[at + off + i]] for i in range(depth)])
-            at = at[known[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]]
-    if not len(at):
-        return None
+        return
+    hashes, lang_hash = _word_hash(names), _word_hash(pa.array(langs))
+    phrase = lambda at, off: _chain(lang_hash[lang[at]], *[hashes[ids[at + off + i]] for i in range(depth)])
+    starts, dealt = [], []
+    for i in range(0, n, _AT_ONCE):
+        # words that have `depth` more behind them in their piece
+        at = i + np.flatnonzero(piece[i : min(i + _AT_ONCE, n)] == piece[i + depth : min(i + _AT_ONCE, n) + depth])
+        head = phrase(at, 0)
+        if known is not None and depth:  # the first and the last `depth` words must be a frequent phrase
+            may = _known(known, head)
+            at, head = at[may], head[may]
+            may = _known(known, phrase(at, 1))
+            at, head = at[may], head[may]
+        starts.append(at.astype(np.int32))
+        dealt.append(_bundle(head, hashes[ids[at + depth]], depth, bundles))
+    starts, dealt = np.concatenate(starts), np.concatenate(dealt)
+    ranges = min(bundles, -(-len(starts) // _AT_ONCE))
+    edges = [bundles * i // ranges for i in range(ranges + 1)] if ranges else []
+    for low, high in zip(edges[:-1], edges[1:]):
+        at = starts[(dealt >= low) & (dealt < high)].astype(np.int64)
+        if len(at):
+            yield _stripes(langs, names, ids, lang, at, depth, bundles, hashes, phrase)
+
+
+def _stripes(langs: list[str], names: pa.Array, ids: np.ndarray, lang: np.ndarray, at: np.ndarray, depth: int, bundles: int, hashes: np.ndarray, phrase) -> pa.RecordBatch:
+    """The stripes of the prefixes that begin at the words ``at``, packed by bundle."""
     # prefixes as numbers: each word refines the number of those before it
     prefix, heads = lang[at].astype(np.int64), at
     for i in range(depth):
@@ -116,10 +155,7 @@ def _fill(langs: list[str], of: np.ndarray, data: bytes, starts: np.ndarray, dep
         heads = at[where]
     key, count = np.unique(prefix * len(names) + ids[at + depth], return_counts=True)
     prefix, word = key // len(names), key % len(names)
-    # a stripe's next words are dealt over its parts; of the empty prefix, which all words follow, over all bundles
-    head = _chain(lang_hash[lang[heads]], *[hashes[ids[heads + i]] for i in range(depth)])
-    part = hashes[word] % np.uint64(PARTS) if depth else hashes[word]
-    bundle = (mix(head[prefix] + part * _P) % np.uint64(bundles)).astype(np.int64)
+    bundle = _bundle(phrase(heads, 0)[prefix], hashes[word], depth, bundles)
     order = np.lexsort((prefix, bundle))
     prefix, word, count, bundle = prefix[order], word[order], count[order], bundle[order]
     new = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (bundle[1:] != bundle[:-1]))))
@@ -142,7 +178,7 @@ def _merge(stripes: list[pa.RecordBatch]) -> pa.Table:
     for s in stripes:
         of = pc.list_parent_indices(s.column("next"))
         flat.append(pa.table([s.column("lang").take(of), s.column("prefix").take(of), pc.list_flatten(s.column("next")), pc.list_flatten(s.column("count"))], names=["lang", "prefix", "next", "count"]))
-    return pa.concat_tables(flat).group_by(["lang", "prefix", "next"]).aggregate([("count", "sum")]).rename_columns(["lang", "prefix", "next", "count"])
+    return pa.concat_tables(flat).group_by(["lang", "prefix", "next"], use_threads=False).aggregate([("count", "sum")]).rename_columns(["lang", "prefix", "next", "count"])
 
 
 def stripes(docs: DataFrame, depth: int, least: int, known: np.ndarray | None = None, lot: int = LOT) -> DataFrame:
@@ -155,11 +191,12 @@ def stripes(docs: DataFrame, depth: int, least: int, known: np.ndarray | None =
     shared = spark.sparkContext.broadcast(known)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for langs, of, data, starts in _lots(batches, lot, depth):
-            out = _fill(langs, of, data, starts, depth, shared.value, bundles)
-            if out is not None:
+        for words in _lots(batches, lot, depth):
+            for out in _fill(*words, depth, shared.value, bundles):
                 for i in range(0, len(out), 64):
                     yield out.slice(i, 64)
+            words = out = None  # not held while the next lot is gathered
+            pa.default_memory_pool().release_unused()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle, held, size = None, [], 0
@@ -176,7 +213,7 @@ def stripes(docs: DataFrame, depth: int, least: int, known: np.ndarray | None =
                 bundle = k
                 held.append(pa.ipc.read_record_batch(packed.as_buffer(), _STRIPE))
                 size += held[-1].nbytes
-                if size > 4 * lot:  # what has come so far becomes one table
+                if size > 2 * lot:  # what has come so far becomes one table
                     held, size = [_merged(held)], 0
         if held:
             yield out()
@@ -193,7 +230,7 @@ def _merged(held: list) -> pa.Table:
         tables.append(_merge(batches))
     if len(tables) == 1:
         return tables[0]
-    return pa.concat_tables(tables).group_by(["lang", "prefix", "next"]).aggregate([("count", "sum")]).rename_columns(["lang", "prefix", "next", "count"])
+    return pa.concat_tables(tables).group_by(["lang", "prefix", "next"], use_threads=False).aggregate([("count", "sum")]).rename_columns(["lang", "prefix", "next", "count"])
 
 
 def _kept(t: pa.Table, depth: int, least: int) -> pa.RecordBatch:
@@ -235,13 +272,13 @@ def _kept(t: pa.Table, depth: int, least: int) -> pa.RecordBatch:
 
 
 def frequent(found: DataFrame) -> np.ndarray:
-    """A filter of the phrases in merged stripes, put together by Spark as at most 2**18 words of 64 bits."""
+    """A filter of the phrases in merged stripes (see _known()), put together by Spark as at most 2**18 words of 64 bits."""
     bits = F.expr("shiftleft(1L, CAST(h % 64 AS INT))")
     at = found.select(F.explode("hash").alias("h")).select(F.shiftrightunsigned("h", 64 - _FILTER_BITS).alias("h"))
     rows = at.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(bits).alias("b")).toPandas()
     out = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
     out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out
 
 
 def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int = 2000, share: int = 50, lot: int = LOT) -> DataFrame:

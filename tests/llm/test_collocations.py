@@ -3,7 +3,10 @@
 import collections
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import collocations
@@ -70,3 +73,63 @@ def test_products_beyond_64_bits_and_empty_tables(spark):
     assert run(spark, []) == []
     clash = spark.createDataFrame([("en", "p q " * 12, "x", 5)], "lang string, text string, phrase string, rank int")
     assert [(r["phrase"], r["a"]) for r in collocations.collocations(clash).collect()] == [("p q p", 11), ("q p q", 11)]
+
+
+def filled(texts, depth, known=None, lot=1 << 20, bundles=7):
+    """(bundle, lang, prefix, next): count, of the stripes that lots of ``texts`` (lang, text) give, and how many rows a bundle has."""
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*texts)], names=["lang", "text"])
+    counts, rows = collections.Counter(), collections.Counter()
+    for words in collocations._lots(iter([batch]), lot, depth):
+        for out in collocations._fill(*words, depth, known, bundles):
+            for k, packed in zip(out.column(0).to_pylist(), out.column(1)):
+                rows[k] += 1
+                for s in pa.ipc.read_record_batch(packed.as_buffer(), collocations._STRIPE).to_pylist():
+                    for word, c in zip(s["next"], s["count"], strict=True):
+                        counts[k, s["lang"], s["prefix"], word] += c
+    return counts, rows
+
+
+@pytest.mark.parametrize("depth", [0, 1, 2])
+def test_entries_are_the_same_however_many_are_counted_at_a_time(monkeypatch, depth):
+    rng = random.Random(5)
+    texts = [(rng.choice(["en", "de"]), "".join(rng.choice("abcde") + rng.choice("   .\n") for _ in range(rng.randint(0, 90)))) for _ in range(40)]
+    by_hand = collections.Counter()
+    for lang, text in texts:
+        for piece in re.split(r"[.\n]", text):
+            w = piece.split()
+            for i in range(len(w) - depth):
+                by_hand[lang, " ".join(w[i : i + depth]), w[i + depth]] += 1
+    some = np.random.default_rng(6).integers(-(2**63), 2**63 - 1, 1 << 18)
+    for known in (None, some):
+        whole = filled(texts, depth, known)
+        for at_once in (1, 30, 1000):
+            monkeypatch.setattr(collocations, "_AT_ONCE", at_once)
+            assert filled(texts, depth, known) == whole
+        monkeypatch.undo()
+        got = collections.Counter({k[1:]: c for k, c in whole[0].items()})
+        assert got == by_hand if known is None or not depth else got and not got - by_hand
+        assert set(whole[1].values()) == {1}  # a bundle is one row of a lot
+
+
+def test_a_lot_is_filled_in_bounded_memory():
+    rng = np.random.default_rng(7)
+    vocabulary = np.array([f"w{i}" for i in range(20000)])
+    texts = [("en", " ".join(rng.choice(vocabulary, 20000))) for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*texts)], names=["lang", "text"])
+    size = sum(len(t) for _, t in texts)
+    tracemalloc.start()
+    try:
+        for words in collocations._lots(iter([batch]), 2 * size, 2):
+            for _ in collocations._fill(*words, 2, None, 96):
+                pass
+        assert tracemalloc.get_traced_memory()[1] < 10 * size  # what numpy and Python held at most
+    finally:
+        tracemalloc.stop()
+
+
+def test_lots_without_words_or_with_too_few():
+    for depth in (0, 1, 2):
+        assert filled([("en", " .\n\t"), ("de", "")], depth)[0] == {}
+        assert filled([("en", None)], depth)[0] == {}
+        got = {k[1:]: c for k, c in filled([("en", "a b. \n"), ("de", ".")], depth)[0].items()}
+        assert got == [{("en", "", "a"): 1, ("en", "", "b"): 1}, {("en", "a", "b"): 1}, {}][depth]
